@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, media, mixing, pieces, token_counts
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3,
+    "op5_media": media.op5,
+    "op6_pieces": pieces.op6,
     "op7_mixing": mixing.op7,
+    "op8_token_counts": token_counts.op8,
 }
 
 SQL = {
