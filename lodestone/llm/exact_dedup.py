@@ -43,7 +43,8 @@ def classes(docs: DataFrame, text: str = "text", carry_text: bool = True) -> Dat
         groups = cut.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select(*key, F.monotonically_increasing_id().alias("__next"))
         groups = done.keep(groups, f"groups{k}")
         more = F.col("__next").isNotNull() & ~F.col("__end")
-        split = cut.join(groups, key, "left").select(
+        # Always by shuffle: what moves is then in proportion to the input at every size.
+        split = cut.join(groups.hint("merge"), key, "left").select(
             *[F.when(more, F.col(f"`{c}`")).alias(c) if c == text and not carry_text else F.col(f"`{c}`") for c in names],
             F.when(F.col("__next").isNotNull() & F.col("__end"), F.col("__next")).alias("__class"),
             F.lit(k).alias("__round"), F.when(more, F.col("__next")).alias("__gid"), (F.col("__at") + width).alias("__at"),
@@ -68,7 +69,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", car
     order = F.struct((-F.col("__len")).alias("l"), F.col(doc_id).isNull().alias("u"), F.col(doc_id).alias("i"), F.col("__row").alias("r"))
     best = rows.filter("__class is not null").groupBy("__round", "__class").agg(F.count(F.lit(1)).alias("group_size"), F.min(order).alias("__best"))
     alone = rows.filter("__class is null").select(*names, F.col(doc_id).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-    many = rows.filter("__class is not null").join(best, ["__round", "__class"]).select(*names, F.col("__best.i").alias("keep_id"), "group_size", (F.col("__row") == F.col("__best.r")).alias("kept"))
+    many = rows.filter("__class is not null").join(best.hint("merge"), ["__round", "__class"]).select(*names, F.col("__best.i").alias("keep_id"), "group_size", (F.col("__row") == F.col("__best.r")).alias("kept"))
     return alone.unionByName(many)
 
 
