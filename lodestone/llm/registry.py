@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, media, mixing, pieces, token_counts
+from . import exact_dedup, html_text, media, mixing, pieces, token_counts
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_pieces": pieces.op6,
     "op7_mixing": mixing.op7,
     "op8_token_counts": token_counts.op8,
+    "op10_html_text": html_text.op10,
 }
 
 SQL = {
