@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, media, mixing, pieces, token_counts
+from . import exact_dedup, html_text, media, mixing, pieces, quality, token_counts
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3,
+    "op4_quality": quality.op4,
     "op5_media": media.op5,
     "op6_pieces": pieces.op6,
     "op7_mixing": mixing.op7,
