@@ -94,7 +94,7 @@ def op7(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     docs = docs.select("doc_id", "source", F.size(F.regexp_extract_all(text_of(), F.lit(WORD), F.lit(0))).cast("long").alias("size"))
     docs = Settled(spark, "mix").keep(docs, "sized")
-    return plan(docs).orderBy("position").select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
+    return plan(docs).orderBy("position", "__key").select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
 
 
 OP7_SQL = r"""
