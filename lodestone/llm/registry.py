@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, media, mixing, pieces, quality, token_counts
+from . import exact_dedup, html_text, media, mixing, near_dedup, pieces, quality, token_counts
 
 QUERIES = {
+    "op2_near_dedup": near_dedup.op2,
     "op3_exact_dedup": exact_dedup.op3,
     "op4_quality": quality.op4,
     "op5_media": media.op5,
