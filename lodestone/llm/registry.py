@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, media, mixing, near_dedup, pieces, quality, token_counts
+from . import exact_dedup, html_text, media, mixing, near_dedup, pieces, quality, secrets, token_counts, transcripts
 
 QUERIES = {
+    "op1_secrets": secrets.op1,
     "op2_near_dedup": near_dedup.op2,
     "op3_exact_dedup": exact_dedup.op3,
     "op4_quality": quality.op4,
@@ -12,6 +13,7 @@ QUERIES = {
     "op6_pieces": pieces.op6,
     "op7_mixing": mixing.op7,
     "op8_token_counts": token_counts.op8,
+    "op9_transcripts": transcripts.op9,
     "op10_html_text": html_text.op10,
 }
 
