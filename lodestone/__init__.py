@@ -1,0 +1,3 @@
+"""Code index, retrieval and structural analytics on PySpark DataFrames."""
+
+__version__ = "0.1.0"
