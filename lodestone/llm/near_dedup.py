@@ -127,7 +127,11 @@ def short_form(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def word_list(text: Column) -> Column:
     """Words, joined by one space."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " "))
+    text = F.lower(text)
+    for c in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    # Most texts have single spaces, which spares them the pattern.
+    return F.trim(F.when(text.contains("  "), F.regexp_replace(text, " {2,}", " ")).otherwise(text))
 
 
 def word_hashes(words: Column) -> Column:
@@ -181,33 +185,37 @@ def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def within_buckets(rows: DataFrame) -> DataFrame:
-    """rows: task, side (0 and 1: member of the first and second block; 2: of the only block), nid, root, sig, dealt and sorted by task. Pairs
-    (a, b) of different components that are likely near duplicates."""
+    """rows: task, side (0 and 1: member of the first and second block; 2: of the only block), nid, root, sig, bands and bucket, dealt and
+    sorted by task. Pairs (a, b) of different components that are likely near duplicates, each in the first bucket that it shares: that one
+    holds different components as well, and where one of the two is its pivot, the pair has been compared already."""
 
-    def pairs(nid: np.ndarray, root: np.ndarray, side: np.ndarray, sig: np.ndarray) -> list[np.ndarray]:
+    def pairs(nid: np.ndarray, root: np.ndarray, side: np.ndarray, sig: np.ndarray, bands: np.ndarray, bucket: np.ndarray) -> list[np.ndarray]:
         if side[0] == 2:
-            found = agreement(sig, sig) >= LIKELY
-            i, j = np.nonzero(np.triu(found, 1) & (root[:, None] != root))
-            return [np.stack([nid[i], nid[j]])]
-        p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        i, j = np.nonzero((agreement(sig[p], sig[q]) >= LIKELY) & (root[p][:, None] != root[q]))
-        return [np.stack([nid[p][i], nid[q][j]])]
+            i, j = np.nonzero(np.triu(agreement(sig, sig) >= LIKELY, 1) & (root[:, None] != root))
+        else:
+            p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            i, j = np.nonzero((agreement(sig[p], sig[q]) >= LIKELY) & (root[p][:, None] != root[q]))
+            i, j = p[i], q[j]
+        first = (bands[i] == bands[j]).argmax(axis=1) == bucket[0] >> 48
+        return [np.stack([nid[i[first]], nid[j[first]]])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for x in batches:
             own = [x.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
             own.append(np.frombuffer(b"".join(x.column(4).to_pylist()), np.uint8).reshape(-1, M))
+            own.append(lists(x.column(5))[0].view(np.int64)[: BANDS * x.num_rows].reshape(-1, BANDS))
+            own.append(x.column(6).to_numpy())
             if rest is not None:
                 own = [np.concatenate([r, o]) for r, o in zip(rest, own, strict=True)]
             task = own[0]
             edge = np.flatnonzero(np.r_[True, task[1:] != task[:-1]])
-            out = [p for a, b in zip(edge[:-1], edge[1:], strict=True) for p in pairs(*(own[k][a:b] for k in (2, 3, 1, 4)))]
+            out = [p for a, b in zip(edge[:-1], edge[1:], strict=True) for p in pairs(*(own[k][a:b] for k in (2, 3, 1, 4, 5, 6)))]
             rest = [o[edge[-1] :] for o in own]
             if out:
                 yield found(out)
         if rest is not None:
-            yield found(pairs(*(rest[k] for k in (2, 3, 1, 4))))
+            yield found(pairs(*(rest[k] for k in (2, 3, 1, 4, 5, 6))))
 
     def found(out: list[np.ndarray]) -> pa.RecordBatch:
         both = np.concatenate(out, axis=1)
@@ -253,13 +261,11 @@ def components(edges: DataFrame, done: Settled, tag: str) -> DataFrame:
     return label
 
 
-def linked(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(key, root) of every distinct text that is near another one; key: MD5 of its words, root: a number of its class."""
-    spark = docs.sparkSession
+def linked(keyed: DataFrame) -> DataFrame:
+    """(key, root) of every distinct text that is near another one; keyed: words, and key, their MD5; root: a number of its class."""
+    spark = keyed.sparkSession
     small_batches(spark)
     done = Settled(spark, "near")
-    words = docs.select(word_list(text_of(text)).alias("words"))
-    keyed = words.select(F.unhex(F.md5("words")).alias("key"), "words")
     nodes = sketched(keyed.select("key", word_hashes(F.col("words")).alias("hashes"))).filter("sig is not null").groupBy("key").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     nodes = done.keep(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
 
@@ -288,8 +294,8 @@ def linked(docs: DataFrame, text: str = "text") -> DataFrame:
     tasks = mixed_.select("bucket", "nid", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") == low, 0).otherwise(1)
-    tasks = tasks.select(F.xxhash64("bucket", low, high).alias("task"), side.alias("side"), "nid", "root").join(sig.hint("merge"), "nid")
-    tasks = tasks.select("task", "side", "nid", "root", "sig").repartition("task").sortWithinPartitions("task")
+    tasks = tasks.select(F.xxhash64("bucket", low, high).alias("task"), side.alias("side"), "nid", "root", "bucket").join(nodes.select("nid", "sig", "bands").hint("merge"), "nid")
+    tasks = tasks.select("task", "side", "nid", "root", "sig", "bands", "bucket").repartition("task").sortWithinPartitions("task")
     more = done.keep(within_buckets(tasks).distinct(), "more")
     extra = compared(more, texts_of(more, nodes, keyed, done, "texts2")) if not more.isEmpty() else links.limit(0)
     links = links.unionByName(done.keep(extra, "links2"))
@@ -329,9 +335,12 @@ def key_of(text: str) -> Column:
 
 def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: its id, class_id (smallest id of the class), class_size, kept (one row of each class) and key."""
-    root = linked(docs, text)
     done = Settled(docs.sparkSession, "class")
-    rows = done.keep(docs.select(F.col(doc_id).alias("doc_id"), key_of(text).alias("key"), F.monotonically_increasing_id().alias("r")), "rows")
+    # Words are cut once; what follows reads this table.
+    words = docs.select(F.col(doc_id).alias("doc_id"), word_list(text_of(text)).alias("words"))
+    rows = done.keep(words.select("doc_id", F.unhex(F.md5("words")).alias("key"), F.monotonically_increasing_id().alias("r"), "words"), "rows")
+    root = linked(rows.select("key", "words"))
+    rows = rows.drop("words")
     named = rows.join(root.hint("merge"), "key", "left").withColumn("c", F.coalesce(F.col("root").cast("string"), F.hex("key")))
     best = named.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("u"), F.col("doc_id").alias("i"), F.col("r").alias("r"))).alias("b"), F.count(F.lit(1)).alias("class_size"))
     return named.join(best.hint("merge"), "c").select("doc_id", F.col("b.i").alias("class_id"), "class_size", (F.col("r") == F.col("b.r")).alias("kept"), "key")
