@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import time
 import urllib.error
 import urllib.request
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 #: Length of a zero vector where no item of a batch succeeded.
 EMPTY_DIM = 1024
+WORD = re.compile(r"[^\W_]+")
 RETRIED = (429, 500, 502, 503, 504)
 
 
@@ -38,7 +40,7 @@ class HashEmbedder:
     def __call__(self, texts: list[str]) -> list[list[float]]:
         out = np.zeros((len(texts), self.dim), np.float32)
         for k, text in enumerate(texts):
-            for word in text.lower().split():
+            for word in WORD.findall(text.lower()):
                 h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
                 out[k, h % self.dim] += 1 if h >> 63 else -1
             norm = np.linalg.norm(out[k])

@@ -11,6 +11,7 @@ import time
 import uuid
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,12 +135,11 @@ class Store:
         found = workspaces.detect(directory) if "://" not in directory else None
         ws = workspace or (found.id if found else workspaces.id_of(directory))
         listing = tree.listing(self.spark, directory, recursive)
-        names = listing.drop("content")
         wanted = tree.within_size(tree.wanted(listing, directory, own.supported_extensions, excludes if excludes is not None else own.exclude_patterns), own.max_file_size_mb)
-        wanted = tree.with_source(wanted).withColumn("workspace_id", F.lit(ws))
-        fresh = tree.with_package(index.changed(wanted, self.table("files"), force), names)
+        wanted = tree.with_source(wanted, directory).withColumn("workspace_id", F.lit(ws))
+        fresh = tree.with_package(index.changed(wanted, self.table("files"), force), listing)
         gone = index.orphans(self.table("files"), wanted, ws, directory) if self.config.watcher.sync_deletions else self.table("files").limit(0)
-        report = self.write(names, ws, fresh, gone, started)
+        report = self.write(listing, ws, fresh, gone, started)
         if found:
             self.remember(found)
         return report | {"workspace_id": ws}
@@ -147,11 +147,10 @@ class Store:
     def index_files(self, files: Sequence[str], workspace: str, root: str, force: bool = False) -> dict:
         """The same plan for named files."""
         started, own = time.time(), self.config.index
-        reader = self.spark.read.format("binaryFile").load([f if "://" in f else f"file://{f}" for f in files])
-        listing = reader.select(tree.plain_path(F.col("path")).alias("file_path"), F.col("length").alias("size_bytes"), "content")
-        wanted = tree.with_source(tree.within_size(tree.wanted(listing, root, own.supported_extensions, own.exclude_patterns), own.max_file_size_mb)).withColumn("workspace_id", F.lit(workspace))
-        fresh = tree.with_package(index.changed(wanted, self.table("files"), force), tree.listing(self.spark, root).drop("content"))
-        return self.write(listing.drop("content"), workspace, fresh, self.table("files").limit(0), started, record=False)
+        listing = tree.named(self.spark, files)
+        wanted = tree.with_source(tree.within_size(tree.wanted(listing, root, own.supported_extensions, own.exclude_patterns), own.max_file_size_mb), root).withColumn("workspace_id", F.lit(workspace))
+        fresh = tree.with_package(index.changed(wanted, self.table("files"), force), tree.listing(self.spark, root))
+        return self.write(listing, workspace, fresh, self.table("files").limit(0), started, record=False)
 
     def delete_files(self, workspace: str, files: Sequence[str]) -> None:
         gone = self.spark.createDataFrame([(workspace, f) for f in files], "workspace_id string, file_path string")
@@ -177,8 +176,6 @@ class Store:
 
 
 def _asker(tagger):
-    import pandas as pd
-
     def ask(path: pd.Series, preview: pd.Series) -> pd.Series:
         out = []
         for p, s in zip(path, preview, strict=True):
