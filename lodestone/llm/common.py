@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,17 +40,35 @@ def shared_dir(spark: SparkSession) -> str:
     return told.rstrip("/")
 
 
+#: Where a pipeline collects what the operators of a stage settle, to delete it once the stage's result is written.
+SCOPE: ContextVar[list | None] = ContextVar("settled", default=None)
+
+
 class Settled:
     """Tables written to the shared folder to cut lineage; ``drop`` removes those that nothing reads any more."""
 
     def __init__(self, spark: SparkSession, tag: str):
-        self.spark, self.base = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+        self.spark, self.base, self.names = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", set()
+        if (scope := SCOPE.get()) is not None:
+            scope.append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(path := f"{self.base}/{name}")
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self._delete(f"{self.base}/{name}")
+            self.names.discard(name)
+
+    def drop_all_but(self, *names: str) -> None:
+        self.drop(*(self.names - set(names)))
+
+    def close(self) -> None:
+        self._delete(self.base)
+        self.names.clear()
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

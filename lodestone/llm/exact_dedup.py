@@ -50,6 +50,7 @@ def classes(docs: DataFrame, text: str = "text", carry_text: bool = True) -> Dat
             F.lit(k).alias("__round"), F.when(more, F.col("__next")).alias("__gid"), (F.col("__at") + width).alias("__at"),
         )
         split = done.keep(split, f"rows{k}")
+        done.drop(f"groups{k}")
         out.append(split.filter("__gid is null").select(*names, "__class", "__round", F.concat_ws("-", F.lit(k), F.monotonically_increasing_id()).alias("__row")))
         todo = split.filter("__gid is not null").select(*names, "__gid", "__at")
         if todo.isEmpty():

@@ -300,7 +300,9 @@ def linked(keyed: DataFrame) -> DataFrame:
     extra = compared(more, texts_of(more, nodes, keyed, done, "texts2")) if not more.isEmpty() else links.limit(0)
     links = links.unionByName(done.keep(extra, "links2"))
     label = components(links.select("a", "b"), done, "all")
-    return label.join(nodes.select("nid", "key"), "nid").select("key", "root")
+    roots = done.keep(label.join(nodes.select("nid", "key").hint("merge"), "nid").select("key", "root"), "roots")
+    done.drop_all_but("roots")
+    return roots
 
 
 def likely(pairs: DataFrame, sig: DataFrame) -> DataFrame:
@@ -340,7 +342,8 @@ def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     words = docs.select(F.col(doc_id).alias("doc_id"), word_list(text_of(text)).alias("words"))
     rows = done.keep(words.select("doc_id", F.unhex(F.md5("words")).alias("key"), F.monotonically_increasing_id().alias("r"), "words"), "rows")
     root = linked(rows.select("key", "words"))
-    rows = rows.drop("words")
+    rows = done.keep(rows.drop("words"), "ids")
+    done.drop("rows")
     named = rows.join(root.hint("merge"), "key", "left").withColumn("c", F.coalesce(F.col("root").cast("string"), F.hex("key")))
     best = named.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("u"), F.col("doc_id").alias("i"), F.col("r").alias("r"))).alias("b"), F.count(F.lit(1)).alias("class_size"))
     return named.join(best.hint("merge"), "c").select("doc_id", F.col("b.i").alias("class_id"), "class_size", (F.col("r") == F.col("b.r")).alias("kept"), "key")
