@@ -111,7 +111,7 @@ def boilerplate(name: str, said: str, in_article: bool) -> bool:
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """Text, weight and whether it is inside the marked main text, for every block in page order."""
+    """Text, weight and whether it belongs to the marked main text, for every block in page order."""
     out: list[tuple[str, int, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, main
     parts: list[str] = []
@@ -124,7 +124,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if parts:
             text = WHITE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append((text, max(0, len(text) - linked) if keep else 0, inside))
+                out.append((text, max(0, len(text) - linked) if keep else 0, inside and keep))
             parts.clear()
         linked = 0
 
@@ -174,11 +174,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 
 def extract(page: str) -> str:
     lines = lines_of(page)
-    marked = any(inside and weight for _, weight, inside in lines)
-    weights = [weight if inside or not marked else 0 for _, weight, inside in lines]
+    marked = any(inside for _, _, inside in lines)
     # In the marked main text a line of links only is text as well.
-    if marked:
-        weights = [max(w, 1) if inside and (w or full) else 0 for w, (_, full, inside) in zip(weights, lines, strict=True)]
+    weights = [(max(weight, 1) if inside else 0) if marked else weight for _, weight, inside in lines]
     surge = 1 if marked else min(SURGE, max(weights, default=0))
     kept: list[str] = []
     at = 0
