@@ -6,13 +6,35 @@ A stage returns the columns of ``documents``; the last returns one row per docum
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import exact_dedup, mixing, near_dedup, pieces, quality
-from lodestone.llm.common import Settled
+from lodestone.llm.common import SCOPE, Settled
+
+#: What the operators of the last stage have settled. A stage's documents are a table of their own, so it goes when the next stage begins.
+_settled: list[Settled] = []
+
+
+def stage(f):
+    """A stage that clears up after the one before."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _settled:
+            _settled.pop().close()
+        token = SCOPE.set(_settled)
+        try:
+            return f(spark, docs, sf_dir)
+        finally:
+            SCOPE.reset(token)
+
+    return run_stage
 
 
+@stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels that fall to training, doesn't reject."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -21,22 +43,26 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return scored.filter("predicted = 1").select(*[F.col(f"__doc.`{c}`").alias(c) for c in docs.columns])
 
 
+@stage
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the longest original."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("__doc"), F.col("doc_id").alias("__id"), "text")
     return exact_dedup.exact_dedup(rows, doc_id="__id").filter("kept").select(*[F.col("text") if c == "text" else F.col(f"__doc.`{c}`").alias(c) for c in docs.columns])
 
 
+@stage
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
     return near_dedup.near_dedup(docs)
 
 
+@stage
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources, in training order; a document stands as often as the mix repeats it."""
     return mixing.mix(docs)
 
 
+@stage
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per row of the mix: doc_id, n_tokens, ids_sha256, decoded_sha256 and the digest of the spans."""
     return pieces.encode(docs.select("doc_id", "text"), keep="digests")
@@ -52,8 +78,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     done = Settled(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    for k, (name, function) in enumerate(STAGES):
+        docs = function(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = done.keep(docs, name)
     return docs
