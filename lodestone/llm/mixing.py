@@ -43,7 +43,7 @@ def targets(sized: DataFrame, cap: int = CAP) -> DataFrame:
     by = by.withColumn("__level", (F.col("__t") - cap * F.coalesce(F.sum("source_size").over(fill), F.lit(0))).cast("double") / (F.col("__w") - F.coalesce(F.sum("weight").over(fill), F.lit(0))).cast("double"))
     by = by.withColumn("__full", F.col("__level") * F.col("weight") >= cap * F.col("source_size"))
     # The level of the first source that is not capped is the level of all of those.
-    level = F.min_by("__level", F.col("source_size") / F.col("weight")).over(Window.partitionBy("__full"))
+    level = F.min_by("__level", F.struct((F.col("source_size") / F.col("weight")).alias("r"), "__s")).over(Window.partitionBy("__full"))
     return by.select("__s", "source_size", "weight", F.when(F.col("__full"), (cap * F.col("source_size")).cast("double")).otherwise(level * F.col("weight")).alias("target"))
 
 
@@ -104,7 +104,7 @@ s1 AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS
 s2 AS (SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER f, 0))::DOUBLE / (sum(w) OVER () - coalesce(sum(w) OVER f, 0))::DOUBLE AS lev
        FROM s1 WINDOW f AS (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 s3 AS (SELECT *, lev * w >= 3 * source_size AS capped FROM s2),
-s4 AS (SELECT source, source_size, w, CASE WHEN capped THEN (3 * source_size)::DOUBLE ELSE (SELECT arg_min(lev, source_size / w) FROM s3 WHERE NOT capped) * w END AS target FROM s3),
+s4 AS (SELECT source, source_size, w, CASE WHEN capped THEN (3 * source_size)::DOUBLE ELSE (SELECT first(lev ORDER BY source_size / w, source NULLS LAST) FROM s3 WHERE NOT capped) * w END AS target FROM s3),
 r AS (SELECT d.*, s4.source_size, s4.target, CASE w WHEN 1 THEN -0.5 WHEN 2 THEN 0.0 ELSE 0.5 END::DOUBLE AS sl,
              coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2 AS mid,
              CASE WHEN s4.source_size > 0 THEN floor(s4.target / s4.source_size) ELSE 0 END AS whole
