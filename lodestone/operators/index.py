@@ -52,6 +52,6 @@ def summary(scanned: DataFrame, indexed: DataFrame, chunks: DataFrame) -> DataFr
     """One row: files_scanned, files_indexed, files_skipped, languages, total_chunks. Counts are made where the rows are; one row of each meets."""
     languages = indexed.groupBy("language").count()
     by = languages.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("files_indexed"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("language", "count")))).alias("languages"))
-    one = scanned.agg(F.count(F.lit(1)).alias("files_scanned")).withColumn("k", F.lit(1))
-    out = one.join(by.withColumn("k", F.lit(1)), "k").join(chunks.agg(F.count(F.lit(1)).alias("total_chunks")).withColumn("k", F.lit(1)), "k")
+    count = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    out = by.withColumns({"files_scanned": count(scanned), "total_chunks": count(chunks)})
     return out.select("files_scanned", "files_indexed", (F.col("files_scanned") - F.col("files_indexed")).alias("files_skipped"), "languages", "total_chunks")

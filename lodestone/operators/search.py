@@ -40,8 +40,8 @@ def bm25(docs: DataFrame, phrases: dict[str, str]) -> DataFrame:
     hits = hits.withColumn("tf", F.aggregate("words", F.lit(0), lambda n, w: n + occurrences(w, F.col("q.phrase")))).filter("tf > 0").withColumn("query_id", F.col("q.query_id")).drop("q", "words")
     total = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))
     found = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"))
-    # One row, and one per query.
-    hits = hits.join(F.broadcast(found), "query_id").join(F.broadcast(total))
+    # One row per query; the totals are scalar subqueries.
+    hits = hits.join(F.broadcast(found), "query_id").withColumns({c: total.select(c).scalar() for c in ("n_docs", "mean_length")})
     idf = F.log((F.col("n_docs") - F.col("n_hits") + 0.5) / (F.col("n_hits") + 0.5))
     idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
     norm = K1 * ((1 - B) + B * F.col("length") / F.col("mean_length"))

@@ -43,10 +43,14 @@ class Store:
 
     def current(self) -> dict[str, str]:
         """Table to snapshot folder."""
-        path = self._path("current.json")
-        if not self._fs().exists(path):
+        fs, path = self._fs(), self._path("current.json")
+        if not fs.exists(path):
             return {}
-        return json.loads(self.spark.read.text(f"{self.root}/current.json", wholetext=True).first().value)
+        stream = fs.open(path)
+        try:
+            return json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
 
     def table(self, name: str) -> DataFrame:
         at = self.current().get(name)
@@ -75,18 +79,19 @@ class Store:
 
     # Write path
 
-    def tagged(self, files: DataFrame) -> DataFrame:
-        """Files with tags: by path, and by the model where that is on; answers are cached by a hash of path and first lines."""
+    def tagged(self, files: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """Files with tags, and the model's new answers (tag_key, known): by path, and by the model where that is on. Answers are cached by a
+        hash of path and first lines, so a text is asked about once."""
         h1 = tags.path_tags(F.col("file_path"), F.col("language"))
         if not self.config.tagging.h2_enabled or self.tagger is None:
-            return files.withColumn("tags", h1)
+            return files.withColumn("tags", h1), None
         preview = F.array_join(F.slice(F.split("source", "\n"), 1, 50), "\n")
-        asked = files.withColumn("tag_key", F.sha2(F.concat("file_path", F.lit(":"), preview), 256)).withColumn("preview", preview)
+        asked = files.withColumns({"tag_key": F.sha2(F.concat("file_path", F.lit(":"), preview), 256), "preview": preview})
         cached = self.table("tag_cache").select(F.col("file_hash").alias("tag_key"), F.col("tags").alias("known")) if self.config.tagging.use_cache else None
-        new = asked if cached is None else asked.join(cached, "tag_key", "left_anti")
-        answers = self.answers(new)
+        answers = self.answers(asked if cached is None else asked.join(cached, "tag_key", "left_anti")).persist()
         both = answers if cached is None else answers.unionByName(cached)
-        return asked.join(both.dropDuplicates(["tag_key"]), "tag_key", "left").withColumn("tags", F.array_sort(F.array_union(h1, F.coalesce("known", F.array().cast("array<string>"))))).drop("preview", "known")
+        all_tags = F.array_sort(F.array_union(h1, F.coalesce("known", F.array().cast("array<string>"))))
+        return asked.join(both.dropDuplicates(["tag_key"]), "tag_key", "left").withColumn("tags", all_tags).drop("tag_key", "preview", "known"), answers
 
     def answers(self, files: DataFrame) -> DataFrame:
         """tag_key and validated tags of the model's answers; a failing call gives none."""
@@ -108,7 +113,8 @@ class Store:
 
     def write(self, scanned: DataFrame, workspace: str, fresh: DataFrame, gone: DataFrame, started: float, record: bool = True) -> dict:
         """Index the fresh files (with source), drop those gone, record the scan, and report."""
-        fresh = self.tagged(fresh.withColumn("workspace_id", F.lit(workspace))).persist()
+        fresh, answers = self.tagged(fresh.withColumn("workspace_id", F.lit(workspace)))
+        fresh = fresh.persist()
         new = self.chunk_rows(fresh).persist()
         try:
             errors = [r.error for r in chunking.chunk_files(fresh).filter("error is not null").select("error").collect()]
@@ -117,16 +123,22 @@ class Store:
             report = index.summary(scanned, indexed, new).first().asDict(recursive=True)
             touched = fresh.select(*index.FILE_KEY).unionByName(gone.select(*index.FILE_KEY)).distinct()
             report |= {"duration_ms": int((time.time() - started) * 1000), "errors": errors, "files_skipped": report["files_skipped"] - len(errors)}
+            extra = {}
+            if answers is not None and self.config.tagging.use_cache:
+                known = answers.select(F.col("tag_key").alias("file_hash"), F.col("known").alias("tags"), F.current_timestamp().alias("created_at"))
+                extra["tag_cache"] = index.last_wins(self.table("tag_cache").unionByName(known), ["file_hash"], [F.col("created_at")])
             scan = self.spark.createDataFrame([(workspace, report["files_scanned"], report["total_chunks"], report["duration_ms"])], "workspace_id string, files_scanned long, chunks_created long, duration_ms long")
             self.commit(
                 chunks=index.upserted(self.table("chunks"), new.select(*schema.CHUNK.fieldNames()), touched),
                 files=index.upserted(self.table("files"), fresh.select("workspace_id", "file_path", "language", "file_hash", "size_bytes", F.current_timestamp().alias("indexed_at")), touched),
                 deps=index.upserted(self.table("deps"), index.edges_of(fresh, imports.imports(F.col("source"), F.col("language"))), touched),
                 **({"scans": self.table("scans").unionByName(scan.withColumn("ts", F.current_timestamp()))} if record else {}),
+                **extra,
             )
         finally:
-            new.unpersist()
-            fresh.unpersist()
+            for x in (new, fresh, answers):
+                if x is not None:
+                    x.unpersist()
         return report
 
     def index_directory(self, directory: str, workspace: str | None = None, recursive: bool = True, excludes: Sequence[str] | None = None, force: bool = False) -> dict:

@@ -99,6 +99,10 @@ def test_failing_files_and_model_tags(spark, tmp_path, project):
     assert r["files_indexed"] == 3 and r["errors"] == []
     rows = t.store.table("chunks").filter("name = 'helper'").collect()
     assert rows[0].tags == ["framework:flask", "lang:python"]
+    asked = len(calls.read_text().splitlines())
+    assert t.store.table("tag_cache").count() == asked > 0
+    t.index_project(str(project), force_reindex=True)
+    assert len(calls.read_text().splitlines()) == asked
 
 
 def test_embedding_fallback():
