@@ -88,7 +88,7 @@ class Tools:
         rows = self.store.table("chunks")
         if workspace_id is not None:
             rows = rows.filter(F.col("workspace_id") == workspace_id)
-        return rows.select(F.col("chunk_id").alias("id"), "workspace_id", "language", "file_path", F.col("name").alias("symbol_name"), "code", "docstring", "tags", "metadata", "embed_text", "embedding")
+        return rows.select(F.col("chunk_id").alias("id"), "workspace_id", "language", "file_path", F.col("name").alias("symbol_name"), "code", "docstring", "tags", "embed_text", "embedding", "words", "length")
 
     def search_rows(self, query: str, top_k: int = 10, workspace_id: str = "default", language_filter: str | None = None, file_filter: str | None = None, exclude_tests: bool = False, tag_filter: list[str] | None = None, tags_mode: str = "any") -> list[dict]:
         """The fused hits; none if the query can't be embedded."""
@@ -99,8 +99,8 @@ class Tools:
         if not vector:
             return []
         # Ranking statistics span all workspaces.
-        docs = search.tokenized(self.searchable().drop("embedding", "embed_text", "metadata", "tags"))
-        vectors = self.searchable(workspace_id).withColumn("code", F.col("embed_text")).drop("embed_text")
+        docs = self.searchable().drop("embedding", "embed_text", "tags")
+        vectors = self.searchable(workspace_id).withColumn("code", F.col("embed_text")).drop("embed_text", "words", "length")
         how = {"file_filter": file_filter, "exclude_tests": exclude_tests, "tags": tag_filter, "tags_mode": tags_mode, "alpha": self.config.search.alpha, "beta": self.config.search.beta}
         hits = search.hybrid_search(docs, vectors, {"q": query}, {"q": vector}, top_k, workspace_id, language_filter, **how)
         keep = ("file_path", "symbol_name", "code", "docstring", "bm25_score", "vector_score", "tags", "hybrid_score")

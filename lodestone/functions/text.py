@@ -29,8 +29,20 @@ def workspace_id(root: Column) -> Column:
 
 
 def folded(text: Column) -> Column:
-    """Lower case, without the marks of Latin letters."""
-    return F.translate(F.lower(text), FOLD_FROM, FOLD_TO)
+    """Lower case, without the marks of Latin letters. Texts of one-byte characters have none to fold."""
+    low = F.lower(text)
+    return F.when(F.octet_length(text) == F.char_length(text), low).otherwise(F.translate(low, FOLD_FROM, FOLD_TO))
+
+
+def token_line(text: Column) -> Column:
+    """The tokens in one line, each with a space on either side shared with its neighbour; empty without tokens."""
+    line = F.trim(F.regexp_replace(folded(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    return F.when(line == "", F.lit("")).otherwise(F.concat(F.lit(" "), line, F.lit(" ")))
+
+
+def token_count(line: Column) -> Column:
+    """Tokens of a token line, or of several put together."""
+    return F.char_length(line) - F.char_length(F.replace(line, F.lit(" "), F.lit("")))
 
 
 def tokens(text: Column) -> Column:

@@ -37,11 +37,6 @@ def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
     return rows.join(gone.select(*FILE_KEY), list(FILE_KEY), "left_anti")
 
 
-def upserted(old: DataFrame, new: DataFrame, replaced: DataFrame) -> DataFrame:
-    """The old rows but those of replaced files, and the new ones."""
-    return without(old, replaced).unionByName(new)
-
-
 def edges_of(files: DataFrame, imports: Column) -> DataFrame:
     """Dependencies of files: the file's path to each imported name, once."""
     rows = files.select("workspace_id", F.col("file_path").alias("source_symbol"), F.explode(imports).alias("target_symbol"), "file_path").dropDuplicates(["workspace_id", "source_symbol", "target_symbol"])

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import unicodedata
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,39 +18,38 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 FIELDS = ("workspace_id", "file_path", "symbol_name", "code", "docstring")
 
 
-def occurrences(words: Column, phrase: Column) -> Column:
-    """Places of ``words`` at which the phrase stands."""
-    n = F.size(phrase)
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(starts, lambda k: F.slice(words, k, n) == phrase))
+def plain_tokens(phrase: str) -> list[str]:
+    """Tokens of a query, as ``text.tokens`` makes them of a column."""
+    folding = str.maketrans(text.FOLD_FROM, text.FOLD_TO)
+    return "".join(c if c.isalnum() and unicodedata.category(c)[0] in "LN" else " " for c in phrase.lower().translate(folding)).split()
 
 
 def tokenized(docs: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
-    """``docs`` with the tokens of each field (array of arrays) and their number; worth storing when it is searched often."""
-    return docs.withColumn("words", F.array(*[text.tokens(F.col(c)) for c in fields])).withColumn("length", F.aggregate("words", F.lit(0), lambda n, w: n + F.size(w)))
+    """``docs`` with ``words``, the token lines of all fields with a bar between, and ``length``, their number of tokens. Worth storing where it is searched often."""
+    lines = docs.withColumn("words", F.concat_ws("|", *[text.token_line(F.col(c)) for c in fields]))
+    # A line of n tokens has n + 1 spaces.
+    return lines.withColumn("length", text.token_count(F.col("words")) - F.size(F.filter(F.split("words", r"\|"), lambda x: x != "")))
 
 
 def bm25(docs: DataFrame, phrases: dict[str, str]) -> DataFrame:
     """For each query (id: phrase) the documents that hold the phrase in one field: query_id, the columns of docs, and rank (lower is better).
     Document counts and lengths are over all of ``docs``, whatever is filtered afterwards. ``docs`` as from ``tokenized``.
 
-    One pass counts all phrases; a row of totals joins back, so nothing is sorted but the hits."""
-    asked = [(k, p) for k, p in phrases.items()]
-    of = F.array(*[F.struct(F.lit(k).alias("query_id"), text.tokens(F.lit(p)).alias("phrase")) for k, p in asked])
-    lead = F.array_distinct(F.flatten(F.transform(of, lambda q: F.slice(q["phrase"], 1, 1))))
-    # A document without the first word of any phrase is only counted.
-    maybe = docs.withColumn("may", F.exists("words", lambda w: F.arrays_overlap(w, lead)))
-    hits = maybe.filter("may").drop("may").withColumn("q", F.explode(of)).filter(F.size("q.phrase") > 0)
-    hits = hits.withColumn("tf", F.aggregate("words", F.lit(0), lambda n, w: n + occurrences(w, F.col("q.phrase")))).filter("tf > 0").withColumn("query_id", F.col("q.query_id")).drop("q", "words")
-    total = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))
-    found = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"))
-    # One row per query; the totals are scalar subqueries.
-    hits = hits.join(F.broadcast(found), "query_id").withColumns({c: total.select(c).scalar() for c in ("n_docs", "mean_length")})
+    One pass counts documents and hits of all phrases into a single row; another ranks the hits. Nothing but that row is shuffled."""
+    asked = {k: " " + " ".join(t) + " " for k, p in phrases.items() if (t := plain_tokens(p))}
+    if not asked:
+        return docs.drop("words").withColumns({"query_id": F.lit(""), "tf": F.lit(0), "rank": F.lit(0.0)}).filter(F.lit(False))
+    holds = {k: F.col("words").contains(p) for k, p in asked.items()}
+    total = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"), F.array(*[F.count_if(h) for h in holds.values()]).alias("n_hits"))
+    # Places where the phrase begins; the space before it is shared with the token before, so places may overlap.
+    tf = [F.when(holds[k], F.struct(F.lit(k).alias("query_id"), F.lit(n).alias("q"), F.regexp_count("words", F.lit(f"(?={p})")).alias("tf"))) for n, (k, p) in enumerate(asked.items())]
+    hits = docs.withColumn("hit", F.explode(F.array_compact(F.array(*tf)))).select(*[c for c in docs.columns if c != "words"], "hit.query_id", "hit.q", "hit.tf")
+    hits = hits.withColumns({c: total.select(c).scalar() for c in ("n_docs", "mean_length", "n_hits")}).withColumn("n_hits", F.col("n_hits")[F.col("q")])
     idf = F.log((F.col("n_docs") - F.col("n_hits") + 0.5) / (F.col("n_hits") + 0.5))
     idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
     norm = K1 * ((1 - B) + B * F.col("length") / F.col("mean_length"))
     rank = -idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + norm)
-    return hits.withColumn("rank", rank).drop("n_docs", "mean_length", "n_hits")
+    return hits.withColumn("rank", rank).drop("n_docs", "mean_length", "n_hits", "q")
 
 
 def language_filter(path: Column, language: str | None) -> Column:
@@ -89,6 +92,42 @@ def nearest(vectors: DataFrame, queries: dict[str, Sequence[float]], k: int = 10
     return best(rows, k, [F.col("distance"), *[F.col(t) for t in tie]]).withColumn("vector_score", 1 - F.col("distance"))
 
 
+#: Vectors and queries that meet in one step of ``nearest_many``.
+VECTOR_BLOCK, QUERY_BLOCK = 4096, 256
+
+
+def packed(rows: DataFrame, id_: str, block: int) -> DataFrame:
+    """Rows (id, embedding) packed: one row of up to ``block`` ids and their vectors as bytes. Nothing is shuffled."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            for k in range(0, len(x), block):
+                part = x.iloc[k : k + block]
+                yield pd.DataFrame({"ids": [part["id"].to_numpy()], "dim": [len(part["embedding"].iloc[0])], "vectors": [np.vstack(part["embedding"].to_list()).astype("<f4").tobytes()]})
+
+    ready = rows.select(F.col(id_).cast("long").alias("id"), "embedding").filter("embedding is not null")
+    return ready.mapInPandas(run, "ids array<bigint>, dim int, vectors binary")
+
+
+def nearest_many(vectors: DataFrame, queries: DataFrame, k: int = 10, id_: str = "id") -> DataFrame:
+    """Exact k nearest vectors of each of many queries (both: id, embedding): query_id, id, distance, place. Blocks of vectors meet blocks of queries; a
+    meeting gives its k best for each query, and the best of those are taken, a partial top-k before the shuffle."""
+    a, b = packed(vectors, id_, VECTOR_BLOCK), packed(queries, id_, QUERY_BLOCK).toDF("q_ids", "q_dim", "q_vectors")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            for ids, dim, data, q_ids, q_data in x.itertuples(index=False, name=None):
+                v, q = (np.frombuffer(d, "<f4").reshape(-1, dim).astype(float) for d in (data, q_data))
+                ids = np.asarray(ids)
+                for q_id, one in zip(q_ids, q, strict=True):
+                    d = np.round(((v - one) ** 2).sum(axis=1), 9)
+                    best_ = np.lexsort((ids, d))[:k] if len(d) <= 4 * k else (near := np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]))[np.lexsort((ids[near], d[near]))[:k]]
+                    yield pd.DataFrame({"query_id": q_id, "id": ids[best_], "distance": d[best_]})
+
+    meetings = a.crossJoin(b).filter("dim = q_dim").select("ids", "dim", "vectors", "q_ids", "q_vectors")
+    return best(meetings.mapInPandas(run, "query_id bigint, id bigint, distance double"), k, [F.col("distance"), F.col("id")])
+
+
 def fused(words: DataFrame, vectors: DataFrame, k: int = 10, alpha: float = 0.6, beta: float = 0.4, file_filter: str | None = None, exclude_tests: bool = False, tags: Sequence[str] | None = None, tags_mode: str = "any") -> DataFrame:
     """Full join of both result lists on file and symbol; the least score of repeated hits; filters after the candidates were cut; weighted sum."""
     key = ["query_id", "file_path", "symbol_name"]

@@ -427,22 +427,17 @@ def search_language_filter(spark, d):
     return corpus.files(spark, d).filter(search.language_filter(p, "java") | search.language_filter(p, "python")).select("doc_id")
 
 
-def query_vectors(spark, d, step: int = 100) -> dict[str, list[float]]:
-    """The vectors whose id is divisible by ``step``, as queries; how many there are doesn't depend on what is searched by them."""
-    rows = corpus.read(spark, d, "embeddings").filter((F.col("vec_id") % step == 0) & (F.col("vec_id") < 5 * step)).select("vec_id", "embedding").collect()
-    return {str(r.vec_id): list(r.embedding) for r in rows}
-
-
 @query(
     "search_nearest",
-    """WITH q AS (SELECT vec_id::VARCHAR AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0 AND vec_id < 500),
+    """WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0),
 x AS (SELECT query_id, vec_id AS id, list_sum(list_transform(range(1, len(e) + 1), lambda i: (embedding[i]::DOUBLE - e[i]::DOUBLE) * (embedding[i]::DOUBLE - e[i]::DOUBLE))) AS dist FROM embeddings, q),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), id) AS place FROM x) SELECT query_id, id, place, round(1 - dist, 5) AS vector_score FROM r WHERE place <= 10""",
 )
 def search_nearest(spark, d):
+    """Every vector whose id is divisible by 20 as a query against all vectors."""
     v = corpus.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    near = search.nearest(v, query_vectors(spark, d), 10)
-    return near.select("query_id", "id", "place", F.round("vector_score", 5).alias("vector_score"))
+    near = search.nearest_many(v, v.filter("id % 20 = 0"), 10)
+    return near.select("query_id", "id", "place", F.round(1 - F.col("distance"), 5).alias("vector_score"))
 
 
 @query("search_hybrid")

@@ -1,7 +1,9 @@
-"""The index on disk: Parquet snapshots by table, swapped as a whole, and the write path that fills them.
+"""The index on disk: tables as lists of Parquet segments, and the write path that fills them.
 
-A write makes a new snapshot folder of each table it changes and then replaces the small file that names the current ones; readers keep the
-snapshot they have. Chunks are partitioned by workspace and language, so searches prune.
+A write appends a segment of new rows to each table and, for files that changed or went, a row to the table of dropped files; readers leave out
+what a later commit dropped. So a write costs what changed, not what is there. A small file names the segments and is swapped at the end: a
+failed write leaves the index as it was. Beyond 32 segments a write merges them. Chunks are partitioned by workspace and language, so searches
+prune.
 """
 
 from __future__ import annotations
@@ -14,15 +16,22 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema
 from ..config import Config
 from ..functions import imports, tags, text
 from ..operators import chunks as chunking
-from ..operators import embed, index
+from ..operators import embed, index, search
 from ..sources import tree, workspaces
 
 TABLES = {"chunks": schema.CHUNK, "files": schema.FILE, "deps": schema.EDGE, "scans": schema.SCAN, "workspaces": schema.WORKSPACE, "tag_cache": schema.TAG_CACHE}
+#: Tables whose rows belong to a file, and go with it.
+BY_FILE = {"chunks", "files", "deps"}
+COMMIT = T.StructField("commit_no", T.LongType())
+GONE = T.StructType([*schema.struct("workspace_id string, file_path string").fields, COMMIT])
+#: Segments of a table beyond which a write merges them.
+MOST_SEGMENTS = 32
 PARTITIONS = {"chunks": ["workspace_id", "language"], "deps": ["workspace_id"]}
 
 
@@ -33,7 +42,7 @@ class Store:
         root = self.config.index.index_path
         self.root = root if "://" in root else f"file://{root}"
 
-    # Snapshots
+    # Segments
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -41,41 +50,72 @@ class Store:
     def _fs(self):
         return self._path("").getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
 
-    def current(self) -> dict[str, str]:
-        """Table to snapshot folder."""
+    def current(self) -> dict:
+        """Number of the last commit, and the segment folders of each table."""
         fs, path = self._fs(), self._path("current.json")
         if not fs.exists(path):
-            return {}
+            return {"commit": 0, "tables": {}}
         stream = fs.open(path)
         try:
             return json.loads(bytes(stream.readAllBytes()))
         finally:
             stream.close()
 
+    def _segments(self, name: str, state: dict, form: T.StructType) -> DataFrame | None:
+        paths = [f"{self.root}/{p}" for p in state["tables"].get(name, ())]
+        return self.spark.read.schema(form).option("basePath", f"{self.root}/{name}").parquet(*paths) if paths else None
+
     def table(self, name: str) -> DataFrame:
-        at = self.current().get(name)
-        if at is None:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{at}").select(*TABLES[name].fieldNames())
-
-    def commit(self, **tables: DataFrame) -> None:
-        """Write the tables and make them the current ones; what they replace goes."""
-        now = self.current()
-        new = {}
-        for name, df in tables.items():
-            new[name] = f"{name}/{uuid.uuid4().hex}"
-            out = df.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[name].fields]).write
-            (out.partitionBy(*PARTITIONS[name]) if name in PARTITIONS else out).parquet(f"{self.root}/{new[name]}")
-        fs, path = self._fs(), self._path("current.json")
-        temporary = self._path(f"current-{uuid.uuid4().hex}.json")
-        stream = fs.create(temporary, True)
-        stream.write(bytearray(json.dumps(now | new).encode()))
+        """The live rows of a table: its segments, less the rows of files that a later commit dropped or replaced."""
+        state, form = self.current(), TABLES[name]
+        rows = self._segments(name, state, T.StructType([*form.fields, COMMIT]))
+        if rows is None:
+            return self.spark.createDataFrame([], form)
+        gone = self._segments("gone", state, GONE) if name in BY_FILE else None
+        if gone is not None:
+            last = gone.groupBy(*index.FILE_KEY).agg(F.max("commit_no").alias("gone_no")).alias("g")
+            r = rows.alias("r")
+            rows = r.join(last, [F.col(f"r.{c}") == F.col(f"g.{c}") for c in index.FILE_KEY] + [F.col("r.commit_no") < F.col("g.gone_no")], "left_anti")
+        return rows.select(*form.fieldNames())
+
+    def commit(self, append: dict[str, DataFrame] | None = None, replace: dict[str, DataFrame] | None = None, gone: DataFrame | None = None) -> None:
+        """One step of the index: segments appended, tables replaced, rows of files dropped. It holds once the file that names the segments is swapped;
+        there is one writer at a time."""
+        state = self.current()
+        n = state["commit"] + 1
+        tables = {k: list(v) for k, v in state["tables"].items()}
+        old = [p for name in (replace or {}) for p in tables.pop(name, ())]
+        for name, df in {**(append or {}), **(replace or {})}.items():
+            tables.setdefault(name, []).append(self._write(name, df, n))
+        if gone is not None:
+            tables.setdefault("gone", []).append(self._write("gone", gone, n))
+        elif replace and BY_FILE <= replace.keys():
+            old += tables.pop("gone", [])
+        fs, path, fresh = self._fs(), self._path("current.json"), self._path(f"current-{uuid.uuid4().hex}.json")
+        stream = fs.create(fresh, True)
+        stream.write(bytearray(json.dumps({"commit": n, "tables": tables}).encode()))
         stream.close()
         fs.delete(path, False)
-        fs.rename(temporary, path)
-        for name in new:
-            if name in now:
-                fs.delete(self._path(now[name]), True)
+        fs.rename(fresh, path)
+        for p in old:
+            fs.delete(self._path(p), True)
+
+    def _write(self, name: str, df: DataFrame, n: int) -> str:
+        form = GONE if name == "gone" else TABLES[name]
+        rows = df.select(*[F.col(f.name).cast(f.dataType) for f in form.fields if f.name != COMMIT.name])
+        if keys := PARTITIONS.get(name):
+            # Files of a sensible size in each partition, however many or few rows there are.
+            rows = rows.hint("rebalance", *[F.col(k) for k in keys])
+        # The commit is a partition, too. What is there already is left of a write that failed.
+        out = rows.write.mode("overwrite")
+        (out.partitionBy(*keys) if keys else out).parquet(f"{self.root}/{(at := f'{name}/{COMMIT.name}={n}')}")
+        return at
+
+    def compact(self, least: int = 1) -> None:
+        """Merge the segments of the tables by file, if one has more than ``least``; what was dropped goes for good."""
+        tables = self.current()["tables"]
+        if any(len(tables.get(name, ())) > least for name in BY_FILE):
+            self.commit(replace={name: self.table(name) for name in BY_FILE})
 
     # Write path
 
@@ -109,6 +149,8 @@ class Store:
         rows = rows.join(files.select("workspace_id", "file_path", "tags"), ["workspace_id", "file_path"], "left")
         rows = rows.withColumns({"chunk_id": index.chunk_id(), "selection_start": F.col("start_line"), "selection_end": F.when(F.col("signature") == F.col("name"), F.col("end_line")).otherwise(F.col("start_line"))})
         rows = rows.withColumn("embed_text", text.sanitized(text.embed_text(F.col("signature"), F.col("docstring"), F.col("code"), limit)))
+        # Token lines are stored, so a search only reads them.
+        rows = search.tokenized(rows, ("workspace_id", "file_path", "name", "code", "docstring"))
         return rows.withColumn("embedding", embed.embedding_of(self.embedder)(F.col("embed_text")))
 
     def write(self, scanned: DataFrame, workspace: str, fresh: DataFrame, gone: DataFrame, started: float, record: bool = True) -> dict:
@@ -121,20 +163,20 @@ class Store:
             chunked = new.select("workspace_id", "file_path").distinct()
             indexed = fresh.join(chunked, list(index.FILE_KEY), "left_semi")
             report = index.summary(scanned, indexed, new).first().asDict(recursive=True)
-            touched = fresh.select(*index.FILE_KEY).unionByName(gone.select(*index.FILE_KEY)).distinct()
+            touched = fresh.select(*index.FILE_KEY).unionByName(gone.select(*index.FILE_KEY)).distinct().join(self.table("files").select(*index.FILE_KEY), list(index.FILE_KEY), "left_semi")
             report |= {"duration_ms": int((time.time() - started) * 1000), "errors": errors, "files_skipped": report["files_skipped"] - len(errors)}
-            extra = {}
+            now = F.current_timestamp()
+            add = {
+                "chunks": new, "files": fresh.withColumn("indexed_at", now),
+                "deps": index.edges_of(fresh, imports.imports(F.col("source"), F.col("language"))),
+            }
             if answers is not None and self.config.tagging.use_cache:
-                known = answers.select(F.col("tag_key").alias("file_hash"), F.col("known").alias("tags"), F.current_timestamp().alias("created_at"))
-                extra["tag_cache"] = index.last_wins(self.table("tag_cache").unionByName(known), ["file_hash"], [F.col("created_at")])
-            scan = self.spark.createDataFrame([(workspace, report["files_scanned"], report["total_chunks"], report["duration_ms"])], "workspace_id string, files_scanned long, chunks_created long, duration_ms long")
-            self.commit(
-                chunks=index.upserted(self.table("chunks"), new.select(*schema.CHUNK.fieldNames()), touched),
-                files=index.upserted(self.table("files"), fresh.select("workspace_id", "file_path", "language", "file_hash", "size_bytes", F.current_timestamp().alias("indexed_at")), touched),
-                deps=index.upserted(self.table("deps"), index.edges_of(fresh, imports.imports(F.col("source"), F.col("language"))), touched),
-                **({"scans": self.table("scans").unionByName(scan.withColumn("ts", F.current_timestamp()))} if record else {}),
-                **extra,
-            )
+                add["tag_cache"] = answers.select(F.col("tag_key").alias("file_hash"), F.col("known").alias("tags"), now.alias("created_at")).dropDuplicates(["file_hash"])
+            if record:
+                scan = (workspace, report["files_scanned"], report["total_chunks"], report["duration_ms"])
+                add["scans"] = self.spark.createDataFrame([scan], "workspace_id string, files_scanned long, chunks_created long, duration_ms long").withColumn("ts", now)
+            self.commit(append=add, gone=touched)
+            self.compact(MOST_SEGMENTS)
         finally:
             for x in (new, fresh, answers):
                 if x is not None:
@@ -166,11 +208,11 @@ class Store:
 
     def delete_files(self, workspace: str, files: Sequence[str]) -> None:
         gone = self.spark.createDataFrame([(workspace, f) for f in files], "workspace_id string, file_path string")
-        self.commit(**{t: index.without(self.table(t), gone) for t in ("chunks", "files", "deps")})
+        self.commit(gone=gone)
 
     def delete_workspace(self, workspace: str) -> None:
         other: Column = F.col("workspace_id") != workspace
-        self.commit(**{t: self.table(t).filter(other) for t in ("chunks", "files", "deps", "scans")}, workspaces=self.table("workspaces").filter(F.col("id") != workspace))
+        self.commit(replace={t: self.table(t).filter(other) for t in (*BY_FILE, "scans")} | {"workspaces": self.table("workspaces").filter(F.col("id") != workspace)})
 
     def clear(self) -> int:
         """Delete everything; how many workspaces there were."""
@@ -181,7 +223,7 @@ class Store:
     def remember(self, found: workspaces.Workspace) -> None:
         languages = sorted(r.language for r in self.table("files").filter(F.col("workspace_id") == found.id).select("language").distinct().collect() if r.language)
         row = self.spark.createDataFrame([(found.id, found.name, found.root, found.marker_type, languages)], schema.struct("id string, name string, root string, marker_type string, languages strings"))
-        self.commit(workspaces=self.table("workspaces").filter(F.col("id") != found.id).unionByName(row.withColumn("created_at", F.current_timestamp())))
+        self.commit(replace={"workspaces": self.table("workspaces").filter(F.col("id") != found.id).unionByName(row.withColumn("created_at", F.current_timestamp()))})
 
     def list_workspaces(self) -> DataFrame:
         return self.table("workspaces").orderBy(F.col("created_at").desc(), "id")

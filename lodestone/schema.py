@@ -18,7 +18,7 @@ def struct(fields: str) -> T.StructType:
 CHUNK = struct(
     "workspace_id string, language string, chunk_id string, type string, name string, package string, file_path string, start_line int, end_line int,"
     " selection_start int, selection_end int, signature string, docstring string, code string, tags strings, metadata map,"
-    " embed_text string, embedding floats"
+    " embed_text string, embedding floats, words string, length int"
 )
 FILE = struct("workspace_id string, file_path string, language string, file_hash string, size_bytes long, indexed_at timestamp")
 EDGE = struct("workspace_id string, source_symbol string, target_symbol string, symbols strings, file_path string")

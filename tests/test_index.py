@@ -41,6 +41,10 @@ def test_index_twice_and_change(tools, project):
     tools.index_project(str(project))
     assert not [r for r in tools.own("files", ws).collect() if r.file_path.endswith("b.md")]
     assert json.loads(tools.index_project(str(project), force_reindex=True, format="json"))["files_indexed"] == 2
+    before = {t: sorted(map(str, tools.store.table(t).drop("embedding").collect())) for t in ("chunks", "files", "deps")}
+    tools.store.compact()
+    assert {t: len(v) for t, v in tools.store.current()["tables"].items() if t in before} == {t: 1 for t in before}
+    assert {t: sorted(map(str, tools.store.table(t).drop("embedding").collect())) for t in before} == before
     stats = json.loads(tools.project_stats(ws, "json"))
     assert len(stats["scan_history"]) == 5 and stats["current"]["total_symbols"] == 4 and stats["delta"]["chunks_delta"] == -1
 
