@@ -139,3 +139,11 @@ def test_watching(spark, tmp_path, project):
         time.sleep(1)
     stopped = json.loads(t.watch_directory(str(project), ws, enabled=False, format="json"))
     assert stopped["watchers_stopped"] == 1 and "fresh" in names and "b.md" not in names
+
+
+def test_question_to_the_model():
+    from lodestone.operators.tagger import prompt_for
+
+    asked = prompt_for("/a/b.py", "import os.path\ndef f(): pass\n")
+    assert "* os.path" in asked and "* f\n" in asked and "framework:flask" in asked and "/a/b.py" in asked
+    assert "(none)" in prompt_for("/a/b.md", "text")
