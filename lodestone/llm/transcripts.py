@@ -7,7 +7,8 @@ counts, which alone make a usable model. Viterbi decoding finds the likeliest st
 where a turn begins, so a line such as ``Note:`` inside a turn stays text. Turns are rendered ``<|role|>\\n text <|end|>``.
 
 A transcript is decoded in one piece. Where transcripts are put together from turns, one holds at most 256 turns, so no task gathers a whole
-hot conversation; longer ones continue in further transcripts, in order.
+hot conversation; longer ones continue in further transcripts, in order. Where repeated rows make that more than 1,024 rows, they are dealt to
+parts, each a transcript of its own.
 
 Defined cases: a null transcript counts as empty and has no turns; text before any marker goes to the likeliest role; repeated rows are
 parsed alike; rows of a null conversation are transcripts of their own; other columns pass through and input columns named like an output
@@ -35,6 +36,8 @@ SIZES = (8, 3, 5, 4, 3)  # values of each feature
 BLANK, OTHER = 6, 5
 #: Turns of a transcript at most.
 SEGMENT = 256
+#: Rows of a segment at most; repeated rows beyond that are dealt to parts.
+LARGE = 4 * SEGMENT
 #: Names that markers give to the roles.
 NAMES = {
     "system": 1, "instruction": 1, "instructions": 1, "context": 1,
@@ -204,7 +207,7 @@ STYLES = (("User: ", "Assistant: ", "System: ", "Tool: "), ("Human: ", "AI: ", "
 
 
 def raw_transcripts(conversations: DataFrame) -> DataFrame:
-    """Conversations (conv_id, turn, role, text) as raw transcripts of up to SEGMENT turns: conv_id, segment, transcript, and the labelled turns.
+    """Conversations (conv_id, turn, role, text) as raw transcripts of up to SEGMENT turns: conv_id, segment, part, transcript, and the labelled turns.
     Markers follow one of STYLES by the conversation."""
     style = F.pmod(F.xxhash64(F.col("conv_id").cast("string")), F.lit(len(STYLES)))
     mark: Column = F.lit("")
@@ -212,18 +215,23 @@ def raw_transcripts(conversations: DataFrame) -> DataFrame:
         for role, said in zip(("user", "assistant", "system", "tool"), marks, strict=True):
             mark = F.when((style == k) & (F.col("role") == role), F.lit(said)).otherwise(mark)
     alone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))
+    key = ["conv_id", "alone", "segment"]
     rows = conversations.select("conv_id", alone.alias("alone"), F.floor(F.coalesce("turn", F.lit(0)) / SEGMENT).alias("segment"), F.struct(F.col("turn"), F.concat(mark, text_of()).alias("text"), F.col("role")).alias("t"))
-    whole = rows.groupBy("conv_id", "alone", "segment").agg(F.sort_array(F.collect_list("t")).alias("turns")).drop("alone")
-    return whole.select("conv_id", "segment", F.concat_ws("\n", F.transform("turns", lambda t: t["text"])).alias("transcript"), "turns")
+    # Only repeated rows make a segment larger than its turns.
+    large = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LARGE).select(F.struct(*key).alias("k"), F.ceil(F.col("n") / LARGE).alias("parts"))
+    same = [F.col(c).eqNullSafe(F.col(f"k.{c}")) for c in key]
+    rows = rows.join(large, same, "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.col("parts"))))
+    whole = rows.groupBy(*key, "part").agg(F.sort_array(F.collect_list("t")).alias("turns")).drop("alone")
+    return whole.select("conv_id", "segment", "part", F.concat_ws("\n", F.transform("turns", lambda t: t["text"])).alias("transcript"), "turns")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    """A row for each recovered turn: conv_id, segment, turn, role, n_chars, content_sha256, formatted_sha256. The model is trained on the
+    """A row for each recovered turn: conv_id, segment, part, turn, role, n_chars, content_sha256, formatted_sha256. The model is trained on the
     conversations whose crc32 isn't divisible by 5."""
     whole = raw_transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     model = train(whole.filter(F.crc32(F.col("conv_id").cast("string").cast("binary")) % 5 != 0))
     turns = parse(whole.drop("turns"), model)
-    return turns.select("conv_id", "segment", "turn", "role", F.char_length("content").cast("long").alias("n_chars"), F.sha2("content", 256).alias("content_sha256"), F.sha2("formatted", 256).alias("formatted_sha256"))
+    return turns.select("conv_id", "segment", "part", "turn", "role", F.char_length("content").cast("long").alias("n_chars"), F.sha2("content", 256).alias("content_sha256"), F.sha2("formatted", 256).alias("formatted_sha256"))
 
 
 def digest(text: str) -> str:

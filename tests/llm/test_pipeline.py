@@ -4,14 +4,12 @@ from collections import Counter
 
 import pytest
 
+import corpus_pipeline
 from lodestone.llm import common, mixing, pieces, quality
 
 from .test_exact_dedup import brute as exact_brute
 from .test_near_dedup import classes
 
-corpus_pipeline = pytest.importorskip("corpus_pipeline")
-
-
 @pytest.fixture(scope="module")
 def stages(spark, sf_dir):
     done, docs = common.Settled(spark, "test"), spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -53,6 +53,9 @@ def test_odd_rows(spark):
     model = tr.train(whole)
     out = tr.parse(whole.drop("turns").withColumnRenamed("segment", "turn"), model).collect()
     assert any(r.content == "late" for r in out) and all(r.role in tr.ROLES for r in out)
+    many = spark.range(3000).selectExpr("9L AS conv_id", "0L AS turn", "'user' AS role", "'same' AS text")
+    parts = tr.raw_transcripts(many).selectExpr("part", "size(turns) AS n").collect()
+    assert len(parts) == 3 and sum(r.n for r in parts) == 3000
     none = tr.raw_transcripts(spark.createDataFrame([], schema))
     assert tr.parse(none.drop("turns"), tr.train(none)).count() == 0
 
