@@ -1,7 +1,7 @@
 """Main text of HTML pages by line-block distribution.
 
 A page is stripped of its markup to lines, one for each block of text. A line weighs the length of its text outside links; a line inside a
-menu, header, footer, sidebar, notice, advert, form or comment section, as its element, role, class or id says, weighs nothing. Weights are
+menu, header, footer, sidebar, notice, advert, form or comment section, as its element, role, class or id says, weighs nothing; a heading weighs a surge more. Weights are
 summed over a sliding window of lines. The text surges where a window of a heavy line passes the threshold and dives where windows are empty again; what
 lies between is the main text. Lines of no weight between surge and dive stay out. Where the page marks its main text by ``article`` or
 ``main``, lines elsewhere weigh nothing and any text is a surge, so short paragraphs of an article are kept.
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import small_batches, text_of
 from .media import passed
 
-#: Lines on each side of a line that its window takes in, and the least weight of a surge where nothing marks the main text.
-REACH, SURGE = 1, 60
+#: Lines on each side of a line that its window takes in, and the least weights of a surge's window and first line where nothing marks the main text.
+REACH, SURGE, START = 1, 60, 20
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup; it ends with their own end tag.
 RAW = frozenset("script style noscript template iframe textarea title svg math noembed xmp object canvas".split())
@@ -107,7 +107,8 @@ def boilerplate(name: str, said: str, in_article: bool) -> bool:
     if a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display:\s*none|visibility:\s*hidden", a.get("style", ""), re.I):
         return True
     words = re.split(r"[\s_\-:.]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{a.get('class', '')} {a.get('id', '')}").lower())
-    return any(re.sub(r"\d+$", "", w) in NAMES for w in words)
+    # A header inside an article, such as ``post-header``, holds its title.
+    return any((bare := re.sub(r"\d+$", "", w)) in NAMES and not (in_article and bare == "header") for w in words)
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
@@ -117,16 +118,17 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     parts: list[str] = []
     linked = links = 0
     dull = main = 0
+    heading = False
 
     def close_line(keep: bool, inside: bool) -> None:
-        nonlocal linked
+        nonlocal linked, heading
         # References are decoded after joining: markup can't be inside one, but a stray < may cut a text in two.
         if parts:
             text = WHITE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append((text, max(0, len(text) - linked) if keep else 0, inside and keep))
+                out.append((text, max(0, len(text) - linked) + SURGE * heading if keep else 0, inside and keep))
             parts.clear()
-        linked = 0
+        linked, heading = 0, False
 
     def pop() -> None:
         nonlocal dull, main, links
@@ -156,6 +158,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                         break
                     if stack[k][0] in BLOCKS and stack[k][0] not in ("td", "th"):
                         break
+            heading = heading or name in ("h1", "h2")
             stack.append((name, boilerplate(name, said, main > 0), name in ("article", "main")))
             dull, main, links = dull + stack[-1][1], main + stack[-1][2], links + (name == "a")
         else:
@@ -182,7 +185,7 @@ def extract(page: str) -> str:
     at = 0
     while at < len(lines):
         window = sum(weights[max(0, at - REACH) : at + REACH + 1])
-        if not weights[at] or window < surge:
+        if weights[at] < min(START, surge) or not weights[at] or window < surge:
             at += 1
             continue
         # Surge: from here to the last line before the windows are empty again.

@@ -17,6 +17,7 @@ PARA = "This paragraph is long enough to be taken for the main text of a page, s
     ("<article><header><h1>T</h1></header><p>x</p><aside>no</aside><footer>no</footer></article>", "T\nx"), ("<article><p>a<script>if (a < b) { '</p>' }</script>b<style>p{}</style><!-- no > -- --></p></article>", "a\nb"),
     ("<article><p>a<br>b\n  c&nbsp;d</p><ul><li>one<li>two</ul><table><tr><td>x<td>y</table></article>", "a b c d\none\ntwo\nx\ny"), ("<article><a href='>'>link only</a></article>", "link only"), ("<article><p>cut off <b", "cut off"),
     ("<article><div role=navigation>no</div><div hidden>no</div><div style='display: none'>no</div><p>yes</p></article>", "yes"), ("<p>&copy &am &#233; &#x1F600;</p>", "© &am é 😀"), ("<SCRIPT>x</ScRiPt><ARTICLE>İx</ARTICLE>", "İx"),
+    (f"<div>Site</div><hr><div class=head>x</div><div class=post><h1>T</h1><p>Short.</p><p>{PARA}</p><p>End.</p></div>", f"T\nShort.\n{PARA}\nEnd."), ("<article><div class='post-header'><h2>T</h2></div><p>x</p></article>", "T\nx"),
 ])
 def test_pages(page, text):
     assert ht.extract(page) == text
