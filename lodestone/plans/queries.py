@@ -316,13 +316,12 @@ CHUNKS = with_sql("files", "chunks")
 
 @query(
     "symbols_function_details",
-    f"""{CHUNKS}, r AS (SELECT workspace_id, name, file_path, start_line, end_line, type, row_number() OVER (PARTITION BY workspace_id, name ORDER BY file_path, start_line, end_line) AS k FROM chunks WHERE type IN ('function', 'method') AND name IN ('the', 'and', 'of', 'de', 'en'))
+    f"""{CHUNKS}, r AS (SELECT workspace_id, name, file_path, start_line, end_line, type, row_number() OVER (PARTITION BY workspace_id, name ORDER BY file_path, start_line, end_line) AS k FROM chunks WHERE type IN ('function', 'method'))
 SELECT workspace_id, name, file_path, start_line, end_line FROM r WHERE k = 1""",
 )
 def symbols_function_details(spark, d):
     c = corpus.chunks(spark, d)
-    names = c.filter(F.col("name").isin("the", "and", "of", "de", "en")).select("workspace_id", "name")
-    return symbols.function_details(c, names).select("workspace_id", "name", "file_path", "start_line", "end_line")
+    return symbols.function_details(c, c.select("workspace_id", "name")).select("workspace_id", "name", "file_path", "start_line", "end_line")
 
 
 @query(
@@ -366,16 +365,28 @@ def named(spark, d):
     return s.select(F.concat(F.lit("w"), (F.col("s_suppkey") % 3).cast("string")).alias("workspace_id"), F.concat(F.lit("n"), (F.col("s_suppkey") % 150).cast("string")).alias("name"), F.concat(F.lit("/f"), F.col("s_nationkey").cast("string")).alias("file_path")).distinct()
 
 
-@query("symbols_callers", f"{with_sql('edges')}, {NAMED} SELECT DISTINCT e.workspace_id, e.target_symbol AS symbol, e.source_symbol, n.file_path FROM edges e LEFT JOIN named n ON n.workspace_id = e.workspace_id AND n.name = e.source_symbol WHERE e.target_symbol IN ('n3', 'n7', 'n9')")
+@query("symbols_callers", f"{with_sql('edges')}, {NAMED} SELECT DISTINCT e.workspace_id, e.target_symbol AS symbol, e.source_symbol, n.file_path FROM edges e LEFT JOIN named n ON n.workspace_id = e.workspace_id AND n.name = e.source_symbol")
 def symbols_callers(spark, d):
     e = corpus.edges(spark, d)
-    return symbols.callers(e, named(spark, d), e.filter(F.col("target_symbol").isin("n3", "n7", "n9")).select("workspace_id", F.col("target_symbol").alias("symbol")))
+    return symbols.callers(e, named(spark, d), e.select("workspace_id", F.col("target_symbol").alias("symbol")))
 
 
-@query("symbols_targets", f"{with_sql('edges')}, {NAMED} SELECT DISTINCT e.workspace_id, e.source_symbol AS symbol, e.target_symbol, n.file_path FROM edges e LEFT JOIN named n ON n.workspace_id = e.workspace_id AND n.name = e.target_symbol WHERE e.source_symbol IN ('n3', 'n7', 'n9')")
+@query("symbols_targets", f"{with_sql('edges')}, {NAMED} SELECT DISTINCT e.workspace_id, e.source_symbol AS symbol, e.target_symbol, n.file_path FROM edges e LEFT JOIN named n ON n.workspace_id = e.workspace_id AND n.name = e.target_symbol")
 def symbols_targets(spark, d):
     e = corpus.edges(spark, d)
-    return symbols.targets(e, named(spark, d), e.filter(F.col("source_symbol").isin("n3", "n7", "n9")).select("workspace_id", F.col("source_symbol").alias("symbol")))
+    return symbols.targets(e, named(spark, d), e.select("workspace_id", F.col("source_symbol").alias("symbol")))
+
+
+@query("embed_zero", "SELECT vec_id, len(list_filter(embedding, lambda x: x <> 0)) = 0 AS zero FROM embeddings")
+def embed_zero(spark, d):
+    from ..operators import embed
+
+    return corpus.read(spark, d, "embeddings").select("vec_id", embed.is_zero(F.col("embedding")).alias("zero"))
+
+
+@query("graph_nodes", f"{with_sql('edges')} SELECT workspace_id, source_symbol AS symbol FROM edges UNION SELECT workspace_id, target_symbol FROM edges")
+def graph_nodes(spark, d):
+    return graph.nodes(corpus.edges(spark, d))
 
 
 # Search
