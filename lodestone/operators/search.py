@@ -116,7 +116,9 @@ def nearest_many(vectors: DataFrame, queries: DataFrame, k: int = 10, id_: str =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            for ids, dim, data, q_ids, q_data in x.itertuples(index=False, name=None):
+            for ids, dim, data, q_ids, q_dim, q_data in x.itertuples(index=False, name=None):
+                if dim != q_dim:
+                    continue
                 v, q = (np.frombuffer(d, "<f4").reshape(-1, dim).astype(float) for d in (data, q_data))
                 ids = np.asarray(ids)
                 for q_id, one in zip(q_ids, q, strict=True):
@@ -124,7 +126,8 @@ def nearest_many(vectors: DataFrame, queries: DataFrame, k: int = 10, id_: str =
                     best_ = np.lexsort((ids, d))[:k] if len(d) <= 4 * k else (near := np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]))[np.lexsort((ids[near], d[near]))[:k]]
                     yield pd.DataFrame({"query_id": q_id, "id": ids[best_], "distance": d[best_]})
 
-    meetings = a.crossJoin(b).filter("dim = q_dim").select("ids", "dim", "vectors", "q_ids", "q_vectors")
+    # The stated queries, in blocks, against all blocks of vectors. An equality of the lengths would deal every block to one task.
+    meetings = a.crossJoin(b).select("ids", "dim", "vectors", "q_ids", "q_dim", "q_vectors")
     return best(meetings.mapInPandas(run, "query_id bigint, id bigint, distance double"), k, [F.col("distance"), F.col("id")])
 
 
