@@ -16,7 +16,12 @@ SUFFIXES = (".py", ".js", ".ts", ".go", ".cs", ".md", ".json", ".rs", ".txt", ".
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. Texts in fewer splits than there are cores (a small file is one row group) are dealt out first, or one core would do all the work on them."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name == "documents" and df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
