@@ -347,9 +347,9 @@ def symbols_enclosing(spark, d):
     return symbols.enclosing(corpus.chunks(spark, d), points).drop("workspace_id")
 
 
-@query("symbols_exports", f"{CHUNKS} SELECT DISTINCT name FROM chunks WHERE workspace_id = substr(sha256('/work/src2'), 1, 12) AND contains(file_path, '/src2/core') AND name NOT LIKE '\\_%' ESCAPE '\\'")
+@query("symbols_exports", f"{CHUNKS} SELECT DISTINCT name FROM chunks WHERE workspace_id = substr(sha256('/work/src2'), 1, 12) AND contains(file_path, '/src2/') AND name NOT LIKE '\\_%' ESCAPE '\\'")
 def symbols_exports(spark, d):
-    return symbols.package_exports(corpus.chunks(spark, d), workspaces.id_of("/work/src2"), "/src2/core")
+    return symbols.package_exports(corpus.chunks(spark, d), workspaces.id_of("/work/src2"), "/src2/")
 
 
 @query("symbols_dependencies", f"{with_sql('edges')} SELECT source_symbol, target_symbol FROM edges WHERE workspace_id = 'w1' AND (source_symbol = 'n5' OR target_symbol = 'n5')")
