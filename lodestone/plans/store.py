@@ -32,6 +32,8 @@ COMMIT = T.StructField("commit_no", T.LongType())
 GONE = T.StructType([*schema.struct("workspace_id string, file_path string").fields, COMMIT])
 #: Segments of a table beyond which a write merges them.
 MOST_SEGMENTS = 32
+#: Bytes of a row group.
+ROW_GROUP = 8 << 20
 PARTITIONS = {"chunks": ["workspace_id", "language"], "deps": ["workspace_id"]}
 
 
@@ -107,7 +109,8 @@ class Store:
             # Files of a sensible size in each partition, however many or few rows there are.
             rows = rows.hint("rebalance", *[F.col(k) for k in keys])
         # The commit is a partition, too. What is there already is left of a write that failed.
-        out = rows.write.mode("overwrite")
+        # Row groups are small, so that a search of a small index keeps all cores busy.
+        out = rows.write.mode("overwrite").option("parquet.block.size", ROW_GROUP)
         (out.partitionBy(*keys) if keys else out).parquet(f"{self.root}/{(at := f'{name}/{COMMIT.name}={n}')}")
         return at
 
@@ -141,11 +144,10 @@ class Store:
         answer = tags.answered_tags(ask("file_path", "preview"))
         return files.select("tag_key", tags.valid_tags(F.coalesce(answer, F.array().cast("array<string>")), taxonomy.framework, taxonomy.design_pattern).alias("known"))
 
-    def chunk_rows(self, files: DataFrame) -> DataFrame:
-        """Chunk table rows of files with source, language, package and tags."""
+    def chunk_rows(self, rows: DataFrame, files: DataFrame) -> DataFrame:
+        """Chunk table rows from the chunker's, with the tags of their files."""
         limit = self.config.index.max_embed_text_length
-        rows = chunking.chunk_files(files).filter("type is not null")
-        rows = index.last_wins(rows.withColumn("seq", F.monotonically_increasing_id()), index.CHUNK_KEY, [F.col("seq")])
+        rows = index.last_wins(rows.filter("type is not null").withColumn("seq", F.monotonically_increasing_id()), index.CHUNK_KEY, [F.col("seq")])
         rows = rows.join(files.select("workspace_id", "file_path", "tags"), ["workspace_id", "file_path"], "left")
         rows = rows.withColumns({"chunk_id": index.chunk_id(), "selection_start": F.col("start_line"), "selection_end": F.when(F.col("signature") == F.col("name"), F.col("end_line")).otherwise(F.col("start_line"))})
         rows = rows.withColumn("embed_text", text.sanitized(text.embed_text(F.col("signature"), F.col("docstring"), F.col("code"), limit)))
@@ -157,9 +159,10 @@ class Store:
         """Index the fresh files (with source), drop those gone, record the scan, and report."""
         fresh, answers = self.tagged(fresh.withColumn("workspace_id", F.lit(workspace)))
         fresh = fresh.persist()
-        new = self.chunk_rows(fresh).persist()
+        parsed = chunking.chunk_files(fresh).persist()
+        new = self.chunk_rows(parsed, fresh).persist()
         try:
-            errors = [r.error for r in chunking.chunk_files(fresh).filter("error is not null").select("error").collect()]
+            errors = [r.error for r in parsed.filter("error is not null").select("error").collect()]
             chunked = new.select("workspace_id", "file_path").distinct()
             indexed = fresh.join(chunked, list(index.FILE_KEY), "left_semi")
             report = index.summary(scanned, indexed, new).first().asDict(recursive=True)
@@ -178,7 +181,7 @@ class Store:
             self.commit(append=add, gone=touched)
             self.compact(MOST_SEGMENTS)
         finally:
-            for x in (new, fresh, answers):
+            for x in (new, parsed, fresh, answers):
                 if x is not None:
                     x.unpersist()
         return report
@@ -189,10 +192,11 @@ class Store:
         found = workspaces.detect(directory) if "://" not in directory else None
         ws = workspace or (found.id if found else workspaces.id_of(directory))
         listing = tree.listing(self.spark, directory, recursive)
-        wanted = tree.within_size(tree.wanted(listing, directory, own.supported_extensions, excludes if excludes is not None else own.exclude_patterns), own.max_file_size_mb)
-        wanted = tree.with_source(wanted, directory).withColumn("workspace_id", F.lit(ws))
+        present = tree.within_size(tree.wanted(listing, directory, own.supported_extensions, excludes if excludes is not None else own.exclude_patterns), own.max_file_size_mb)
+        wanted = tree.with_source(present, directory).withColumn("workspace_id", F.lit(ws))
         fresh = tree.with_package(index.changed(wanted, self.table("files"), force), listing)
-        gone = index.orphans(self.table("files"), wanted, ws, directory) if self.config.watcher.sync_deletions else self.table("files").limit(0)
+        # Which files are gone follows from the listing alone.
+        gone = index.orphans(self.table("files"), present, ws, directory) if self.config.watcher.sync_deletions else self.table("files").limit(0)
         report = self.write(listing, ws, fresh, gone, started)
         if found:
             self.remember(found)
