@@ -3,8 +3,8 @@
 A page is stripped of its markup to lines, one for each block of text. A line weighs the length of its text outside links; a line inside a
 menu, header, footer, sidebar, notice, advert, form or comment section, as its element, role, class or id says, weighs nothing; a heading weighs a surge more. Weights are
 summed over a sliding window of lines. The text surges where a window of a heavy line passes the threshold and dives where windows are empty again; what
-lies between is the main text. Lines of no weight between surge and dive stay out. Where the page marks its main text by ``article`` or
-``main``, lines elsewhere weigh nothing and any text is a surge, so short paragraphs of an article are kept.
+lies between is the main text. Lines of no weight between surge and dive stay out. A line inside ``article`` or ``main`` weighs a surge more, so short
+paragraphs of an article are kept; the lines elsewhere on such a page are searched for surges of their own, in windows that hold no marked lines.
 
 Defined cases: null html counts as empty and gives an empty text; broken markup is read leniently (an unclosed tag ends with the page, a stray
 ``<`` is text); character references are decoded, once; other columns pass through, and input columns named like an output column are
@@ -175,26 +175,33 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
-def extract(page: str) -> str:
-    lines = lines_of(page)
-    marked = any(inside for _, _, inside in lines)
-    # In the marked main text a line of links only is text as well.
-    weights = [(max(weight, 1) if inside else 0) if marked else weight for _, weight, inside in lines]
-    surge = 1 if marked else min(SURGE, max(weights, default=0))
-    kept: list[str] = []
+def main_lines(weights: list[int], surge: int) -> list[int]:
+    """Positions of the lines between surges and dives."""
+    kept: list[int] = []
     at = 0
-    while at < len(lines):
+    while at < len(weights):
         window = sum(weights[max(0, at - REACH) : at + REACH + 1])
         if weights[at] < min(START, surge) or not weights[at] or window < surge:
             at += 1
             continue
         # Surge: from here to the last line before the windows are empty again.
         stop = at
-        while stop < len(lines) and (sum(weights[max(0, stop - REACH) : stop + REACH + 1]) > 0):
+        while stop < len(weights) and (sum(weights[max(0, stop - REACH) : stop + REACH + 1]) > 0):
             stop += 1
-        kept += [lines[k][0] for k in range(at, stop) if weights[k]]
+        kept += [k for k in range(at, stop) if weights[k]]
         at = stop
-    return "\n".join(kept)
+    return kept
+
+
+def extract(page: str) -> str:
+    lines = lines_of(page)
+    marked = [k for k, (_, _, inside) in enumerate(lines) if inside]
+    rest = [k for k, (_, _, inside) in enumerate(lines) if not inside]
+    # A page that marks nothing may be short as a whole; beside marked text, only a full surge counts.
+    surge = SURGE if marked else min(SURGE, max((weight for _, weight, _ in lines), default=0))
+    kept = [marked[k] for k in main_lines([lines[k][1] + SURGE for k in marked], SURGE)]
+    kept += [rest[k] for k in main_lines([lines[k][1] for k in rest], surge)]
+    return "\n".join(lines[k][0] for k in sorted(kept))
 
 
 def extract_text(pages: DataFrame, column: str = "html") -> DataFrame:

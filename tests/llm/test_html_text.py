@@ -23,6 +23,15 @@ def test_pages(page, text):
     assert ht.extract(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    (f"<div><p>{PARA}</p><p>Second.</p></div><article><a href=x>Next story</a></article>", f"{PARA}\nSecond.\nNext story"),
+    (f"<div>Site</div><article><p>Teaser.</p></article><div class=body><h1>T</h1><p>{PARA}</p></div><footer>f</footer>", f"Teaser.\nT\n{PARA}"),
+    (f"<div>Site</div><article><p>{PARA}</p></article><div>Short line.</div>", PARA),
+])
+def test_text_beside_an_article(page, text):
+    assert ht.extract(page) == text
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.sampled_from("<>/!-=\"' abp&;"), max_size=80))
 def test_any_markup(page):
