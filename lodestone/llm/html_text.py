@@ -2,8 +2,9 @@
 
 A page is stripped of its markup to lines, one for each block of text. A line weighs the length of its text outside links; a line inside a
 menu, header, footer, sidebar, notice, advert, form or comment section, as its element, role, class or id says, weighs nothing; a heading weighs a surge more. Weights are
-summed over a sliding window of lines. The text surges where a window of a heavy line passes the threshold and dives where windows are empty again; what
-lies between is the main text. Lines of no weight between surge and dive stay out. A line inside ``article`` or ``main`` weighs a surge more, so short
+summed over a sliding window of lines. The text surges where a window of a heavy line passes the threshold and dives for good where no line of weight
+follows; what lies between is the main text, lines of links and short ones included, and only boilerplate stays out. The text reaches back and on over the lines
+that adjoin it with no boilerplate between, but not back over a heading that opens it. A line inside ``article`` or ``main`` weighs a surge more, so short
 paragraphs of an article are kept; the lines elsewhere on such a page are searched for surges of their own, in windows that hold no marked lines.
 
 Defined cases: null html counts as empty and gives an empty text; broken markup is read leniently (an unclosed tag ends with the page, a stray
@@ -26,6 +27,8 @@ from .media import passed
 
 #: Lines on each side of a line that its window takes in, and the least weights of a surge's window and first line where nothing marks the main text.
 REACH, SURGE, START = 1, 60, 20
+#: Kinds of lines; the last three are flags.
+DULL, PLAIN, MARKED, HEADING = 0, 1, 2, 4
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup; it ends with their own end tag.
 RAW = frozenset("script style noscript template iframe textarea title svg math noembed xmp object canvas".split())
@@ -111,9 +114,9 @@ def boilerplate(name: str, said: str, in_article: bool) -> bool:
     return any((bare := re.sub(r"\d+$", "", w)) in NAMES and not (in_article and bare == "header") for w in words)
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """Text, weight and whether it belongs to the marked main text, for every block in page order."""
-    out: list[tuple[str, int, bool]] = []
+def lines_of(page: str) -> list[tuple[str, int, int]]:
+    """Text, weight and kind, for every block in page order. Kinds are DULL (boilerplate), or flags: PLAIN, with MARKED in the marked main text and HEADING."""
+    out: list[tuple[str, int, int]] = []
     stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, main
     parts: list[str] = []
     linked = links = 0
@@ -126,7 +129,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if parts:
             text = WHITE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append((text, max(0, len(text) - linked) + SURGE * heading if keep else 0, inside and keep))
+                out.append((text, max(0, len(text) - linked) + SURGE * heading, PLAIN + MARKED * inside + HEADING * heading) if keep else (text, 0, DULL))
             parts.clear()
         linked, heading = 0, False
 
@@ -175,32 +178,30 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
-def main_lines(weights: list[int], surge: int) -> list[int]:
-    """Positions of the lines between surges and dives."""
-    kept: list[int] = []
-    at = 0
-    while at < len(weights):
-        window = sum(weights[max(0, at - REACH) : at + REACH + 1])
-        if weights[at] < min(START, surge) or not weights[at] or window < surge:
-            at += 1
-            continue
-        # Surge: from here to the last line before the windows are empty again.
-        stop = at
-        while stop < len(weights) and (sum(weights[max(0, stop - REACH) : stop + REACH + 1]) > 0):
-            stop += 1
-        kept += [k for k in range(at, stop) if weights[k]]
-        at = stop
-    return kept
+def main_lines(weights: list[int], kinds: list[int], surge: int) -> list[int]:
+    """Positions of the lines of the text from its first surge to its last dive."""
+    size = len(weights)
+    surges = (k for k in range(size) if weights[k] and weights[k] >= min(START, surge) and sum(weights[max(0, k - REACH) : k + REACH + 1]) >= surge)
+    first = next(surges, None)
+    if first is None:
+        return []
+    if not kinds[first] & HEADING:
+        while first and kinds[first - 1]:
+            first -= 1
+    last = max(k for k in range(size) if weights[k])
+    while last + 1 < size and kinds[last + 1]:
+        last += 1
+    return [k for k in range(first, last + 1) if kinds[k]]
 
 
 def extract(page: str) -> str:
     lines = lines_of(page)
-    marked = [k for k, (_, _, inside) in enumerate(lines) if inside]
-    rest = [k for k, (_, _, inside) in enumerate(lines) if not inside]
+    marked = [k for k, (_, _, kind) in enumerate(lines) if kind & MARKED]
+    rest = [k for k, (_, _, kind) in enumerate(lines) if not kind & MARKED]
     # A page that marks nothing may be short as a whole; beside marked text, only a full surge counts.
     surge = SURGE if marked else min(SURGE, max((weight for _, weight, _ in lines), default=0))
-    kept = [marked[k] for k in main_lines([lines[k][1] + SURGE for k in marked], SURGE)]
-    kept += [rest[k] for k in main_lines([lines[k][1] for k in rest], surge)]
+    kept = [marked[k] for k in main_lines([lines[k][1] + SURGE for k in marked], [lines[k][2] for k in marked], SURGE)]
+    kept += [rest[k] for k in main_lines([lines[k][1] for k in rest], [lines[k][2] for k in rest], surge)]
     return "\n".join(lines[k][0] for k in sorted(kept))
 
 

@@ -32,6 +32,22 @@ def test_text_beside_an_article(page, text):
     assert ht.extract(page) == text
 
 
+AD = "<div class=advert><p>Buy.</p><p>Now.</p><p>Here.</p><p>Cheap.</p></div>"
+LINKS = "<ul><li><a href=x>First link</a><li><a href=y>Second link</a><li><a href=z>Third link</a><li><a href=w>Fourth link</a></ul>"
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<div class=post><p>Dear reader,</p><p>{PARA}</p></div><footer>f</footer>", f"Dear reader,\n{PARA}"),
+    (f"<nav>menu</nav><div><p>One.</p><p>Two.</p><p>Three.</p><p>{PARA}</p></div>", f"One.\nTwo.\nThree.\n{PARA}"),
+    (f"<div><p>{PARA}</p>{AD}<p>A short paragraph closes the text.</p></div><footer>f</footer>", f"{PARA}\nA short paragraph closes the text."),
+    (f"<div><p>{PARA}</p>{LINKS}<p>{PARA}</p></div>", f"{PARA}\nFirst link\nSecond link\nThird link\nFourth link\n{PARA}"),
+    (f"<div><p>{PARA}</p><h2>References</h2>{LINKS}</div><footer>f</footer>", f"{PARA}\nReferences\nFirst link\nSecond link\nThird link\nFourth link"),
+    ("<nav><p>a</nav><footer>b</footer>", ""),
+])
+def test_nothing_but_boilerplate_is_dropped(page, text):
+    assert ht.extract(page) == text
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.sampled_from("<>/!-=\"' abp&;"), max_size=80))
 def test_any_markup(page):
