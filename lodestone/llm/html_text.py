@@ -32,6 +32,8 @@ DULL, PLAIN, MARKED, HEADING = 0, 1, 2, 4
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup; it ends with their own end tag.
 RAW = frozenset("script style noscript template iframe textarea title svg math noembed xmp object canvas".split())
+#: Start tags that leave an open head open; any other, and text, ends it.
+IN_HEAD = frozenset("base link meta title style script noscript noframes template".split())
 BOILER = frozenset("nav aside footer form head menu dialog button select fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 BLOCKS = frozenset(
@@ -139,6 +141,9 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         dull, main, links = dull - dull_, main - main_, links - (name == "a")
 
     for kind, name, said in tokens(page):
+        if stack and stack[-1][0] == "head" and (name.strip() if kind == "text" else kind == "open" and name not in IN_HEAD):
+            close_line(not dull, main > 0)
+            pop()
         if kind == "text":
             parts.append(name)
             if links:

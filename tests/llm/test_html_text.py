@@ -48,6 +48,12 @@ def test_nothing_but_boilerplate_is_dropped(page, text):
     assert ht.extract(page) == text
 
 
+@pytest.mark.parametrize("start", ["<body>", "<body class=x>", "<div>", "<p>", "", "</head><body>", "<a href=x></a>", "<br>", "<html><body>", "<head><basefont><body>"])
+def test_head_without_end_tag(start):
+    page = f"<html><head><meta charset=utf-8><title>No</title><style>p {{}}</style>\n<script>var no;</script><noscript>no</noscript>\n<link rel=x>{start}{PARA}<p>Short.</p></html>"
+    assert ht.extract(page) == f"{PARA}\nShort."
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.sampled_from("<>/!-=\"' abp&;"), max_size=80))
 def test_any_markup(page):
