@@ -272,7 +272,7 @@ class Tools:
             return "\n".join([text, f"\nSubgraph from '{entry_point}' ({len(sub['nodes'])} nodes):", *[f"  {a}  ->  {b}" for a, b in sub["edges"][:SHOWN_EDGES]]])
         return f"{text}\n\n{render.edge_lines(pairs)}"
 
-    def detect_cycles(self, workspace_id: str = "default", max_length: int = 8) -> list[list[str]]:
+    def detect_cycles(self, workspace_id: str = "default", max_length: int | None = None) -> list[list[str]]:
         return sorted(list(r.path) for r in graph.cycles(self.own("deps", workspace_id), max_length).collect())
 
     # Watching and health

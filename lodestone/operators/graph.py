@@ -1,10 +1,14 @@
-"""Dependency graphs: adjacency, breadth-first search, cycles. One join per level; what is found is written between levels."""
+"""Dependency graphs: adjacency, breadth-first search, cycles. One join per level; what is found is written between levels. Cycles of any
+length are found in Python, where one task holds the cyclic core of a workspace."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+from collections import defaultdict, deque
+from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,10 +61,58 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
     return left
 
 
-def cycles(edges: DataFrame, max_length: int = 8) -> DataFrame:
-    """Simple cycles of up to ``max_length`` symbols, each once: workspace_id and path, closed, from its smallest symbol. Paths grow from their
-    smallest symbol only, so no rotation is made twice."""
+#: Edges of a core for each part that its symbols are searched in.
+PART = 1_000
+
+
+def shortest_cycles(pairs: Iterable[tuple[str, str]], wanted: set[str] | None = None) -> set[tuple[str, ...]]:
+    """The shortest cycle through each edge that is on one and leads to a wanted symbol (all if None), closed, from its smallest symbol; of equals,
+    the first that a search in the order of names comes to."""
+    ahead, behind = defaultdict(list), defaultdict(list)
+    for a, b in sorted(pairs):
+        ahead[a].append(b)
+        behind[b].append(a)
+    found = set()
+    for start in behind if wanted is None else wanted & behind.keys():
+        parent, queue, left = {start: start}, deque([start]), set(behind[start]) - {start}
+        while queue and left:
+            a = queue.popleft()
+            for b in ahead.get(a, ()):
+                if b not in parent:
+                    parent[b] = a
+                    queue.append(b)
+                    left.discard(b)
+        for end in behind[start]:
+            if end in parent:
+                way = [end]
+                while way[-1] != start:
+                    way.append(parent[way[-1]])
+                way.reverse()
+                k = way.index(min(way))
+                found.add((*way[k:], *way[: k + 1]))
+    return found
+
+
+def cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
+    """workspace_id and path, closed, from its smallest symbol, of cycles of any length: for each edge on a cycle the shortest one through it, each
+    once, so every symbol and edge on a cycle is in one. With ``max_length``, all simple cycles of up to so many symbols instead."""
     core = cyclic_core(edges)
+    if max_length is not None:
+        return simple_cycles(core, max_length)
+    parts = min(core.sparkSession.sparkContext.defaultParallelism, 1 + core.count() // PART)
+
+    def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        pairs = list(zip(x["a"], x["b"], strict=True))
+        names = sorted({b for _, b in pairs})
+        return pd.DataFrame([(key[0], list(c)) for c in shortest_cycles(pairs, set(names[key[1] :: parts]))], columns=["workspace_id", "path"])
+
+    # Each part holds the whole core of a workspace and searches from its share of the symbols.
+    dealt = core.withColumn("part", F.explode(F.array(*[F.lit(k) for k in range(parts)])))
+    return dealt.groupBy("workspace_id", "part").applyInPandas(run, "workspace_id string, path array<string>").distinct()
+
+
+def simple_cycles(core: DataFrame, max_length: int) -> DataFrame:
+    """All simple cycles of up to ``max_length`` symbols, each once. Paths grow from their smallest symbol only, so no rotation is made twice."""
     path = cut(core.filter("b >= a").select("workspace_id", F.array("a").alias("path"), F.col("b").alias("tip")))
     found, k = [], 1
     while True:

@@ -601,7 +601,7 @@ UNION ALL SELECT list_append(p.path, p.tip), s.target_symbol FROM p JOIN sparse
 SELECT 'w' AS workspace_id, array_to_string(list_append(path, tip), '>') AS cycle FROM p WHERE tip = path[1]""",
 )
 def graph_cycles(spark, d):
-    return graph.cycles(corpus.sparse(spark, d), 8).select("workspace_id", F.array_join("path", ">").alias("cycle"))
+    return graph.cycles(corpus.sparse(spark, d)).select("workspace_id", F.array_join("path", ">").alias("cycle"))
 
 
 # Change events

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from lodestone.operators import graph, stats, symbols
@@ -25,6 +27,27 @@ def test_cycles(spark, pairs, found):
     assert sorted("".join(r.path) for r in graph.cycles(edges(spark, *pairs)).collect()) == found
 
 
+@pytest.mark.parametrize("n", [9, 40])
+def test_long_cycles(spark, n):
+    ring = [f"m{k:02}" for k in range(n)]
+    e = edges(spark, *(f"{a}>{b}" for a, b in zip(ring, ring[1:] + ring[:1], strict=True)), "m03>out", "in>m00")
+    assert [r.path for r in graph.cycles(e).collect()] == [[*ring, "m00"]]
+    assert graph.cycles(e, 8).count() == 0
+
+
+def test_every_edge_on_a_cycle_is_reported(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PART", 4)
+    rng = random.Random(3)
+    pairs = {(f"s{rng.randrange(30):02}", f"s{rng.randrange(30):02}") for _ in range(55)}
+    reach = {a: {b for x, b in pairs if x == a} for x in pairs for a in x}
+    for _ in reach:
+        reach = {a: to | {c for b in to for c in reach[b]} for a, to in reach.items()}
+    paths = [r.path for r in graph.cycles(edges(spark, *(f"{a}>{b}" for a, b in pairs))).collect()]
+    steps = [set(zip(p, p[1:], strict=False)) for p in paths]
+    assert set().union(*steps) == {(a, b) for a, b in pairs if a in reach[b]} and len({tuple(p) for p in paths}) == len(paths)
+    assert all(p[0] == p[-1] == min(p) and len(set(p)) == len(p) - 1 and s <= pairs for p, s in zip(paths, steps, strict=True))
+
+
 def test_no_edges(spark):
     none = spark.createDataFrame([], EDGE)
     assert graph.cycles(none).count() == 0 and stats.graph_summary(none).count() == 0 and graph.adjacency(none).count() == 0
