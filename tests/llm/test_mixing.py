@@ -92,3 +92,14 @@ def test_query_reruns_agree(spark, sf_dir, table):
     rows = [tuple(r[c] for c in ("doc_id", "text", "lang", "source", "n_chars")) for r in table("documents").collect()]
     one, two = (sorted(map(tuple, mixing.op7(spark, sf_dir).collect()), key=str) for _ in range(2))
     assert one == two and len(one) == len(rows)
+
+
+def test_row_order_changes_nothing(spark):
+    """Repeated and null ids, in another order of rows and other partitions."""
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, " ".join(["w"] * (k % 11)) + f" x{k % 50}", "en", "ab"[k % 2], 0) for k in range(400)]
+    key = lambda df: sorted((str(r.doc_id), r.text, r.taken, r.position) for r in df.collect())
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    a, b = spark.createDataFrame(rows, schema).coalesce(1), spark.createDataFrame(rows[::-1], schema).repartition(7)
+    assert sorted(map(str, key(mixing.plan(a)))) == sorted(map(str, key(mixing.plan(b))))
+    stretches = mixing.planned(a.select(F.col("doc_id").alias("c0"), mixing.source_of(F.col("source")).alias("s"), mixing.key_of(F.col("doc_id"), F.col("text")).alias("key"), mixing.size_of(F.col("text")).alias("size")))
+    assert stretches.filter("c0 IS NULL").select("stretch").distinct().count() > 20
