@@ -11,8 +11,9 @@ search over the sorted sections gives each token its section. A token that cross
 A token that holds part of a character belongs where that character is. Sections cover the text without gaps, so section counts add up to
 the document's count.
 
-Defined cases: a null or empty text has one empty section and no tokens; a null list of boundaries means lines; repeated rows are counted
-alike; other columns pass through and input columns named like an output column are replaced; an empty table gives an empty result.
+Defined cases: a null or empty text has one empty section and no tokens; a null list of boundaries means lines; a list of boundaries is sorted, and
+nulls, repeated ones and those outside the text are left out, the first section beginning at 0 always (so an empty list is one section); repeated rows are counted
+alike; other columns pass through and input columns named like an output column, in any letters, are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,8 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_of
-from .media import passed
+from .common import Taken, portions, small_batches, text_of
 
 RANKS = "byte_bpe_50k.tiktoken"
 RULES = ("start", "end", "majority")
@@ -74,38 +74,43 @@ def attribute(text: str, lengths: np.ndarray, starts: np.ndarray, rule: str = "s
     return np.bincount(chosen, minlength=n), np.bincount(chosen[crossing], minlength=n), np.stack([first, last + 1], 1)
 
 
+def sorted_starts(given, size: int) -> np.ndarray:
+    """Section starts as they are used: sorted, each once, without nulls and those outside the text, and 0 first."""
+    return np.unique([0, *(int(k) for k in given if k is not None and 0 < k < size)])
+
+
 def count(docs: DataFrame, text: str = "text", sections: str | None = None, rule: str = "start", ranks: str | None = None, pattern: str | None = None) -> DataFrame:
     """A row for each section of each document: its columns without the text, and section, start, end (characters), n_tokens, n_crossing
-    (tokens allocated to it that reach into another), and doc_tokens. ``sections``: a column array<int> of section starts, rising from 0; lines otherwise."""
+    (tokens allocated to it that reach into another), and doc_tokens. ``sections``: a column array<int> of section starts; lines otherwise."""
     import public_tokenizers
 
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
     ranks, pattern = ranks or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
-    names, schema = passed(docs.drop(text), "section int, start long, end long, n_tokens long, n_crossing long, doc_tokens long")
-    given = F.col(sections) if sections else F.lit(None).cast("array<int>")
+    new = {"section": "int", "start": "long", "end": "long", "n_tokens": "long", "n_crossing": "long", "doc_tokens": "long"}
+    own = Taken(docs)
+    names = own.stay(tuple(new), (text,))
+    given = F.col(own.at(sections)).cast("array<int>") if sections else F.lit(None).cast("array<int>")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoding, lengths = loaded(ranks, pattern)
-        for x in batches:
-            if x.empty:
-                continue
+        for x in portions(batches, "body"):
             parts, rows = [], []
-            for text_, own in zip(x["__text"], x["__starts"], strict=True):
-                ids = np.array(encoding.encode_ordinary(text_), np.int64)
-                starts = line_starts(text_) if own is None else np.asarray(own, np.int64)
-                n, crossing, _ = attribute(text_, lengths[ids], starts, rule)
+            for body, told in zip(x["body"], x["starts"], strict=True):
+                ids = np.array(encoding.encode_ordinary(body), np.int64)
+                starts = line_starts(body) if told is None else sorted_starts(told, len(body))
+                n, crossing, _ = attribute(body, lengths[ids], starts, rule)
                 rows.append(len(starts))
-                parts.append((np.arange(len(starts)), starts, np.r_[starts[1:], len(text_)], n, crossing, np.full(len(starts), len(ids))))
+                parts.append((np.arange(len(starts)), starts, np.r_[starts[1:], len(body)], n, crossing, np.full(len(starts), len(ids))))
             out = x[names].loc[np.repeat(x.index, rows)].reset_index(drop=True)
-            for k, c in enumerate(schema.fieldNames()[len(names) :]):
+            for k, c in enumerate(new):
                 out[c] = np.concatenate([p[k] for p in parts])
             yield out
 
-    small_batches(docs.sparkSession)
-    return docs.select(*[F.col(f"`{c}`") for c in names], text_of(text).alias("__text"), given.alias("__starts")).mapInPandas(run, schema)
+    return own.mapped(run, names, ", ".join(f"`{k}` {v}" for k, v in new.items()), body=text_of(own.at(text)), starts=given)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
     """A row for each line of each document: doc_id, section, start, end, n_tokens, n_crossing, doc_tokens."""
+    small_batches(spark)
     return count(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -69,3 +69,11 @@ def test_query(spark, sf_dir, table, tokenizer):
         sections[r.doc_id] = sections.get(r.doc_id, 0) + 1
     assert total == {k: len(tokenizer[0].encode_ordinary(t)) for k, t in texts.items()}
     assert sections == {k: len(tc.line_starts(t)) for k, t in texts.items()}
+
+
+def test_any_section_starts(spark):
+    rows = [(1, "alpha beta gamma", []), (2, "alpha beta gamma", [6]), (3, "alpha beta gamma", [11, 0, 6, 6, None, -4, 99]), (4, "", [3]), (5, None, [0])]
+    got = tc.count(spark.createDataFrame(rows, "doc_id long, text string, cuts array<int>"), sections="cuts").collect()
+    by = {k: [(r.section, r.start, r.end) for r in sorted(got, key=lambda r: r.section) if r.doc_id == k] for k in range(1, 6)}
+    assert by == {1: [(0, 0, 16)], 2: [(0, 0, 6), (1, 6, 16)], 3: [(0, 0, 6), (1, 6, 11), (2, 11, 16)], 4: [(0, 0, 0)], 5: [(0, 0, 0)]}
+    assert all(sum(r.n_tokens for r in got if r.doc_id == k) == next(r.doc_tokens for r in got if r.doc_id == k) for k in by)
