@@ -9,7 +9,8 @@ The hash: pooled to 32 x 32 means, transformed by a cosine basis, the 8 x 8 lowe
 constant term): 64 bits, as 16 hex digits.
 
 Defined cases: null text counts as empty and becomes one row of 64 zeros; a null or damaged image decodes to null columns and an error message,
-not a failure of the job; other columns pass through, and input columns named like an output column are replaced.
+not a failure of the job; an image is inflated to the size that its header tells and no further; other columns pass through, and input columns named like an output column,
+in any letters, are replaced.
 """
 
 from __future__ import annotations
@@ -24,14 +25,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import small_batches, text_of
+from .common import Taken, portions, small_batches, text_of
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Samples of a pixel by PNG colour type.
 CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
 WIDTH = 64
+#: Bytes of an image's samples beyond which it isn't read: what a binary column can hold.
+LARGEST = 1 << 31
 
 
 class BadImage(ValueError):
@@ -126,10 +128,23 @@ def decode(png: bytes) -> np.ndarray:
         raise BadImage("no header")
     h, w, n = head
     try:
-        raw = zlib.decompress(b"".join(body))
+        # A byte more than the header tells, so a small file can't fill the memory.
+        stream = zlib.decompressobj()
+        size = h * (1 + w * n)
+        if size >= LARGEST:
+            raise BadImage("more samples than the codec reads")
+        raw = stream.decompress(b"".join(body), size + 1)
     except zlib.error as e:
         raise BadImage(str(e)) from e
-    if len(raw) != h * (1 + w * n):
+    if len(raw) == size and not stream.eof:
+        # What is left may be the checksum alone.
+        try:
+            raw += stream.decompress(stream.unconsumed_tail, 1)
+        except zlib.error as e:
+            raise BadImage(str(e)) from e
+        if not stream.eof:
+            raise BadImage("cut short or too many samples")
+    if len(raw) != size:
         raise BadImage("wrong number of samples")
     return unfilter(np.frombuffer(raw, np.uint8).reshape(h, 1 + w * n), n).reshape(h, w, n)
 
@@ -158,33 +173,30 @@ def cosine_hash(pixels: np.ndarray, grid: int = 32, low: int = 8) -> str:
     return np.packbits(values > np.median(values[1:])).tobytes().hex()
 
 
-def passed(df: DataFrame, new: str) -> tuple[list[str], T.StructType]:
-    """Columns of df that stay, and the schema with the new ones."""
-    added = T._parse_datatype_string(new)
-    names = [c for c in df.columns if c not in added.fieldNames()]
-    return names, T.StructType([df.schema[c] for c in names] + added.fields)
-
-
 def pack(docs: DataFrame, text: str = "text", into: str = "png") -> DataFrame:
     """``docs`` with the text's UTF-8 bytes, zeros appended up to a positive multiple of 64, as a greyscale PNG 64 pixels wide in column
     ``into``, and ``n_bytes`` before padding. The text column is left out."""
-    names, schema = passed(docs.drop(text, *({into} & {text})), f"n_bytes long, {into} binary")
+    own = Taken(docs)
+    names = own.stay(("n_bytes", into), (text,))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            raw = [t.encode("utf-8", "surrogatepass") for t in x["__text"]]
+        for x in portions(batches, "body"):
+            raw = [t.encode("utf-8", "surrogatepass") for t in x["body"]]
             out = x[names].copy()
             out["n_bytes"] = [len(r) for r in raw]
             out[into] = [encode(np.frombuffer(r + bytes((-len(r)) % WIDTH or WIDTH * (not r)), np.uint8).reshape(-1, WIDTH)) for r in raw]
             yield out
 
-    small_batches(docs.sparkSession)
-    return docs.select(*[F.col(f"`{c}`") for c in names], text_of(text).alias("__text")).mapInPandas(run, schema)
+    return own.mapped(run, names, f"n_bytes long, `{into}` binary", body=text_of(own.at(text)))
+
+
+READ = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string", "error": "string"}
 
 
 def unpack(images: DataFrame, column: str = "png") -> DataFrame:
     """``images`` with payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature and error, from the stored bytes alone."""
-    names, schema = passed(images, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
+    own = Taken(images)
+    names = own.stay(tuple(READ))
 
     def read(png: bytes | None) -> tuple:
         if png is None:
@@ -198,16 +210,15 @@ def unpack(images: DataFrame, column: str = "png") -> DataFrame:
         return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), *media, cosine_hash(pixels), None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        new = schema.fieldNames()[len(names) :]
         for x in batches:
-            found = [read(p) for p in x[column]]
-            yield pd.concat([x[names], pd.DataFrame({c: pd.Series([r[i] for r in found], index=x.index, dtype=object) for i, c in enumerate(new)})], axis=1)
+            found = [read(p) for p in x["image"]]
+            yield pd.concat([x[names], pd.DataFrame({c: pd.Series([r[i] for r in found], index=x.index, dtype=object) for i, c in enumerate(READ)})], axis=1)
 
-    small_batches(images.sparkSession)
-    return images.mapInPandas(run, schema)
+    return own.mapped(run, names, ", ".join(f"{k} {v}" for k, v in READ.items()), image=F.col(own.at(column)))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
     """One row per document: its text stored as PNG, and what is read back from the stored bytes."""
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return unpack(pack(docs)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

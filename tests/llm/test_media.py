@@ -90,3 +90,11 @@ def test_query(spark, sf_dir, table):
     texts = {r.doc_id: r.text for r in table("documents").collect()}
     rows = media.op5(spark, sf_dir).collect()
     assert len(rows) == len(texts) and all((r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == want(texts[r.doc_id]) for r in rows)
+
+
+def test_no_more_is_inflated_than_the_header_tells():
+    head = media.chunk(b"IHDR", struct.pack(">IIBBBBB", 64, 2, 8, 0, 0, 0, 0))
+    for body in (zlib.compress(bytes(50_000_000)), zlib.compress(bytes(130))[:-2], zlib.compress(bytes(129)), zlib.compress(bytes(131))):
+        with pytest.raises(media.BadImage):
+            media.decode(media.SIGNATURE + head + media.chunk(b"IDAT", body) + media.chunk(b"IEND", b""))
+    assert media.decode(media.SIGNATURE + head + media.chunk(b"IDAT", zlib.compress(bytes(130))) + media.chunk(b"IEND", b"")).shape == (2, 64, 1)
