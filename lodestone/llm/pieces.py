@@ -6,8 +6,10 @@ it comes from. Then white space becomes the meta symbol and the dummy prefix is
 merges the pieces; their lengths in the normalised bytes are summed and looked up in the alignment, which projects every piece to a span of
 original UTF-8 bytes. Spans never overlap backwards: they start and end in text order, and the pieces of one replaced stretch share its span.
 
+What a model's pieces can't be laid over (their lengths don't add up to the normalised text) has null spans; ids and decoding don't depend on them.
+
 Defined cases: a null text counts as empty (its ids are the end id alone); repeated rows are encoded alike; other columns pass through, and
-input columns named like an output column are replaced; an empty table gives an empty result.
+input columns named like an output column, in any letters, are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,10 +22,8 @@ from functools import cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import small_batches, text_of
-from .media import passed
+from .common import Taken, portions, small_batches, text_of
 
 META = "▁".encode()
 MODEL = "piece_bpe_32k.model"
@@ -140,15 +140,15 @@ class Pieces:
             out.pop(), start.pop(), end.pop()
         return np.frombuffer(bytes(out), np.uint8), np.array(start, np.int64), np.array(end, np.int64)
 
-    def spans(self, raw: bytes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Original byte span [start, end) of every id; control ids have an empty one."""
+    def spans(self, raw: bytes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Original byte span [start, end) of every id; control ids have an empty one. None where the pieces don't add up to the normalised text."""
         data, start, end = self.normalise(raw)
         length = self.lengths[ids]
         if (length < 0).any():
             length = self._unknown(data, ids, length)
         stop = np.cumsum(length)
         if len(stop) and stop[-1] != len(data):
-            raise ValueError("pieces don't cover the normalised text")
+            return None
         first = stop - length
         head, tail = np.append(start, len(raw)), np.append(0, end)
         a = head[first]
@@ -171,38 +171,37 @@ def loaded(path: str) -> Pieces:
 
 
 def encode(docs: DataFrame, text: str = "text", path: str | None = None, keep: str = "") -> DataFrame:
-    """``docs`` with ids array<int> (end id only), starts and ends array<int> (original bytes of each piece), and decoded, the library's
-    decoding of the ids. ``keep``: comma-separated digests to return in place of the arrays (see op6)."""
+    """``docs`` with ids array<int> (end id only), starts and ends array<int> (original bytes of each piece, null where a model's pieces can't be placed), and decoded, the
+    library's decoding of the ids. ``keep="digests"``: without the text, and with the digests of op6 in place of the arrays."""
     path = path or model_path()
-    digests = "n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string, covered_bytes long"
-    names, schema = passed(docs, digests if keep else "ids array<int>, starts array<int>, ends array<int>, decoded string")
-    names = [c for c in names if c != text or not keep]
-    _, schema = passed(docs.select(*[F.col(f"`{c}`") for c in names]), digests if keep else "ids array<int>, starts array<int>, ends array<int>, decoded string")
+    new = "n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string, covered_bytes long" if keep else "ids array<int>, starts array<int>, ends array<int>, decoded string"
+    own = Taken(docs)
+    names = own.stay([c.split()[0] for c in new.split(", ")], (text,) if keep else ())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = loaded(path)
-        for x in batches:
-            texts = x["__text"].tolist()
+        sha = lambda s: hashlib.sha256(s).hexdigest()
+        for x in portions(batches, "body"):
+            texts = x["body"].tolist()
             ids = model.library.encode(texts, add_eos=True, num_threads=1)
             decoded = model.library.decode(ids)
             spans = [model.spans(t.encode("utf-8"), np.array(i, np.int64)) for t, i in zip(texts, ids, strict=True)]
             out = x[names].copy()
             if keep:
-                sha = lambda s: hashlib.sha256(s).hexdigest()
                 out["n_tokens"] = [len(i) for i in ids]
                 out["ids_sha256"] = [sha(" ".join(map(str, i)).encode()) for i in ids]
                 out["decoded_sha256"] = [sha(d.encode()) for d in decoded]
-                out["spans_sha256"] = [sha(np.stack([a, b]).astype("<i8").tobytes()) for a, b in spans]
-                out["covered_bytes"] = [int((b - np.maximum(a, np.r_[0, np.maximum.accumulate(b)[:-1]])).clip(0).sum()) for a, b in spans]
+                out["spans_sha256"] = [s and sha(np.stack(s).astype("<i8").tobytes()) for s in spans]
+                out["covered_bytes"] = pd.array([s and int((s[1] - np.maximum(s[0], np.r_[0, np.maximum.accumulate(s[1])[:-1]])).clip(0).sum()) for s in spans], "Int64")
             else:
                 out["ids"], out["decoded"] = ids, decoded
-                out["starts"], out["ends"] = [a.tolist() for a, _ in spans], [b.tolist() for _, b in spans]
+                out["starts"], out["ends"] = [s and s[0].tolist() for s in spans], [s and s[1].tolist() for s in spans]
             yield out
 
-    small_batches(docs.sparkSession)
-    return docs.select(*[F.col(f"`{c}`") for c in names], text_of(text).alias("__text")).mapInPandas(run, schema)
+    return own.mapped(run, names, new, body=text_of(own.at(text)))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, and the digest of the byte spans with the bytes they cover."""
+    small_batches(spark)
     return encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), keep="digests")
