@@ -14,10 +14,11 @@ are one node from the start, so copies cost nothing further.
 
 Links. In each bucket the member that shares most buckets with others is the pivot (the original of a group of edited copies is such a one), and
 every member is compared with it. That links most groups, without their pairs. Buckets whose members are still in different components are
-then compared completely: blocks of 256 members meet in pairs of blocks in numpy, and only pairs of different components whose signatures agree
+then compared completely: blocks of 2,048 members meet in pairs of blocks in numpy, and only pairs of different components whose signatures agree
 on at least 0.8 less 3.5 standard errors come out. Every pair that comes out of either step is verified on its whole texts, and links make
-components by hooking and contraction in tables. No bucket is capped; a bucket of n unlinked members costs n^2 / 2 comparisons of 448 bytes,
-dealt over (n / 256)^2 / 2 tasks, and no rows. What is broadcast or collected: nothing.
+components by hooking and contraction in tables. No bucket is capped; a bucket of n members that stay unlinked costs n^2 / 2 comparisons of 448 bytes,
+dealt over (n / 2048)^2 / 2 tasks, and sends each member, 830 bytes, to n / 2048 of them. Nothing is collected, and no table is broadcast by this code: joins of tables that
+grow carry a merge hint, and small ones are left to adaptive execution, which broadcasts a side only where its measured size is below the session's threshold.
 
 Defined cases: a null text counts as empty; texts without words are equal to each other and near no other; a text of one to four words is one
 shingle; null ids sort last; of repeated rows exactly one stays; an empty table gives an empty result; other columns pass through.
@@ -32,10 +33,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Settled, small_batches, text_of
+from .common import Settled, Taken, small_batches, text_of
 
 WIDTH, THRESHOLD, BANDS, ROWS, M = 5, 0.8, 48, 7, 448
-BLOCK = 256
+#: Members of a block. A member of a bucket of n goes to n / BLOCK tasks; a pair of blocks makes a matrix of 32 MB.
+BLOCK = 2048
 #: Least estimated similarity of a pair that is verified.
 LIKELY = THRESHOLD - 3.5 * (THRESHOLD * (1 - THRESHOLD) / M) ** 0.5
 #: Chance that one-byte components of different values agree.
@@ -263,9 +265,7 @@ def components(edges: DataFrame, done: Settled, tag: str) -> DataFrame:
 
 def linked(keyed: DataFrame) -> DataFrame:
     """(key, root) of every distinct text that is near another one; keyed: words, and key, their MD5; root: a number of its class."""
-    spark = keyed.sparkSession
-    small_batches(spark)
-    done = Settled(spark, "near")
+    done = Settled(keyed.sparkSession, "near")
     nodes = sketched(keyed.select("key", word_hashes(F.col("words")).alias("hashes"))).filter("sig is not null").groupBy("key").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     nodes = done.keep(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
 
@@ -336,10 +336,10 @@ def key_of(text: str) -> Column:
 
 
 def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per row of ``docs``: its id, class_id (smallest id of the class), class_size, kept (one row of each class) and key."""
-    done = Settled(docs.sparkSession, "class")
+    """One row per row of ``docs``: its id (doc_id), class_id (smallest id of the class), class_size, kept (one row of each class) and key."""
+    own, done = Taken(docs), Settled(docs.sparkSession, "class")
     # Words are cut once; what follows reads this table.
-    words = docs.select(F.col(doc_id).alias("doc_id"), word_list(text_of(text)).alias("words"))
+    words = own.rows.select(F.col(own.at(doc_id)).alias("doc_id"), word_list(text_of(own.at(text))).alias("words"))
     rows = done.keep(words.select("doc_id", F.unhex(F.md5("words")).alias("key"), F.monotonically_increasing_id().alias("r"), "words"), "rows")
     root = linked(rows.select("key", "words"))
     rows = done.keep(rows.drop("words"), "ids")
@@ -351,13 +351,14 @@ def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay: of each class one with the smallest id."""
-    classes = near_classes(docs, text, doc_id)
-    keep = classes.filter("kept").select(F.col("key").alias("__key"), F.col("doc_id").alias("__id"))
+    own = Taken(docs)
+    keep = near_classes(docs, text, doc_id).filter("kept").select("key", F.col("doc_id").alias("id"))
     # Rows that share both the id and the words of the one that stays are its repetitions; the join has put them together.
-    rows = docs.withColumn("__key", key_of(text)).join(keep.hint("merge"), "__key").filter(F.col(doc_id).eqNullSafe(F.col("__id")))
-    return rows.dropDuplicates(["__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = own.rows.withColumn("key", key_of(own.at(text))).join(keep.hint("merge"), "key").filter(F.col(own.at(doc_id)).eqNullSafe(F.col("id")))
+    return own.back(rows.dropDuplicates(["key"]), own.stay())
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, class_id, class_size, kept."""
+    small_batches(spark)
     return near_classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "class_id", "class_size", "kept")
