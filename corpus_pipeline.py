@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import exact_dedup, mixing, near_dedup, pieces, quality
-from lodestone.llm.common import SCOPE, Settled
+from lodestone.llm.common import SCOPE, Settled, Taken, small_batches
 
 #: What the operators of the last stage have settled. A stage's documents are a table of their own, so it goes when the next stage begins.
 _settled: list[Settled] = []
@@ -34,20 +34,26 @@ def stage(f):
     return run_stage
 
 
+def kept(docs: DataFrame, operator) -> DataFrame:
+    """The rows of ``docs`` that the operator keeps of (id, body, rest), with their own columns, whatever their names."""
+    own = Taken(docs)
+    i, body = own.at("doc_id"), own.at("text")
+    rest = [c for c in own.stay() if c not in (i, body)]
+    rows = operator(own.rows.select(F.col(i).alias("id"), F.col(body).alias("body"), F.struct(F.lit(0).alias("none"), *rest).alias("rest")))
+    return own.back(rows.select(F.col("id").alias(i), F.col("body").alias(body), *[F.col(f"rest.{c}").alias(c) for c in rest]), own.stay())
+
+
 @stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels that fall to training, doesn't reject."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    scored = quality.score(docs.select(F.struct(*names).alias("__doc"), F.col("text").alias("__text_in")), model, "__text_in")
-    return scored.filter("predicted = 1").select(*[F.col(f"__doc.`{c}`").alias(c) for c in docs.columns])
+    return kept(docs, lambda rows: quality.score(rows, model, "body").filter("predicted = 1"))
 
 
 @stage
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the longest original."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("__doc"), F.col("doc_id").alias("__id"), "text")
-    return exact_dedup.exact_dedup(rows, doc_id="__id").filter("kept").select(*[F.col("text") if c == "text" else F.col(f"__doc.`{c}`").alias(c) for c in docs.columns])
+    return kept(docs, lambda rows: exact_dedup.exact_dedup(rows, "body", "id").filter("kept"))
 
 
 @stage
@@ -65,7 +71,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 @stage
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per row of the mix: doc_id, n_tokens, ids_sha256, decoded_sha256 and the digest of the spans."""
-    return pieces.encode(docs.select("doc_id", "text"), keep="digests")
+    own = Taken(docs)
+    return pieces.encode(own.rows.select(F.col(own.at("doc_id")).alias("doc_id"), F.col(own.at("text")).alias("text")), keep="digests")
 
 
 STAGES = [("quality", quality_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("mixing", mixing_stage), ("encoding", encoding_stage)]
@@ -76,6 +83,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
+    small_batches(spark)
     done = Settled(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, function) in enumerate(STAGES):

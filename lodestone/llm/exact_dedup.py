@@ -8,7 +8,7 @@ the join that hands out the new groups is an ordinary equi-join, which adaptive
 
 Defined cases: a null text counts as empty; empty texts are equal to each other; a null id sorts last among equal lengths; rows repeated in
 full are told apart by their place in the written table, so exactly one stays; an empty table gives an empty result; input columns named like
-an output column are replaced.
+an output column, in any letters, are replaced.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Settled, text_of
+from .common import Settled, Taken, text_of
 
 #: Bytes of the first digit, and the factor from one round's digit to the next.
 FIRST, GROWTH = 64, 16
@@ -30,29 +30,29 @@ def squeeze(text: Column) -> Column:
     return text
 
 
-def classes(docs: DataFrame, text: str = "text", carry_text: bool = True) -> DataFrame:
-    """``docs`` with ``__row`` (unique), and ``__round`` and ``__class``, which together name the class of equal texts and are null for a
+def classes(rows: DataFrame, text: str, carry_text: bool = True) -> DataFrame:
+    """rows: columns named c0, c1, ... and ``len``; with ``row`` (unique), and ``round`` and ``class``, which together name the class of equal texts and are null for a
     text that occurs once. ``carry_text=False`` empties the text of decided rows, which then costs nothing to keep."""
-    done = Settled(docs.sparkSession, "radix")
-    todo = docs.withColumns({"__gid": F.lit(0).cast("long"), "__at": F.lit(0).cast("long")})
-    names, out, k, width = docs.columns, [], 0, FIRST
+    done = Settled(rows.sparkSession, "radix")
+    todo = rows.withColumns({"gid": F.lit(0).cast("long"), "at": F.lit(0).cast("long")})
+    names, out, k, width = rows.columns, [], 0, FIRST
     while True:
         raw = squeeze(text_of(text)).cast("binary")
-        cut = todo.withColumns({"__digit": F.substring(raw, F.col("__at") + 1, F.lit(width)), "__end": F.octet_length(raw) <= F.col("__at") + width})
-        key = ["__gid", "__digit", "__end"]
-        groups = cut.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select(*key, F.monotonically_increasing_id().alias("__next"))
+        cut = todo.withColumns({"digit": F.substring(raw, F.col("at") + 1, F.lit(width)), "end": F.octet_length(raw) <= F.col("at") + width})
+        key = ["gid", "digit", "end"]
+        groups = cut.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key, F.monotonically_increasing_id().alias("next"))
         groups = done.keep(groups, f"groups{k}")
-        more = F.col("__next").isNotNull() & ~F.col("__end")
+        more = F.col("next").isNotNull() & ~F.col("end")
         # Always by shuffle: what moves is then in proportion to the input at every size.
         split = cut.join(groups.hint("merge"), key, "left").select(
-            *[F.when(more, F.col(f"`{c}`")).alias(c) if c == text and not carry_text else F.col(f"`{c}`") for c in names],
-            F.when(F.col("__next").isNotNull() & F.col("__end"), F.col("__next")).alias("__class"),
-            F.lit(k).alias("__round"), F.when(more, F.col("__next")).alias("__gid"), (F.col("__at") + width).alias("__at"),
+            *[F.when(more, F.col(c)).alias(c) if c == text and not carry_text else F.col(c) for c in names],
+            F.when(F.col("next").isNotNull() & F.col("end"), F.col("next")).alias("class"),
+            F.lit(k).alias("round"), F.when(more, F.col("next")).alias("gid"), (F.col("at") + width).alias("at"),
         )
         split = done.keep(split, f"rows{k}")
         done.drop(f"groups{k}")
-        out.append(split.filter("__gid is null").select(*names, "__class", "__round", F.concat_ws("-", F.lit(k), F.monotonically_increasing_id()).alias("__row")))
-        todo = split.filter("__gid is not null").select(*names, "__gid", "__at")
+        out.append(split.filter("gid is null").select(*names, "class", "round", F.concat_ws("-", F.lit(k), F.monotonically_increasing_id()).alias("row")))
+        todo = split.filter("gid is not null").select(*names, "gid", "at")
         if todo.isEmpty():
             break
         k, width = k + 1, width * GROWTH
@@ -64,14 +64,16 @@ def classes(docs: DataFrame, text: str = "text", carry_text: bool = True) -> Dat
 
 def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carry_text: bool = True) -> DataFrame:
     """Each row of ``docs`` with ``keep_id`` (id of the row of its class that stays: the longest original text in code points, then the
-    smallest id), ``group_size`` and ``kept``."""
-    names = [c for c in docs.columns if c not in ("keep_id", "group_size", "kept")]
-    rows = classes(docs.select(*[F.col(f"`{c}`") for c in names], F.char_length(text_of(text)).alias("__len")), text, carry_text)
-    order = F.struct((-F.col("__len")).alias("l"), F.col(doc_id).isNull().alias("u"), F.col(doc_id).alias("i"), F.col("__row").alias("r"))
-    best = rows.filter("__class is not null").groupBy("__round", "__class").agg(F.count(F.lit(1)).alias("group_size"), F.min(order).alias("__best"))
-    alone = rows.filter("__class is null").select(*names, F.col(doc_id).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-    many = rows.filter("__class is not null").join(best.hint("merge"), ["__round", "__class"]).select(*names, F.col("__best.i").alias("keep_id"), "group_size", (F.col("__row") == F.col("__best.r")).alias("kept"))
-    return alone.unionByName(many)
+    smallest id), ``group_size`` and ``kept``. ``carry_text=False`` leaves the texts null."""
+    own, new = Taken(docs), ("keep_id", "group_size", "kept")
+    body, i = own.at(text), own.at(doc_id)
+    rows = classes(own.rows.withColumn("len", F.char_length(text_of(body))), body, carry_text)
+    order = F.struct((-F.col("len")).alias("l"), F.col(i).isNull().alias("u"), F.col(i).alias("i"), F.col("row").alias("r"))
+    best = rows.filter("class is not null").groupBy("round", "class").agg(F.count(F.lit(1)).alias("group_size"), F.min(order).alias("best"))
+    names = own.stay(new)
+    alone = rows.filter("class is null").select(*names, F.col(i).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    many = rows.filter("class is not null").join(best.hint("merge"), ["round", "class"]).select(*names, F.col("best.i").alias("keep_id"), "group_size", (F.col("row") == F.col("best.r")).alias("kept"))
+    return own.back(alone.unionByName(many), names, new)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -20,10 +20,8 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import small_batches, text_of
-from .media import passed
+from .common import Taken, portions, small_batches, text_of
 
 #: Lines on each side of a line that its window takes in, and the least weights of a surge's window and first line where nothing marks the main text.
 REACH, SURGE, START = 1, 60, 20
@@ -212,19 +210,20 @@ def extract(page: str) -> str:
 
 def extract_text(pages: DataFrame, column: str = "html") -> DataFrame:
     """``pages`` without the html, with text and n_chars (its code points)."""
-    names, schema = passed(pages.drop(column), "text string, n_chars long")
+    own = Taken(pages)
+    names = own.stay(("text", "n_chars"), (column,))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
+        for x in portions(batches, "page"):
             out = x[names].copy()
-            out["text"] = [extract(p) for p in x["__html"]]
+            out["text"] = [extract(p) for p in x["page"]]
             out["n_chars"] = [len(t) for t in out["text"]]
             yield out
 
-    small_batches(pages.sparkSession)
-    return pages.select(*[F.col(f"`{c}`") for c in names], text_of(column).alias("__html")).mapInPandas(run, schema)
+    return own.mapped(run, names, "text string, n_chars long", page=text_of(own.at(column)))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
+    small_batches(spark)
     return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
