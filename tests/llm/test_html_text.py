@@ -62,8 +62,72 @@ def test_any_markup(page):
 
 
 def test_weights_of_lines():
-    lines = ht.lines_of(f"<div><a href=x>only a link</a></div><p>{PARA} <a>more</a></p><nav>x</nav>")
-    assert [(t, w) for t, w, _ in lines] == [("only a link", 0), (f"{PARA} more", len(PARA) + 1), ("x", 0)]
+    lines, nodes = ht.lines_of(f"<div><a href=x>only a link</a></div><p>{PARA} <a>more</a></p><nav>x</nav>")
+    assert [(x.text, w) for x, w in zip(lines, ht.weighed(lines, nodes), strict=True)] == [("only a link", 0), (f"{PARA} more", len(PARA) + 1), ("x", None)]
+
+
+BODY = f"<h1>T</h1><p>{PARA}</p><p>Short.</p><p>{PARA}</p>"
+TEXT = f"T\n{PARA}\nShort.\n{PARA}"
+
+
+@pytest.mark.parametrize("page", [
+    f'<div class="elementor-widget">{BODY}</div>', f'<div class="layout has-sidebar">{BODY}</div>', f'<div class="has-sidebar"><main>{BODY}</main></div>', f'<article><div class="entry share-ready">{BODY}</div></article>', f"<form id=aspnetForm>{BODY}</form>",
+    f"<form id=aspnetForm><nav>menu</nav><div class=widget>{BODY}</div><div class=sidebar>{PARA}</div></form>", f"<div class=popup-ready><div class=newsletter-signup>{PARA}</div>{BODY}</div>", f"<div id=page class=comments-open>{BODY}<div id=comments><p>{PARA}</p><p>{PARA}</p><p>{PARA}</p><p>{PARA}</p></div></div>",
+    f"<div class=ad>{PARA}</div><article>{BODY}</article><div class=comment-list>{BODY * 9}</div>", f"<div>{BODY}<span hidden>no</span></div>", f"<div class=sidebar><div class=advert>{PARA}</div>{BODY * 0}</div><div>{BODY}</div>", f"<div class=widget-area><div class=widget>{BODY}</div></div>",
+    f"<p>Some company with a tag line of more than sixty characters in all.</p><form id=f>{BODY}</form>".replace("<p>Some", "<footer><p>Some").replace("all.</p>", "all.</p></footer>"), f"<div class='post-header'></div>{BODY}<button>Buy</button>",
+])
+def test_classes_do_not_stand_in_for_the_text(page):
+    assert ht.extract(page) == TEXT
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<div>{BODY}</div><p></p><article><p>Teaser.</p></article>", f"{TEXT}\nTeaser."), (f"<article>{BODY}<section class=related-work><h2>Related work</h2><p>{PARA}</p></section></article>", f"{TEXT}\nRelated work\n{PARA}"),
+    (f"<div>{BODY}<p>Let <math><mi>x</mi></math> be.</p><svg><title>no</title><text>label</text></svg></div>", f"{TEXT}\nLet x be.\nlabel"), (f"<div>{BODY}<pre><span class=comment># note</span> x = 1</pre></div>", f"{TEXT}\n# note x = 1"),
+    (f"<div>Site name</div><div>{BODY}</div><div>All rights reserved</div>", TEXT), (f"<div>{BODY}</div><div><h2>More</h2><a href=x>Story one</a></div>", TEXT), (f"<div class=post-header><h1>T</h1></div><div><p>{PARA}</p></div>", f"T\n{PARA}"),
+    (f"<div class='ad-slot top'><p>{PARA}</p></div><div class=content><p>{PARA}</p><div class=cookieNotice>{PARA}</div><p>End.</p></div>", f"{PARA}\nEnd."),
+])
+def test_line_blocks(page, text):
+    assert ht.extract(page) == text
+
+
+def by_hand(weights, tops, ends, headings):
+    """The rule of windows, surge and dive, without sums kept."""
+    heavy = [0 if w is None else w for w in weights]
+    least = 60 if any(w >= 60 for w in heavy) else max(heavy, default=0)
+    kept, first, last = set(), None, None
+    for k in range(len(heavy)):
+        window = heavy[k] + (heavy[k - 1] if k else 0) + (heavy[k + 1] if k + 1 < len(heavy) else 0)
+        if heavy[k] > 0 and heavy[k] >= min(20, least) and window >= least:
+            first, last = (k if first is None else first), k
+    if first is None:
+        return []
+    kept.update(range(first, last + 1))
+    if not headings[first]:
+        kept.update(range(tops[first], first))
+    kept.update(range(last, ends[last]))
+    return sorted(k for k in kept if weights[k] is not None)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["p", "div", "h1", "li", "section", "nav", "article"]), st.integers(0, 90), st.sampled_from(["", " class=ad", " class=x-ad", " class=comments", " hidden"]), st.booleans()), max_size=12))
+def test_windows_by_hand(blocks):
+    page = "".join(f"<{n}{c}>{'w' * size}" + (f"</{n}>" if shut else "") for n, size, c, shut in blocks)
+    lines, nodes = ht.lines_of(page)
+    weights = ht.weighed(lines, nodes)
+    assert all(0 <= x.top <= k < x.end <= len(lines) for k, x in enumerate(lines))
+    assert ht.main_lines(lines, weights) == by_hand(weights, [x.top for x in lines], [x.end for x in lines], [x.heading for x in lines])
+
+
+def test_without_names(spark):
+    """Neither classes nor article: the windows alone find the long paragraphs, and leave menus out."""
+    good = 0
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    for page in pages:
+        bare = re.sub(r"\s(class|id|role)=(\"[^\"]*\"|[^\s>]+)", "", page).replace("<article>", "<div>").replace("</article>", "</div>")
+        out = ht.extract(bare).split("\n")
+        menu = [html.unescape(x) for x in re.findall(r"<li><a[^>]*>(.*?)</a>", page)]
+        good += all(x in out for x in article(page).split("\n") if len(x) >= ht.SURGE) and not any(m in out for m in menu)
+    assert good >= 0.95 * len(pages)
 
 
 def article(page):
