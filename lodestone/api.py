@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+from concurrent.futures import ThreadPoolExecutor
+from datetime import timedelta
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -101,10 +103,13 @@ class Tools:
         # Ranking statistics span all workspaces.
         docs = self.searchable().drop("embedding", "embed_text", "tags")
         vectors = self.searchable(workspace_id).withColumn("code", F.col("embed_text")).drop("embed_text", "words", "length")
-        how = {"file_filter": file_filter, "exclude_tests": exclude_tests, "tags": tag_filter, "tags_mode": tags_mode, "alpha": self.config.search.alpha, "beta": self.config.search.beta}
-        hits = search.hybrid_search(docs, vectors, {"q": query}, {"q": vector}, top_k, workspace_id, language_filter, **how)
-        keep = ("file_path", "symbol_name", "code", "docstring", "bm25_score", "vector_score", "tags", "hybrid_score")
-        return [{k: r[k] for k in keep} | {"workspace_id": workspace_id, "metadata": {"tags": r.tags or []}} for r in hits.orderBy("place").collect()]
+        words = search.bm25_search(docs, {"q": query}, workspace_id, language_filter, 2 * top_k)
+        near = search.nearest(vectors, {"q": vector}, 2 * top_k, ("file_path", "symbol_name", "id"), workspace_id, language_filter)
+        # Two lists of 2 top_k rows, found side by side.
+        with ThreadPoolExecutor(1) as side:
+            other = side.submit(near.collect)
+            hits = search.fused_rows(words.collect(), other.result(), top_k, self.config.search.alpha, self.config.search.beta, file_filter, exclude_tests, tag_filter, tags_mode)
+        return [r | {"workspace_id": workspace_id, "metadata": {"tags": r["tags"] or []}} for r in hits]
 
     def search_code(self, query: str, top_k: int = 10, workspace_id: str = "default", language_filter: str | None = None, file_filter: str | None = None, exclude_tests: bool = False, format: str = "human", **tags) -> str:
         rows = self.search_rows(query, top_k, workspace_id, language_filter, file_filter, exclude_tests, **tags)
@@ -229,14 +234,17 @@ class Tools:
         return "\n".join([f"Exports of {package_path} ({len(names)}):", *[f"  {n}" for n in names]]) if names else f"No exports found for '{package_path}'."
 
     def project_stats(self, workspace_id: str = "default", output_format: str = "human") -> str:
-        now = stats.current(self.own("chunks", workspace_id)).first()
-        scans = self.own("scans", workspace_id)
-        history = [{"timestamp": str(r.ts), "files_scanned": r.files_scanned, "chunks_created": r.chunks_created, "duration_ms": r.duration_ms} for r in scans.orderBy("ts").collect()]
-        delta = stats.scan_delta(scans.withColumn("seq", F.col("duration_ms"))).first()
-        result = {
-            "current": {k: now[k] if now else 0 for k in ("files", "total_lines", "total_symbols")}, "scan_history": history,
-            "delta": {k: delta[k] for k in ("files_delta", "chunks_delta", "time_span_ms")} if delta else {},
-        }
+        # Side by side: the counts, and the history of scans, which the answer lists in full.
+        with ThreadPoolExecutor(1) as side:
+            scanned = side.submit(self.own("scans", workspace_id).collect)
+            now = stats.current(self.own("chunks", workspace_id)).first()
+        scans = sorted(scanned.result(), key=lambda r: (r.ts, r.duration_ms))
+        history = [{"timestamp": str(r.ts), "files_scanned": r.files_scanned, "chunks_created": r.chunks_created, "duration_ms": r.duration_ms} for r in scans]
+        delta = {}
+        if len(scans) > 1:
+            a, z = scans[0], scans[-1]
+            delta = {"files_delta": z.files_scanned - a.files_scanned, "chunks_delta": z.chunks_created - a.chunks_created, "time_span_ms": (z.ts - a.ts) // timedelta(milliseconds=1)}
+        result = {"current": {k: now[k] if now else 0 for k in ("files", "total_lines", "total_symbols")}, "scan_history": history, "delta": delta}
         if output_format == "json":
             return dumped(result)
         c = result["current"]

@@ -32,9 +32,18 @@ def orphans(files: DataFrame, scan: DataFrame, workspace: str, root: str) -> Dat
     return own.join(scan.select("file_path"), "file_path", "left_anti")
 
 
-def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows of files that aren't in ``gone`` (workspace_id, file_path)."""
-    return rows.join(gone.select(*FILE_KEY), list(FILE_KEY), "left_anti")
+def without_dropped(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows (with commit_no) but those of files that a later commit dropped; gone: workspace_id, file_path, gone_no."""
+    last = gone.groupBy(*FILE_KEY).agg(F.max("gone_no").alias("gone_no")).alias("g")
+    r = rows.alias("r")
+    return r.join(last, [F.col(f"r.{c}") == F.col(f"g.{c}") for c in FILE_KEY] + [F.col("r.commit_no") < F.col("g.gone_no")], "left_anti")
+
+
+def without_workspaces(rows: DataFrame, dropped: dict[str, int], key: str = "workspace_id") -> DataFrame:
+    """Rows (with commit_no) but those of workspaces that a later commit dropped; ``dropped`` names the commit."""
+    for workspace, n in dropped.items():
+        rows = rows.filter((F.col(key) != workspace) | (F.col("commit_no") >= n))
+    return rows
 
 
 def edges_of(files: DataFrame, imports: Column) -> DataFrame:

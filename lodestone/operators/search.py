@@ -7,9 +7,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import paths, text
 
@@ -81,20 +83,50 @@ def bm25_search(docs: DataFrame, phrases: dict[str, str], workspace: str | None
     return normalized(best_of(hits, k, [F.col("rank"), F.col("file_path"), F.col("symbol_name"), F.col("id")], len(phrases)))
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-
-
 def nearest(vectors: DataFrame, queries: dict[str, Sequence[float]], k: int = 10, tie: Sequence[str] = ("id",), workspace: str | None = None, language: str | None = None) -> DataFrame:
-    """Exact k nearest rows of ``vectors`` (embedding) by squared distance, and vector_score = 1 - distance; workspace and language prune partitions.
-    A query's vector is a literal: each row meets each query where it is read, and a top-k by query is kept before the shuffle."""
+    """Exact k nearest rows of ``vectors`` (embedding) by squared distance, and vector_score = 1 - distance; workspace and language prune partitions. A vector that is null or
+    of another length than the query is near nothing.
+
+    Vectors meet the queries in numpy, batch by batch, with nothing of their rows but the columns ``tie``, which name a row; each task gives its k best for each query. The other
+    columns are read for the k best of all, which are few enough to be sent to every task."""
     if workspace is not None:
         vectors = vectors.filter(F.col("workspace_id") == workspace)
     if language:
         vectors = vectors.filter(F.lower("language") == language.lower())
-    asked = F.explode(F.array(*[F.struct(F.lit(q).alias("query_id"), F.array(*[F.lit(float(x)) for x in v]).alias("query")) for q, v in queries.items()]))
-    rows = vectors.withColumn("q", asked).withColumn("distance", squared_distance(F.col("embedding"), F.col("q.query"))).withColumn("query_id", F.col("q.query_id")).drop("q", "embedding")
-    return best_of(rows, k, [F.col("distance"), *[F.col(t) for t in tie]], len(queries)).withColumn("vector_score", 1 - F.col("distance"))
+    tie, asked = list(tie), {q: np.asarray(v, float) for q, v in queries.items()}
+    narrow = vectors.select(*tie, "embedding")
+    form = T.StructType([T.StructField("query_id", T.StringType()), *[narrow.schema[t] for t in tie], T.StructField("distance", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, pa.Table] = {}
+        for x in batches:
+            lists = x.column(len(tie))
+            lengths = pc.fill_null(pc.list_value_length(lists), -1).to_numpy()
+            for q, query in asked.items():
+                same = np.flatnonzero(lengths == len(query))
+                if not len(same):
+                    continue
+                v = pc.list_flatten(lists if len(same) == len(lengths) else lists.take(pa.array(same))).to_numpy(zero_copy_only=False).reshape(-1, len(query)).astype(float)
+                d = ((v - query) ** 2).sum(axis=1)
+                near = np.arange(len(d)) if len(d) <= k else np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+                own = pa.table([x.column(j).take(pa.array(same[near])) for j in range(len(tie))] + [pa.array(d[near])], names=[*tie, "distance"])
+                own = pa.concat_tables([held[q], own]) if q in held else own
+                held[q] = own.take(pc.sort_indices(own, [("distance", "ascending"), *[(t, "ascending") for t in tie]])[:k])
+        for q, own in held.items():
+            for part in own.combine_chunks().to_batches():
+                yield pa.RecordBatch.from_arrays([pa.array([q] * part.num_rows), *part.columns], names=form.fieldNames())
+
+    if not asked:
+        return vectors.drop("embedding").select(F.lit("").alias("query_id"), "*", F.lit(0.0).alias("distance"), F.lit(0).alias("place"), F.lit(0.0).alias("vector_score")).limit(0)
+    hits = best(narrow.mapInArrow(run, form), k, [F.col("distance"), *[F.col(t) for t in tie]])
+    rest = [c for c in vectors.columns if c not in ("embedding", *tie)]
+    if rest:
+        # At most k rows of each query.
+        h, v = F.broadcast(hits).alias("h"), vectors.select(*tie, *rest).alias("v")
+        hits = v.join(h, [F.col(f"v.{t}").eqNullSafe(F.col(f"h.{t}")) for t in tie]).select("h.query_id", *[f"v.{c}" for c in (*tie, *rest)], "h.distance", "h.place")
+        # Rows alike in what names them are all found by each of their hits.
+        hits = best(hits.dropDuplicates(["query_id", "place"]), k, [F.col("place")])
+    return hits.withColumn("vector_score", 1 - F.col("distance"))
 
 
 #: Vectors and queries that meet in one step of ``nearest_many``.
@@ -157,6 +189,34 @@ def fused(words: DataFrame, vectors: DataFrame, k: int = 10, alpha: float = 0.6,
     return best(both, k, order).select(*key, "code", "docstring", "bm25_score", "vector_score", "tags", "hybrid_score", "place")
 
 
+def fused_rows(words: Sequence[Row], vectors: Sequence[Row], k: int = 10, alpha: float = 0.6, beta: float = 0.4, file_filter: str | None = None, exclude_tests: bool = False, tags: Sequence[str] | None = None, tags_mode: str = "any") -> list[dict]:
+    """``fused`` for the two collected lists of one query, 2k rows each: at that size a plan costs more than the work."""
+    both: dict[tuple, dict] = {}
+    for rows, score, place, code in ((words, "bm25_score", "word_place", "word_code"), (vectors, "vector_score", "vector_place", "vector_code")):
+        for r in sorted(rows, key=lambda r: r["place"]):
+            own = both.setdefault((r["file_path"], r["symbol_name"]), {})
+            own[score] = min(r[score], own.get(score, r[score]))
+            own.setdefault(place, r["place"])
+            # As min_by and max_by, which leave out nothing but rows without a place.
+            own.setdefault(code, r["code"])
+            if rows is words:
+                own.setdefault("docstring", r["docstring"])
+            else:
+                own["tags"] = r["tags"]
+    out = []
+    for (path, name), x in both.items():
+        own = x.get("tags")
+        held = [t in (own or ()) for t in tags or ()]
+        if (file_filter and file_filter not in path) or (exclude_tests and "test" in path.lower()) or (tags and not (all(held) if tags_mode == "all" else any(held))):
+            continue
+        w, v = x.get("bm25_score", 0.0), x.get("vector_score", 0.0)
+        code = x["word_code"] if x.get("word_code") is not None else x.get("vector_code")
+        row = {"file_path": path, "symbol_name": name, "code": code, "docstring": x.get("docstring") or "", "bm25_score": w, "vector_score": v, "tags": own, "hybrid_score": alpha * v + beta * w}
+        last = 1 << 60
+        out.append(((-row["hybrid_score"], x.get("word_place", last), x.get("vector_place", last), path), row))
+    return [row for _, row in sorted(out, key=lambda o: o[0])[:k]]
+
+
 def hybrid_search(docs: DataFrame, vectors: DataFrame, phrases: dict[str, str], queries: dict[str, Sequence[float]], k: int = 10, workspace: str | None = None, language: str | None = None, **how) -> DataFrame:
     words = bm25_search(docs, phrases, workspace, language, 2 * k)
     near = nearest(vectors, queries, 2 * k, ("file_path", "symbol_name", "id"), workspace, language)

@@ -273,10 +273,10 @@ def index_orphans(spark, d):
     return index.orphans(f, f.filter("doc_id % 4 <> 1"), workspaces.id_of("/work/src1"), "/work/src1").select("file_path").distinct()
 
 
-@query("index_delete", f"{with_sql('files')} SELECT doc_id FROM files WHERE doc_id % 5 <> 2")
+@query("index_delete", f"{with_sql('files')}, g AS (SELECT file_path, max(doc_id % 4) AS gone_no FROM files WHERE doc_id % 5 = 2 GROUP BY ALL) SELECT doc_id FROM files f LEFT JOIN g USING (file_path) WHERE g.gone_no IS NULL OR f.doc_id % 3 >= g.gone_no")
 def index_delete(spark, d):
-    f = corpus.files(spark, d)
-    return index.without(f, f.filter("doc_id % 5 = 2")).select("doc_id")
+    f = corpus.files(spark, d).withColumn("commit_no", F.col("doc_id") % 3)
+    return index.without_dropped(f, f.filter("doc_id % 5 = 2").select("workspace_id", "file_path", (F.col("doc_id") % 4).alias("gone_no"))).select("doc_id")
 
 
 @query("index_dependencies", "SELECT DISTINCT source AS workspace_id, 'f' || doc_id % 100 AS source_symbol, 'mod' || doc_id % 7 AS target_symbol FROM documents UNION SELECT DISTINCT source, 'f' || doc_id % 100, 'base' FROM documents")
@@ -298,9 +298,10 @@ def index_summary(spark, d):
     return out.withColumn("languages", F.array_join(F.transform(F.map_entries("languages"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ","))
 
 
-@query("index_delete_workspace", "SELECT source AS workspace_id, count(*) AS files FROM documents WHERE source <> 'src1' GROUP BY source")
+@query("index_delete_workspace", "SELECT doc_id, source AS workspace_id FROM documents WHERE (source <> 'src1' OR doc_id % 7 >= 4) AND (source <> 'src2' OR doc_id % 7 >= 2)")
 def index_delete_workspace(spark, d):
-    return corpus.read(spark, d, "documents").filter("source <> 'src1'").groupBy(F.col("source").alias("workspace_id")).agg(F.count(F.lit(1)).alias("files"))
+    rows = corpus.read(spark, d, "documents").select("doc_id", F.col("source").alias("workspace_id"), (F.col("doc_id") % 7).alias("commit_no"))
+    return index.without_workspaces(rows, {"src1": 4, "src2": 2}).select("doc_id", "workspace_id")
 
 
 @query("index_workspaces", "SELECT source AS id, max(doc_id) AS created FROM documents GROUP BY source")

@@ -1,14 +1,16 @@
 """The index on disk: tables as lists of Parquet segments, and the write path that fills them.
 
 A write appends a segment of new rows to each table and, for files that changed or went, a row to the table of dropped files; readers leave out
-what a later commit dropped. So a write costs what changed, not what is there. A small file names the segments and is swapped at the end: a
-failed write leaves the index as it was. Beyond 32 segments a write merges them. Chunks are partitioned by workspace and language, so searches
-prune.
+what a later commit dropped. So a write costs what changed, not what is there. A commit is a numbered manifest that names the segments; it appears whole, by a rename, and the
+highest number counts, so a write that fails at any step leaves the index as it was. Dropping a workspace is an entry in the manifest. Beyond 32 segments a write merges the
+newest ones, as many as are not much larger than those behind them, so a row is rewritten a number of times that grows with the logarithm of the index. Chunks are partitioned by
+workspace and language, so searches prune, and sorted by name within files, so lookups skip row groups and pages.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 from collections.abc import Sequence
@@ -27,20 +29,30 @@ from ..sources import tree, workspaces
 
 TABLES = {"chunks": schema.CHUNK, "files": schema.FILE, "deps": schema.EDGE, "scans": schema.SCAN, "workspaces": schema.WORKSPACE, "tag_cache": schema.TAG_CACHE}
 #: Tables whose rows belong to a file, and go with it.
-BY_FILE = {"chunks", "files", "deps"}
+BY_FILE = ("chunks", "files", "deps")
 COMMIT = T.StructField("commit_no", T.LongType())
-GONE = T.StructType([*schema.struct("workspace_id string, file_path string").fields, COMMIT])
-#: Segments of a table beyond which a write merges them.
-MOST_SEGMENTS = 32
+GONE = schema.struct("workspace_id string, file_path string, gone_no long")
+#: Segments of a table beyond which a write merges the newest, and how much larger than those behind it a segment may be to be merged with them.
+MOST_SEGMENTS, GROWTH = 32, 2
+#: Bytes up to which a segment is merged in any case.
+SMALL = 1 << 16
+MANIFESTS = "manifests"
+#: Errors that a report lists; all are counted.
+MOST_ERRORS = 1000
 #: Bytes of a row group.
 ROW_GROUP = 8 << 20
 PARTITIONS = {"chunks": ["workspace_id", "language"], "deps": ["workspace_id"]}
 
 
+def _number(segment: str) -> int:
+    return int(segment.rsplit("=", 1)[1])
+
+
 class Store:
     def __init__(self, spark: SparkSession, config: Config | None = None, embedder: embed.Embedder | None = None, tagger=None):
         self.spark, self.config = spark, config or Config()
         self.embedder, self.tagger = embedder or embed.HashEmbedder(), tagger
+        self._read, self._state, self._tables = None, {}, {}
         root = self.config.index.index_path
         self.root = root if "://" in root else f"file://{root}"
 
@@ -53,54 +65,91 @@ class Store:
         return self._path("").getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
 
     def current(self) -> dict:
-        """Number of the last commit, and the segment folders of each table."""
-        fs, path = self._fs(), self._path("current.json")
-        if not fs.exists(path):
-            return {"commit": 0, "tables": {}}
-        stream = fs.open(path)
-        try:
-            return json.loads(bytes(stream.readAllBytes()))
-        finally:
-            stream.close()
+        """The last commit: its number, the segment folders of each table, their bytes, and the workspaces that were dropped, with the commit that did."""
+        fs, folder = self._fs(), self._path(MANIFESTS)
+        names = sorted(f.getPath().getName() for f in fs.listStatus(folder)) if fs.exists(folder) else []
+        names = [n for n in names if re.fullmatch(r"\d{12}\.json", n)]
+        if not names:
+            return {"commit": 0, "tables": {}, "bytes": {}, "dropped": {}}
+        if self._read != names[-1]:
+            stream = fs.open(self._path(f"{MANIFESTS}/{names[-1]}"))
+            try:
+                self._state, self._read, self._tables = json.loads(bytes(stream.readAllBytes())), names[-1], {}
+            finally:
+                stream.close()
+        return self._state
 
-    def _segments(self, name: str, state: dict, form: T.StructType) -> DataFrame | None:
-        paths = [f"{self.root}/{p}" for p in state["tables"].get(name, ())]
+    def _segments(self, name: str, state: dict, form: T.StructType, only: Sequence[str] | None = None) -> DataFrame | None:
+        paths = [f"{self.root}/{p}" for p in state["tables"].get(name, ()) if only is None or p in only]
         return self.spark.read.schema(form).option("basePath", f"{self.root}/{name}").parquet(*paths) if paths else None
 
     def table(self, name: str) -> DataFrame:
-        """The live rows of a table: its segments, less the rows of files that a later commit dropped or replaced."""
-        state, form = self.current(), TABLES[name]
-        rows = self._segments(name, state, T.StructType([*form.fields, COMMIT]))
+        """The live rows of a table: its segments, less the rows of files and workspaces that a later commit dropped or replaced. The plan is kept until the next commit."""
+        state = self.current()
+        if name not in self._tables:
+            self._tables[name] = self.live(name, state)
+        return self._tables[name]
+
+    def live(self, name: str, state: dict, only: Sequence[str] | None = None) -> DataFrame:
+        form = TABLES[name]
+        rows = self._segments(name, state, T.StructType([*form.fields, COMMIT]), only)
         if rows is None:
             return self.spark.createDataFrame([], form)
+        own = "id" if name == "workspaces" else "workspace_id"
+        if own in form.fieldNames():
+            rows = index.without_workspaces(rows, state["dropped"], own)
         gone = self._segments("gone", state, GONE) if name in BY_FILE else None
         if gone is not None:
-            last = gone.groupBy(*index.FILE_KEY).agg(F.max("commit_no").alias("gone_no")).alias("g")
-            r = rows.alias("r")
-            rows = r.join(last, [F.col(f"r.{c}") == F.col(f"g.{c}") for c in index.FILE_KEY] + [F.col("r.commit_no") < F.col("g.gone_no")], "left_anti")
+            rows = index.without_dropped(rows, gone)
         return rows.select(*form.fieldNames())
 
-    def commit(self, append: dict[str, DataFrame] | None = None, replace: dict[str, DataFrame] | None = None, gone: DataFrame | None = None) -> None:
-        """One step of the index: segments appended, tables replaced, rows of files dropped. It holds once the file that names the segments is swapped;
-        there is one writer at a time."""
+    def commit(self, append: dict[str, DataFrame] | None = None, replace: dict[str, DataFrame] | None = None, gone: DataFrame | None = None, drop: str | None = None, merge: dict[str, list[str]] | None = None) -> None:
+        """One step of the index: segments appended, tables replaced, rows of files or of a workspace dropped, segments of a table merged. It holds once its manifest is there;
+        there is one writer at a time, and a second one fails."""
         state = self.current()
         n = state["commit"] + 1
-        tables = {k: list(v) for k, v in state["tables"].items()}
+        tables, sizes, dropped = {k: list(v) for k, v in state["tables"].items()}, dict(state["bytes"]), dict(state["dropped"])
         old = [p for name in (replace or {}) for p in tables.pop(name, ())]
-        for name, df in {**(append or {}), **(replace or {})}.items():
+        for name, paths in (merge or {}).items():
+            old += paths
+            tables[name] = [p for p in tables[name] if p not in paths]
+        fresh = {**(append or {}), **(replace or {}), **{name: self.merged(name, state, paths) for name, paths in (merge or {}).items()}}
+        for name, df in fresh.items():
             tables.setdefault(name, []).append(self._write(name, df, n))
         if gone is not None:
-            tables.setdefault("gone", []).append(self._write("gone", gone, n))
-        elif replace and BY_FILE <= replace.keys():
-            old += tables.pop("gone", [])
-        fs, path, fresh = self._fs(), self._path("current.json"), self._path(f"current-{uuid.uuid4().hex}.json")
-        stream = fs.create(fresh, True)
-        stream.write(bytearray(json.dumps({"commit": n, "tables": tables}).encode()))
-        stream.close()
-        fs.delete(path, False)
-        fs.rename(fresh, path)
-        for p in old:
+            tables.setdefault("gone", []).append(self._write("gone", gone.withColumn("gone_no", F.lit(n)), n))
+        if drop is not None:
+            dropped[drop] = n
+        # What was dropped before all segments there are, is of no use.
+        least = lambda names: min((_number(p) for name in names for p in tables.get(name, ())), default=n)
+        if least(BY_FILE) >= n:
+            old += [p for p in tables.get("gone", []) if _number(p) < n]
+            tables["gone"] = [p for p in tables.get("gone", []) if _number(p) >= n]
+        dropped = {k: v for k, v in dropped.items() if v > least(tables.keys() - {"gone"})}
+        fs = self._fs()
+        for paths in tables.values():
+            for p in paths:
+                if p not in sizes:
+                    sizes[p] = fs.getContentSummary(self._path(p)).getLength()
+        made = {"commit": n, "tables": tables, "bytes": {p: sizes[p] for paths in tables.values() for p in paths}, "dropped": dropped, "old": old}
+        self._publish(fs, n, made)
+        # Segments stay for one commit longer than they are named, for readers that are under way.
+        for p in state.get("old", ()):
             fs.delete(self._path(p), True)
+        # The manifest before stays, for a look back; those before that are of no use.
+        for f in fs.listStatus(self._path(MANIFESTS)):
+            if re.fullmatch(r"\d{12}\.json", name := f.getPath().getName()) and int(name[:12]) < n - 1:
+                fs.delete(f.getPath(), False)
+
+    def _publish(self, fs, n: int, made: dict) -> None:
+        draft, path = self._path(f"{MANIFESTS}/draft-{uuid.uuid4().hex}"), self._path(f"{MANIFESTS}/{n:012d}.json")
+        stream = fs.create(draft, True)
+        stream.write(bytearray(json.dumps(made).encode()))
+        stream.close()
+        # A rename doesn't replace a manifest that another writer has put there.
+        if fs.exists(path) or not fs.rename(draft, path):
+            fs.delete(draft, False)
+            raise RuntimeError(f"commit {n} of {self.root} was not taken: there is another one of this number, or the rename failed")
 
     def _write(self, name: str, df: DataFrame, n: int) -> str:
         form = GONE if name == "gone" else TABLES[name]
@@ -110,15 +159,37 @@ class Store:
             rows = rows.hint("rebalance", *[F.col(k) for k in keys])
         # The commit is a partition, too. What is there already is left of a write that failed.
         # Row groups are small, so that a search of a small index keeps all cores busy.
+        if name == "chunks":
+            rows = rows.sortWithinPartitions(*PARTITIONS[name], "name")
         out = rows.write.mode("overwrite").option("parquet.block.size", ROW_GROUP)
         (out.partitionBy(*keys) if keys else out).parquet(f"{self.root}/{(at := f'{name}/{COMMIT.name}={n}')}")
         return at
 
+    def merged(self, name: str, state: dict, paths: Sequence[str]) -> DataFrame:
+        """The rows of some segments that count: of dropped files the last commit that did, of other tables the live rows."""
+        if name == "gone":
+            return self._segments(name, state, GONE, paths).groupBy(*index.FILE_KEY).agg(F.max("gone_no").alias("gone_no"))
+        return self.live(name, state, paths)
+
     def compact(self, least: int = 1) -> None:
-        """Merge the segments of the tables by file, if one has more than ``least``; what was dropped goes for good."""
-        tables = self.current()["tables"]
-        if any(len(tables.get(name, ())) > least for name in BY_FILE):
-            self.commit(replace={name: self.table(name) for name in BY_FILE})
+        """Merge the newest segments of the tables by file that have more than ``least``: from the newest back, as long as the next one is at most GROWTH times as large as all
+        taken so far. With ``least`` 1 all are merged, and what was dropped goes for good."""
+        state = self.current()
+        merge = {}
+        for name in (*BY_FILE, "scans", "tag_cache", "gone"):
+            paths = state["tables"].get(name, [])
+            if len(paths) <= least:
+                continue
+            taken, total = [], 0
+            for p in reversed(paths):
+                if taken and least > 1 and state["bytes"][p] > max(GROWTH * total, SMALL):
+                    break
+                taken.append(p)
+                total += state["bytes"][p]
+            if len(taken) > 1 or least == 1:
+                merge[name] = taken
+        if merge:
+            self.commit(merge=merge)
 
     # Write path
 
@@ -162,12 +233,14 @@ class Store:
         parsed = chunking.chunk_files(fresh).persist()
         new = self.chunk_rows(parsed, fresh).persist()
         try:
-            errors = [r.error for r in parsed.filter("error is not null").select("error").collect()]
+            failed = parsed.filter("error is not null")
+            errors = [r.error for r in failed.select("error").limit(MOST_ERRORS).collect()]
+            n_failed = failed.count() if len(errors) == MOST_ERRORS else len(errors)
             chunked = new.select("workspace_id", "file_path").distinct()
             indexed = fresh.join(chunked, list(index.FILE_KEY), "left_semi")
             report = index.summary(scanned, indexed, new).first().asDict(recursive=True)
             touched = fresh.select(*index.FILE_KEY).unionByName(gone.select(*index.FILE_KEY)).distinct().join(self.table("files").select(*index.FILE_KEY), list(index.FILE_KEY), "left_semi")
-            report |= {"duration_ms": int((time.time() - started) * 1000), "errors": errors, "files_skipped": report["files_skipped"] - len(errors)}
+            report |= {"duration_ms": int((time.time() - started) * 1000), "errors": errors, "files_skipped": report["files_skipped"] - n_failed}
             now = F.current_timestamp()
             add = {
                 "chunks": new, "files": fresh.withColumn("indexed_at", now),
@@ -215,13 +288,14 @@ class Store:
         self.commit(gone=gone)
 
     def delete_workspace(self, workspace: str) -> None:
-        other: Column = F.col("workspace_id") != workspace
-        self.commit(replace={t: self.table(t).filter(other) for t in (*BY_FILE, "scans")} | {"workspaces": self.table("workspaces").filter(F.col("id") != workspace)})
+        """An entry in the manifest; the rows go when their segments are merged."""
+        self.commit(drop=workspace)
 
     def clear(self) -> int:
         """Delete everything; how many workspaces there were."""
         n = self.table("files").select("workspace_id").distinct().count()
         self._fs().delete(self._path(""), True)
+        self._read, self._state, self._tables = None, {}, {}
         return n
 
     def remember(self, found: workspaces.Workspace) -> None:

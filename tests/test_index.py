@@ -147,3 +147,77 @@ def test_question_to_the_model():
     asked = prompt_for("/a/b.py", "import os.path\ndef f(): pass\n")
     assert "* os.path" in asked and "* f\n" in asked and "framework:flask" in asked and "/a/b.py" in asked
     assert "(none)" in prompt_for("/a/b.md", "text")
+
+
+def test_a_write_that_fails_leaves_the_index(spark, tmp_path, project, monkeypatch):
+    from lodestone.plans.store import Store
+
+    t = Tools(spark, Config(index=Index(index_path=str(tmp_path / "idx"))))
+    ws = json.loads(t.index_project(str(project), format="json"))["workspace_id"]
+    rows = lambda tools: {n: sorted(map(str, tools.store.table(n).drop("embedding").collect())) for n in ("chunks", "files", "deps", "workspaces", "scans")}
+    before = rows(t)
+    (project / "b.md").write_text("# Other\n")
+    for step in ("_write", "_publish"):
+        real, calls = getattr(Store, step), []
+
+        def fails(self, *a, real=real, calls=calls, step=step):
+            calls.append(a)
+            if step == "_publish":
+                # The segments are all written, the manifest half.
+                stream = self._fs().create(self._path("manifests/draft-x"), True)
+                stream.write(bytearray(b'{"commit": '))
+                stream.close()
+                raise OSError("gone")
+            if len(calls) == 2:
+                raise OSError("disk")
+            return real(self, *a)
+
+        monkeypatch.setattr(Store, step, fails)
+        with pytest.raises(OSError):
+            t.index_project(str(project))
+        monkeypatch.undo()
+        assert rows(t) == before and rows(Tools(spark, t.config)) == before
+    assert json.loads(t.index_project(str(project), format="json"))["files_indexed"] == 1
+    assert t.own("chunks", ws).filter("code LIKE '%Other%'").count() == 1
+
+
+def test_a_second_writer_fails(spark, tmp_path, project):
+    one, two = (Tools(spark, Config(index=Index(index_path=str(tmp_path / "idx")))).store for _ in range(2))
+    state = two.current()
+    one.delete_workspace("a")
+    two.current = lambda: state
+    with pytest.raises(RuntimeError):
+        two.delete_workspace("b")
+    del two.current
+    assert two.current()["commit"] == 1
+
+
+def test_drop_and_merge(spark, tmp_path, project):
+    t = Tools(spark, Config(index=Index(index_path=str(tmp_path / "idx"))))
+    big = project / "big"
+    big.mkdir()
+    (big / "big.py").write_text("".join(f"def big{k}(x):\n    return x + {k}\n" for k in range(3000)))
+    t.index_project(str(big), workspace_id="c")
+    (big / "big.py").unlink()
+    a = json.loads(t.index_project(str(project), workspace_id="a", format="json"))
+    t.index_project(str(project), workspace_id="b")
+    n = len(t.store.current()["tables"]["chunks"])
+    t.delete_project("a")
+    assert len(t.store.current()["tables"]["chunks"]) == n and t.own("chunks", "a").count() == 0 and t.own("chunks", "b").count() == a["total_chunks"]
+    t.index_project(str(project), workspace_id="a")
+    assert t.own("chunks", "a").count() == a["total_chunks"]
+    path = str((project / "pkg" / "a.py").resolve())
+    for k in range(4):
+        t.store.delete_files("b", [path])
+        (project / "pkg" / "a.py").write_text(f"def helper{k}():\n    return {k}\n")
+        t.store.index_files([path], "b", str(project))
+    rows = lambda: {n: sorted(map(str, t.store.table(n).drop("embedding").collect())) for n in ("chunks", "files", "deps", "scans")}
+    before = rows()
+    t.store.compact(2)
+    state = t.store.current()
+    assert rows() == before and len(state["tables"]["chunks"]) == 2 and state["tables"]["chunks"][0].endswith("=1") and state["dropped"] and len(state["tables"]["gone"]) == 1
+    t.store.delete_files("a", [path])
+    t.store.compact()
+    state = t.store.current()
+    assert {n: len(state["tables"][n]) for n in ("chunks", "files", "deps", "scans")} == dict.fromkeys(("chunks", "files", "deps", "scans"), 1) and not state["dropped"] and not state["tables"]["gone"]
+    assert t.own("chunks", "a").filter(f"file_path = '{path}'").count() == 0 and [r.name for r in t.own("chunks", "b").filter(f"file_path = '{path}'").collect()] == ["helper3"]

@@ -77,3 +77,36 @@ def test_hybrid(spark, docs):
     assert names(tags=["data", "processing"], tags_mode="all") == {"process_data"}
     assert names(tags=["test", "user"]) == {"test_process", "fetch_user"}
     assert search.hybrid_search(docs, v, {"q": "process_data"}, {"q": [0.1] * 768}, 2, "w1").count() == 2
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    st.lists(st.tuples(st.sampled_from("ab"), st.sampled_from(["x", "test_y"]), st.integers(0, 4), st.sampled_from(["c1", "c2"])), max_size=6), st.lists(st.tuples(st.sampled_from("abc"), st.sampled_from(["x", "test_y", "z"]), st.integers(0, 4), st.sampled_from([None, ["t"], ["t", "u"]])), max_size=6),
+    st.sampled_from([None, "a"]), st.booleans(), st.sampled_from([None, ["t"], ["t", "u"]]), st.sampled_from(["any", "all"]),
+)
+def test_fused_rows_are_those_of_the_plan(spark, words, vectors, file_filter, exclude_tests, tags, mode):
+    from pyspark.sql import Row
+
+    w = [Row(query_id="q", file_path=f, symbol_name=s, bm25_score=n / 4, place=k, code=c, docstring=f"d{k}") for k, (f, s, n, c) in enumerate(words, 1)]
+    v = [Row(query_id="q", file_path=f, symbol_name=s, vector_score=n / 4, place=k, code=f"v{k}", tags=t) for k, (f, s, n, t) in enumerate(vectors, 1)]
+    frames = [spark.createDataFrame(x, schema) for x, schema in ((w, "query_id string, file_path string, symbol_name string, bm25_score double, place int, code string, docstring string"), (v, "query_id string, file_path string, symbol_name string, vector_score double, place int, code string, tags array<string>"))]
+    how = {"k": 3, "file_filter": file_filter, "exclude_tests": exclude_tests, "tags": tags, "tags_mode": mode}
+    plan = [{k: r[k] for k in r.asDict() if k not in ("query_id", "place")} for r in search.fused(*frames, **how).orderBy("place").collect()]
+    assert search.fused_rows(w, v, **how) == plan
+
+
+def test_nearest_meets_all_vectors(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = rng.integers(0, 3, (500, 4)).astype(float)
+    rows = [(f"w{k % 2}", f"f{k % 7}", f"s{k}", k, v[k].tolist()) for k in range(500)] + [("w0", "f", "null", 900, None), ("w0", "f", "short", 901, [1.0])]
+    df = spark.createDataFrame(rows, "workspace_id string, file_path string, symbol_name string, id long, embedding array<float>").repartition(5)
+    asked = {"a": [1.0, 1.0, 1.0, 1.0], "b": [0.0, 2.0, 0.0, 2.0]}
+    got = search.nearest(df, asked, 9, ("file_path", "symbol_name", "id")).collect()
+    for q, x in asked.items():
+        want = sorted(((float(((v[k] - x) ** 2).sum()), f"f{k % 7}", f"s{k}", k) for k in range(500)))[:9]
+        assert sorted((r.distance, r.file_path, r.symbol_name, r.id) for r in got if r.query_id == q) == want
+        assert [r.workspace_id for r in got if r.query_id == q and r.id == want[0][3]] == [f"w{want[0][3] % 2}"]
+    assert search.nearest(df, {}, 9).count() == 0 and search.nearest(df, asked, 3, workspace="none").count() == 0
+    assert search.nearest(df, {"a": asked["a"]}, 9, ("id",), "w1").filter("workspace_id = 'w0'").count() == 0
