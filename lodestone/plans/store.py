@@ -176,17 +176,19 @@ class Store:
         taken so far. With ``least`` 1 all are merged, and what was dropped goes for good."""
         state = self.current()
         merge = {}
-        for name in (*BY_FILE, "scans", "tag_cache", "gone"):
+        if least == 1:
+            merge = {name: paths for name in (*BY_FILE, "scans", "tag_cache") if (paths := state["tables"].get(name))}
+        for name in (*BY_FILE, "scans", "tag_cache", "gone") if least > 1 else ():
             paths = state["tables"].get(name, [])
             if len(paths) <= least:
                 continue
             taken, total = [], 0
             for p in reversed(paths):
-                if taken and least > 1 and state["bytes"][p] > max(GROWTH * total, SMALL):
+                if taken and state["bytes"][p] > max(GROWTH * total, SMALL):
                     break
                 taken.append(p)
                 total += state["bytes"][p]
-            if len(taken) > 1 or least == 1:
+            if len(taken) > 1:
                 merge[name] = taken
         if merge:
             self.commit(merge=merge)
