@@ -279,15 +279,19 @@ class Store:
 
     def index_files(self, files: Sequence[str], workspace: str, root: str, force: bool = False) -> dict:
         """The same plan for named files."""
+        return self.index_listing(tree.named(self.spark, files), workspace, root, force)
+
+    def index_listing(self, listing: DataFrame, workspace: str, root: str, force: bool = False) -> dict:
+        """The same plan for some files (file_path, size_bytes) of a tree, which isn't listed."""
         started, own = time.time(), self.config.index
-        listing = tree.named(self.spark, files)
         wanted = tree.with_source(tree.within_size(tree.wanted(listing, root, own.supported_extensions, own.exclude_patterns), own.max_file_size_mb), root).withColumn("workspace_id", F.lit(workspace))
-        fresh = tree.with_package(index.changed(wanted, self.table("files"), force), tree.listing(self.spark, root))
+        fresh = tree.with_found_package(index.changed(wanted, self.table("files"), force), root)
         return self.write(listing, workspace, fresh, self.table("files").limit(0), started, record=False)
 
-    def delete_files(self, workspace: str, files: Sequence[str]) -> None:
-        gone = self.spark.createDataFrame([(workspace, f) for f in files], "workspace_id string, file_path string")
-        self.commit(gone=gone)
+    def delete_files(self, workspace: str, files: Sequence[str] | DataFrame) -> None:
+        """Drop files by name; a table of them has a column file_path."""
+        gone = files if isinstance(files, DataFrame) else self.spark.createDataFrame([(f,) for f in files], "file_path string")
+        self.commit(gone=gone.select(F.lit(workspace).alias("workspace_id"), "file_path"))
 
     def delete_workspace(self, workspace: str) -> None:
         """An entry in the manifest; the rows go when their segments are merged."""

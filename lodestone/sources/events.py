@@ -3,8 +3,10 @@ are seen, which the built-in file source doesn't report."""
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
+import tempfile
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
@@ -34,30 +36,56 @@ def changes(before: dict[str, list[int]], now: dict[str, list[int]]) -> list[tup
 
 
 class FolderReader(SimpleDataSourceStreamReader):
+    """An offset is a number; the listing it stands for and the events up to it are files of the folder ``state``, two of each at a time. To restart a query from a
+    checkpoint, name that folder in the option ``state``."""
+
     def __init__(self, options: dict[str, str]):
         self.root, self.recursive = options["path"], options.get("recursive", "true").lower() == "true"
         self.existing = options.get("existing", "false").lower() == "true"
+        self.state = options.get("state") or tempfile.mkdtemp(prefix="lodestone-events-")
+        os.makedirs(self.state, exist_ok=True)
+        self._now: tuple[int, dict[str, list[int]]] | None = None
+
+    def _file(self, kind: str, n: int) -> str:
+        return os.path.join(self.state, f"{kind}-{n}.json")
+
+    def _keep(self, kind: str, n: int, value) -> None:
+        with open(draft := self._file(kind, n) + ".part", "w") as f:
+            json.dump(value, f)
+        os.replace(draft, self._file(kind, n))
+
+    def _kept(self, kind: str, n: int):
+        if kind == "seen" and self._now and self._now[0] == n:
+            return self._now[1]
+        with open(self._file(kind, n)) as f:
+            return json.load(f)
 
     def initialOffset(self) -> dict:
-        return {"seen": json.dumps({} if self.existing else snapshot(self.root, self.recursive)), "rows": "[]"}
+        self._keep("seen", 0, {} if self.existing else snapshot(self.root, self.recursive))
+        return {"n": 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        now = snapshot(self.root, self.recursive)
+        n, now = start["n"], snapshot(self.root, self.recursive)
         at = datetime.now(UTC).replace(tzinfo=None)
-        rows = [(kind, path, None, False, at.isoformat()) for kind, path in changes(json.loads(start["seen"]), now)]
+        rows = [(kind, path, None, False, at.isoformat()) for kind, path in changes(self._kept("seen", n), now)]
         if not rows:
             return iter(()), start
-        return self._rows(rows), {"seen": json.dumps(now, sort_keys=True), "rows": json.dumps(rows)}
+        self._keep("seen", n + 1, now)
+        self._keep("rows", n + 1, rows)
+        self._now = n + 1, now
+        return self._rows(rows), {"n": n + 1}
 
     @staticmethod
     def _rows(rows: list) -> Iterator[tuple]:
         return iter([(*r[:4], datetime.fromisoformat(r[4])) for r in rows])
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self._rows(json.loads(end["rows"]))
+        return self._rows([r for n in range(start["n"] + 1, end["n"] + 1) for r in self._kept("rows", n)])
 
     def commit(self, end: dict) -> None:
-        pass
+        for kind in ("seen", "rows"):
+            with contextlib.suppress(FileNotFoundError):
+                os.remove(self._file(kind, end["n"] - 2))
 
 
 class FolderEvents(DataSource):

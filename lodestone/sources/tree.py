@@ -86,6 +86,24 @@ def named(spark: SparkSession, files: Sequence[str]) -> DataFrame:
     return spark.read.format("source_tree").option("files", json.dumps(list(files))).load()
 
 
+def stated(files: DataFrame) -> DataFrame:
+    """The same for a table of paths (file_path): each once, sizes asked for where the rows are."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for x in batches:
+            rows = []
+            for path in x["file_path"]:
+                system, own = file_system(path)
+                if (found := system.get_file_info([own])[0]).type == fs.FileType.File:
+                    rows.append((own, found.size))
+            if rows:
+                yield pd.DataFrame(rows, columns=["file_path", "size_bytes"])
+
+    return files.select("file_path").distinct().mapInPandas(run, "file_path string, size_bytes long")
+
+
 def wanted(files: DataFrame, root: str, extensions: Iterable[str] = EXTENSIONS, excludes: Iterable[str] = EXCLUDES) -> DataFrame:
     """Files with a supported suffix that no pattern excludes, with their language."""
     path = F.col("file_path")
@@ -120,7 +138,8 @@ def with_content(files: DataFrame, root: str) -> DataFrame:
             if rows:
                 yield pd.DataFrame(rows, columns=schema.fieldNames())
 
-    return files.mapInPandas(run, schema)
+    # A listing comes by folders, and named files in one piece; what is read is dealt out evenly. A number is told, because the rows say nothing of what they stand for.
+    return files.repartition(2 * files.sparkSession.sparkContext.defaultParallelism, "file_path").mapInPandas(run, schema)
 
 
 def with_source(files: DataFrame, root: str) -> DataFrame:
@@ -138,3 +157,25 @@ def with_package(files: DataFrame, listing_: DataFrame) -> DataFrame:
     # The chain ends at the first folder without an __init__.py on the way up: all folders from there down are packages.
     whole = lambda d: F.size(F.filter("package_dirs", lambda e: e.startswith(d))) == depth - F.size(F.split(d, "/")) + 1
     return own.withColumn("package", paths.infer_package(F.col("file_path"), F.filter("package_dirs", whole))).drop("package_dirs")
+
+
+def with_found_package(files: DataFrame, root: str) -> DataFrame:
+    """The same for few files of a large tree: the folders above each are asked for their ``__init__.py``, and nothing is listed."""
+    names = files.columns
+    schema = files.withColumn("package_dirs", F.lit(None).cast("array<string>")).schema
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, known = file_system(root)[0], {}
+
+        def packages(folder: str) -> list[str]:
+            if folder not in known:
+                is_one = "/" in folder and system.get_file_info([f"{folder}/__init__.py"])[0].type == fs.FileType.File
+                known[folder] = [*packages(folder.rpartition("/")[0]), folder] if is_one else []
+            return known[folder]
+
+        for x in batches:
+            yield x[names].assign(package_dirs=[packages(p.rpartition("/")[0]) for p in x["file_path"]])
+
+    return files.mapInPandas(run, schema).withColumn("package", paths.infer_package(F.col("file_path"), F.col("package_dirs"))).drop("package_dirs")

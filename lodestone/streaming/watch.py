@@ -7,9 +7,12 @@ from dataclasses import dataclass
 from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import Config
+from ..operators import index
+from ..sources import tree
 from ..sources.events import FolderEvents
 from . import debounce
 
@@ -35,8 +38,8 @@ class Watchers:
 
     def start(self, directory: str, workspace_id: str, recursive: bool = True, interval: str = "1 second") -> str:
         events = self.spark.readStream.format("folder_events").option("path", directory).option("recursive", str(recursive).lower()).load()
-        index = self.config.index
-        wanted = debounce.passing(events, index.supported_extensions, index.exclude_patterns, directory)
+        own = self.config.index
+        wanted = debounce.passing(events, own.supported_extensions, own.exclude_patterns, directory)
         stream = debounce.debounce_stream(wanted, self.config.watcher.debounce_ms)
         query = stream.writeStream.foreachBatch(lambda batch, _: self.apply(batch, workspace_id, directory)).trigger(processingTime=interval).start()
         watcher = Watcher(str(uuid.uuid4()), directory, workspace_id, recursive, query)
@@ -45,15 +48,15 @@ class Watchers:
 
     def apply(self, batch: DataFrame, workspace_id: str, root: str) -> None:
         """Deleted files leave the index, if deletions are followed; the others are indexed unless their hash is known. The last event of a file counts."""
-        last: dict[str, str] = {}
-        for row in sorted(batch.collect(), key=lambda r: r.ts):  # files that changed since the last batch
-            last[row.file_path] = row.event_type
-        gone = [p for p, kind in last.items() if kind == "deleted"]
-        fresh = [p for p, kind in last.items() if kind != "deleted"]
-        if gone and self.config.watcher.sync_deletions:
-            self.store.delete_files(workspace_id, gone)
-        if fresh:
-            self.store.index_files(fresh, workspace_id, root)
+        last = index.last_wins(batch, ["file_path"], [F.col("ts"), F.col("event_type")]).persist()
+        try:
+            gone, fresh = last.filter("event_type = 'deleted'"), last.filter("event_type <> 'deleted'")
+            if self.config.watcher.sync_deletions and not gone.isEmpty():
+                self.store.delete_files(workspace_id, gone)
+            if not fresh.isEmpty():
+                self.store.index_listing(tree.stated(fresh), workspace_id, root)
+        finally:
+            last.unpersist()
 
     def stop(self, watcher_id: str) -> bool:
         watcher = self.running.pop(watcher_id, None)

@@ -54,7 +54,7 @@ def test_tools(tools, project):
     path = str((project / "pkg" / "a.py").resolve())
     f = json.loads(tools.get_function_details("add", ws, "json"))
     assert f["kind"] == "method" and f["namespace"] == "pkg.a.Calc" and f["location"]["start_line"] == 4
-    assert "Function: helper" in tools.get_function_details("helper", ws)
+    assert "helper, function" in tools.get_function_details("helper", ws)
     t = json.loads(tools.find_type_definition("Calc", ws, "json"))
     assert [m["name"] for m in t["methods"]] == ["add"] and t["full_name"] == "pkg.a.Calc"
     with pytest.raises(ValueError):
@@ -71,21 +71,22 @@ def test_tools(tools, project):
     assert "a.py (3 symbols)" in tree and "pkg/" in tree
     m = json.loads(tools.project_map(ws, "detailed", "json"))
     assert m["summary"]["total_files"] == 3 and m["summary"]["stats_by_language"]["python"] == {"files": 1, "functions": 1, "classes": 1, "methods": 1}
-    assert "File Tree:" in tools.project_map(ws, "tree")
+    assert "a.py (3 symbols)" in tools.project_map(ws, "tree") and "python: 1 files" in tools.project_map(ws) and "pkg/a.py: python" in tools.project_map(ws, "detailed")
     g = json.loads(tools.dependency_graph(ws, path, output_format="json"))
     assert g["edges"] == [[path, "os"]] and g["entry_point_graph"]["depths"] == {path: 0, "os": 1}
     assert "Symbols:" in tools.dependency_graph(ws) and tools.detect_cycles(ws) == []
     hits = json.loads(tools.search_code("helper", workspace_id=ws, format="json"))
     assert hits[0]["symbol_name"] == "helper" and hits[0]["hybrid_score"] == pytest.approx(0.6 * hits[0]["vector_score"] + 0.4 * hits[0]["bm25_score"])
-    assert tools.search_code("zzz", workspace_id="none").startswith("No results")
+    assert tools.search_code("zzz", workspace_id="none").startswith("Nothing") and "helper" in tools.search_code("helper", workspace_id=ws)
     assert tools.diagnose()["tables"]["status"] == "ok" and tools.get_model_status()["status"] == "error"
     assert json.loads(tools.reindex_file(path, ws, "json"))["chunks_created"] == 3
-    assert "Deleted" in tools.delete_project(ws)
+    assert "Total symbols" in tools.project_stats(ws) and "No public exports" in tools.list_package_exports("none", ws) and "Calc" in tools.find_type_definition("Calc", ws)
+    assert "deleted" in tools.delete_project(ws)
     with pytest.raises(ValueError):
         tools.delete_project(ws)
     with pytest.raises(ValueError):
         tools.index_project("/no/such/folder")
-    assert "Cleared" in tools.clear_index()
+    assert "emptied" in tools.clear_index()
 
 
 def test_failing_files_and_model_tags(spark, tmp_path, project):
