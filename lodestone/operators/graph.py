@@ -18,7 +18,13 @@ def cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         told = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(told or f"file://{os.environ.setdefault('LODESTONE_SCRATCH', tempfile.mkdtemp(prefix='lodestone-'))}")
+        if not told:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+            if "LODESTONE_SCRATCH" not in os.environ:
+                os.environ["LODESTONE_SCRATCH"] = tempfile.mkdtemp(prefix="lodestone-")
+            told = f"file://{os.environ['LODESTONE_SCRATCH']}"
+        context.setCheckpointDir(told)
     return df.checkpoint()
 
 

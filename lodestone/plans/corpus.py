@@ -61,14 +61,15 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct links between part and supplier numbers of a workspace of line items."""
     li = read(spark, sf_dir, "lineitem")
-    return li.select(F.concat(F.lit("w"), (F.col("l_linenumber") % 3).cast("string")).alias("workspace_id"), F.concat(F.lit("n"), (F.col("l_partkey") % 300).cast("string")).alias("source_symbol"), F.concat(F.lit("n"), (F.col("l_suppkey") % 100).cast("string")).alias("target_symbol")).distinct()
+    return li.select(F.concat(F.lit("w"), (F.col("l_linenumber") % 3).cast("string")).alias("workspace_id"), F.concat(F.lit("n"), F.col("l_partkey").cast("string")).alias("source_symbol"), F.concat(F.lit("n"), F.col("l_suppkey").cast("string")).alias("target_symbol")).distinct()
 
 
 def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A graph with few cycles: a supplier's number leads to its nation's and its double."""
+    """A graph with few cycles, which grow with the table: a supplier's number leads to its nation's and to its double, by the number of suppliers."""
     s = read(spark, sf_dir, "supplier")
-    pairs = F.array(F.struct(F.concat(F.lit("n"), "k").alias("a"), F.concat(F.lit("n"), (F.col("s_suppkey") * 2 % 40).cast("string")).alias("b")), F.struct(F.concat(F.lit("n"), "k").alias("a"), F.concat(F.lit("c"), F.col("s_nationkey").cast("string")).alias("b")))
-    return s.withColumn("k", (F.col("s_suppkey") % 40).cast("string")).select(F.lit("w").alias("workspace_id"), F.explode(pairs).alias("p")).select("workspace_id", F.col("p.a").alias("source_symbol"), F.col("p.b").alias("target_symbol")).distinct()
+    k, double = F.col("s_suppkey"), F.col("s_suppkey") * 2 % s.agg(F.count(F.lit(1))).scalar()
+    ends = F.array(F.concat(F.lit("n"), double.cast("string")), F.concat(F.lit("c"), F.col("s_nationkey").cast("string")))
+    return s.select(F.lit("w").alias("workspace_id"), F.concat(F.lit("n"), k.cast("string")).alias("source_symbol"), F.explode(ends).alias("target_symbol")).distinct()
 
 
 def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,8 +101,8 @@ keyed AS (SELECT doc_id, workspace_id, file_path, len(lines) AS n, unnest(range(
 chunks AS (SELECT doc_id, workspace_id, file_path, CASE WHEN k = 0 THEN 'class' WHEN k % 3 = 1 THEN 'method' WHEN k % 3 = 2 THEN 'function' ELSE 'config' END AS type,
   CASE WHEN k = 0 THEN 'C' || doc_id ELSE CASE WHEN k % 5 = 0 THEN '_' ELSE '' END || lower(regexp_extract(lines[k], '^[^ ]*')) END AS name,
   'p' || (doc_id % 7) AS package, greatest(k, 1) AS start_line, CASE WHEN k = 0 THEN n ELSE least(k + 2, n) END AS end_line FROM keyed)""",
-    "edges": """edges AS (SELECT DISTINCT 'w' || (l_linenumber % 3) AS workspace_id, 'n' || (l_partkey % 300) AS source_symbol, 'n' || (l_suppkey % 100) AS target_symbol FROM lineitem)""",
-    "sparse": """sparse AS (SELECT DISTINCT 'w' AS workspace_id, 'n' || (s_suppkey % 40) AS source_symbol, unnest(['n' || (s_suppkey * 2 % 40), 'c' || s_nationkey]) AS target_symbol FROM supplier)""",
+    "edges": """edges AS (SELECT DISTINCT 'w' || (l_linenumber % 3) AS workspace_id, 'n' || l_partkey AS source_symbol, 'n' || l_suppkey AS target_symbol FROM lineitem)""",
+    "sparse": """sparse AS (SELECT DISTINCT 'w' AS workspace_id, 'n' || s_suppkey AS source_symbol, unnest(['n' || (s_suppkey * 2 % (SELECT count(*) FROM supplier)), 'c' || s_nationkey]) AS target_symbol FROM supplier)""",
     "scans": """scans AS (SELECT 'ws' || o_custkey AS workspace_id, o_orderkey AS files_scanned, round(o_totalprice)::BIGINT AS chunks_created, o_orderdate AS ts, o_orderkey AS seq FROM orders)""",
     "changes": """changes AS (SELECT CASE event_type WHEN 'error' THEN 'deleted' WHEN 'signup' THEN 'created' WHEN 'purchase' THEN 'moved' ELSE 'modified' END AS event_type,
   '/r/' || CASE WHEN user_id % 5 = 4 THEN 'node_modules' ELSE 'src' END || '/u' || user_id || CASE WHEN user_id % 4 = 3 THEN '.bin' ELSE '.py' END AS file_path,

@@ -136,19 +136,38 @@ def chunk_whole_file(spark, d):
     return out.select("doc_id", "type", "name", "start_line", "end_line", F.sha2("code", 256).alias("code_hash"))
 
 
-@query("chunk_symbols")
+#: What the chunkers find in the generated sources: languages, type, name, package, first and last line, signature; {n} is the document's id.
+GOLDEN = (
+    ("python", "class", "C{n}", "pkg", 1, 3, "class C{n}"), ("python", "method", "m", "pkg.C{n}", 2, 3, "def m(self, x: int) -> int"), ("python", "function", "f{n}", "pkg", 5, 6, "async def f{n}(a, b=1)"),
+    ("javascript", "class", "C{n}", "pkg", 1, 3, "class C{n} extends B"), ("javascript", "function", "f{n}", "pkg", 4, 6, "async function f{n}(a)"),
+    ("typescript", "class", "C{n}", "pkg", 1, 3, "class C{n} extends B"), ("typescript", "function", "f{n}", "pkg", 4, 6, "async function f{n}(a)"),
+    ("go", "method", "M{n}", "p", 3, 5, "func (s *S) M{n}(a int) error"), ("go", "class", "S", "p", 7, 9, "type S struct"),
+    ("csharp", "class", "C{n}", "N.M", 3, 10, "class C{n}"), ("csharp", "method", "F", "N.M", 5, 9, "Task<int> F(int a)"),
+)
+
+
+@query(
+    "chunk_symbols",
+    f"""{with_sql('files')}, f AS (SELECT doc_id, file_path, {LANGUAGE} AS language FROM files),
+g AS (SELECT * FROM (VALUES {', '.join(f"('{k}', '{t}', '{n}', '{p}', {i}, {j}, '{s}')" for k, t, n, p, i, j, s in GOLDEN)}) AS t(language, type, name, package, start_line, end_line, signature))
+SELECT file_path, language, type, {', '.join(f"replace({c}, '{{n}}', doc_id::VARCHAR) AS {c}" for c in ('name', 'package', 'signature'))}, start_line, end_line FROM f JOIN g USING (language)""",
+)
 def chunk_symbols(spark, d):
-    """Symbols of generated sources in every code language, through the chunker. No SQL form: Python sources are parsed."""
+    """Symbols of sources in every code language, through the chunkers: known code, and the document's whole text in a comment behind it."""
     from ..operators import chunks as chunking
 
-    f = corpus.files(spark, d).withColumn("language", paths.language_of(F.col("file_path")))
-    n = F.col("doc_id").cast("string")
-    body = F.when(F.col("language") == "python", F.concat(F.lit("class C"), n, F.lit(":\n    def m(self, x: int) -> int:\n        return x\n\nasync def f"), n, F.lit("(a, b=1):\n    return a\n")))
-    body = body.when(F.col("language").isin("javascript", "typescript"), F.concat(F.lit("export class C"), n, F.lit(" extends B {\n  m() { return '}'; }\n}\nexport async function f"), n, F.lit("(a) {\n  return a;\n}\n")))
-    body = body.when(F.col("language") == "go", F.concat(F.lit("package p\n\nfunc (s *S) M"), n, F.lit("(a int) error {\n\treturn nil\n}\n\ntype S struct {\n\tA int\n}\n")))
-    body = body.when(F.col("language") == "csharp", F.concat(F.lit("namespace N.M\n{\n  public class C"), n, F.lit("\n  {\n    public static async Task<int> F(int a)\n    {\n      await G(a);\n      return a;\n    }\n  }\n}\n")))
-    files = f.withColumns({"source": F.coalesce(body, F.col("source")), "package": F.lit("pkg")})
-    return chunking.chunk_files(files).select("file_path", "language", "type", "name", "package", "start_line", "end_line", "signature")
+    f = corpus.files(spark, d).withColumn("language", paths.language_of(F.col("file_path"))).filter(F.col("language").isin(*{g[0] for g in GOLDEN}))
+    n, said = F.col("doc_id").cast("string"), F.regexp_replace("source", r"[^\P{Cntrl}\n]|\*/|\u2028|\u2029|\u0085", " ")
+    code = {
+        "python": "class C{n}:\n    def m(self, x: int) -> int:\n        return x\n\nasync def f{n}(a, b=1):\n    return a\n", "javascript": "export class C{n} extends B {\n  m() { return '}'; }\n}\nexport async function f{n}(a) {\n  return a;\n}\n",
+        "go": "package p\n\nfunc (s *S) M{n}(a int) error {\n\treturn nil\n}\n\ntype S struct {\n\tA int\n}\n", "csharp": "namespace N.M\n{\n  public class C{n}\n  {\n    public static async Task<int> F(int a)\n    {\n      await G(a);\n      return a;\n    }\n  }\n}\n",
+    }
+    code["typescript"] = code["javascript"]
+    body = F.lit("")
+    for language, text_ in code.items():
+        comment = F.concat(F.lit("# "), F.replace(said, F.lit("\n"), F.lit("\n# "))) if language == "python" else F.concat(F.lit("/* "), said, F.lit(" */"))
+        body = F.when(F.col("language") == language, F.concat(F.replace(F.lit(text_), F.lit("{n}"), n), F.lit("\n"), comment, F.lit("\n"))).otherwise(body)
+    return chunking.chunk_files(f.withColumns({"source": body, "package": F.lit("pkg")})).select("file_path", "language", "type", "name", "package", "start_line", "end_line", "signature")
 
 
 @query("chunk_embed_text", "SELECT doc_id, substr(concat_ws(chr(10), 'sig' || doc_id, nullif(lang, 'en'), nullif(coalesce(text, ''), '')), 1, 8000) AS embed_text FROM documents")
@@ -182,6 +201,8 @@ def imports_patterns(spark, d):
         .when(k == 2, F.concat(F.lit("using System.T"), n, F.lit(";\nusing System.T"), n, F.lit(";")))
         .otherwise(F.concat(F.lit('from "k'), n, F.lit('"')))
     )
+    # The whole text stands behind, as a comment.
+    source = F.concat(source, F.lit("\n/* "), F.regexp_replace(F.coalesce("text", F.lit("")), "[\"';]", " "), F.lit(" */\n"))
     language = F.when(k == 0, "javascript").when(k == 1, "go").when(k == 2, "csharp").otherwise("rust")
     return corpus.read(spark, d, "documents").select("doc_id", F.array_join(imports.pattern_imports(source, language), ",").alias("imports"))
 
@@ -189,7 +210,7 @@ def imports_patterns(spark, d):
 @query("imports_python", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'os.path,pkg' || doc_id || ',re' END AS imports FROM documents")
 def imports_python(spark, d):
     n = F.col("doc_id").cast("string")
-    source = F.when(F.col("doc_id") % 5 == 0, "def broken(:").otherwise(F.concat(F.lit("import os.path\nfrom pkg"), n, F.lit(" import x\nfrom . import y\ndef f():\n    import re\n")))
+    source = F.when(F.col("doc_id") % 5 == 0, "def broken(:").otherwise(F.concat(F.lit("import os.path\nfrom pkg"), n, F.lit(" import x\nfrom . import y\ndef f():\n    import re\n"), F.lit("# "), F.replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\P{Cntrl}\n]", " "), F.lit("\n"), F.lit("\n# "))))
     return corpus.read(spark, d, "documents").select("doc_id", F.array_join(imports.python_imports(source), ",").alias("imports"))
 
 
@@ -325,6 +346,24 @@ def symbols_function_details(spark, d):
     return symbols.function_details(c, c.select("workspace_id", "name")).select("workspace_id", "name", "file_path", "start_line", "end_line")
 
 
+ASKED = ("the", "der", "la", "de", "license")
+
+
+@query(
+    "symbols_first_function",
+    f"""{CHUNKS}, r AS (SELECT name, file_path, start_line, end_line, type, row_number() OVER (PARTITION BY name ORDER BY file_path, start_line, end_line) AS k FROM chunks
+WHERE type IN ('function', 'method') AND workspace_id = substr(sha256('/work/src1'), 1, 12) AND name IN ({quoted(ASKED)}))
+SELECT name, file_path, start_line, end_line FROM r WHERE k = 1""",
+)
+def symbols_first_function(spark, d):
+    """The lookup of ``get_function_details``, of a few names."""
+    c, ws = corpus.chunks(spark, d), workspaces.id_of("/work/src1")
+    out = symbols.first_function(c, ws, ASKED[0])
+    for name in ASKED[1:]:
+        out = out.unionByName(symbols.first_function(c, ws, name))
+    return out.select("name", "file_path", "start_line", "end_line")
+
+
 @query(
     "symbols_type_methods",
     f"""{CHUNKS} SELECT t.file_path, t.start_line, t.package || '.' || t.name AS full_name, count(m.name) AS methods, coalesce(sum(m.start_line), 0) AS line_sum
@@ -353,9 +392,9 @@ def symbols_exports(spark, d):
     return symbols.package_exports(corpus.chunks(spark, d), workspaces.id_of("/work/src2"), "/src2/")
 
 
-@query("symbols_dependencies", f"{with_sql('edges')} SELECT source_symbol, target_symbol FROM edges WHERE workspace_id = 'w1' AND (source_symbol = 'n5' OR target_symbol = 'n5')")
+@query("symbols_dependencies", f"{with_sql('edges')} SELECT source_symbol, target_symbol FROM edges WHERE workspace_id = 'w1' AND (source_symbol = 'n15' OR target_symbol = 'n15')")
 def symbols_dependencies(spark, d):
-    return symbols.dependencies(corpus.edges(spark, d), "w1", "n5").select("source_symbol", "target_symbol")
+    return symbols.dependencies(corpus.edges(spark, d), "w1", "n15").select("source_symbol", "target_symbol")
 
 
 NAMED = "named AS (SELECT DISTINCT 'w' || (s_suppkey % 3) AS workspace_id, 'n' || (s_suppkey % 150) AS name, '/f' || s_nationkey AS file_path FROM supplier)"
@@ -392,7 +431,7 @@ def graph_nodes(spark, d):
 
 # Search
 
-PHRASES = {"license": "license", "phrase": "of the", "path": "auth middleware", "rare": "Apache License", "none": "no such words here"}
+PHRASES = {"license": "license", "phrase": "of the", "path": "auth middleware", "rare": "Apache License", "none": "no such words here", "folder": "api"}
 FOLD = f"translate(lower(%s), '{text.FOLD_FROM}', '{text.FOLD_TO}')"
 TOKENS = f"regexp_extract_all({FOLD}, '[\\p{{L}}\\p{{N}}]+')"
 FIELDS_SQL = ["workspace_id", "file_path", "'sym_' || (doc_id % 50)", "source", "string_split(source, chr(10))[1]"]
@@ -487,10 +526,51 @@ def search_fusion(spark, d):
     return search.fused(words, near, 1 << 30, exclude_tests=True).select("query_id", "file_path", "symbol_name", F.round("hybrid_score", 6).alias("hybrid_score"))
 
 
-@query("search_tag_filter", f"{with_sql('files')}, t AS (SELECT doc_id, file_path, {TAG_SQL['type:doc']} AS a, {TAG_SQL['layer:api']} AS b FROM files) SELECT doc_id, a IS NOT NULL AND b IS NOT NULL AS all_tags FROM t WHERE a IS NOT NULL OR b IS NOT NULL")
-def search_tag_filter(spark, d):
-    docs, want = corpus.docs(spark, d), F.array(F.lit("type:doc"), F.lit("layer:api"))
-    return docs.filter(F.arrays_overlap("tags", want)).select(F.col("id").alias("doc_id"), (F.size(F.array_except(want, "tags")) == 0).alias("all_tags"))
+@query(
+    "search_filters",
+    f"""{with_sql('files')}, t AS (SELECT doc_id, file_path, 'sym_' || (doc_id % 50) AS symbol_name, {TAG_SQL['type:doc']} AS a, {TAG_SQL['layer:api']} AS b FROM files)
+SELECT 'any' AS kind, file_path, symbol_name FROM t WHERE a IS NOT NULL OR b IS NOT NULL UNION SELECT 'all', file_path, symbol_name FROM t WHERE a IS NOT NULL AND b IS NOT NULL
+UNION SELECT 'path', file_path, symbol_name FROM t WHERE contains(file_path, '/models/') UNION SELECT 'tests', file_path, symbol_name FROM t WHERE NOT contains(lower(file_path), 'test') AND b IS NOT NULL""",
+)
+def search_filters(spark, d):
+    """The filters of fused results: tags, any and all of them, a part of the path, and no tests."""
+    near = corpus.docs(spark, d).select(F.lit("q").alias("query_id"), "file_path", "symbol_name", F.lit(0.5).alias("vector_score"), F.col("id").alias("place"), "code", "tags")
+    words = near.limit(0).select("query_id", "file_path", "symbol_name", F.lit(0.5).alias("bm25_score"), "place", "code", F.col("code").alias("docstring"))
+    want = ["type:doc", "layer:api"]
+    asked = {"any": {"tags": want}, "all": {"tags": want, "tags_mode": "all"}, "path": {"file_filter": "/models/"}, "tests": {"exclude_tests": True, "tags": want[1:]}}
+    parts = [search.fused(words, near, 1 << 30, **how).select(F.lit(kind).alias("kind"), "file_path", "symbol_name") for kind, how in asked.items()]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+ONE_BY_ONE = {"low": [0.05] * 64, "alternate": [0.1, -0.1] * 32, "one": [1.0] + [0.0] * 63}
+
+
+@query(
+    "search_nearest_few",
+    f"""WITH q AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {v}::DOUBLE[])" for k, v in ONE_BY_ONE.items())}) AS t(query_id, e)),
+x AS (SELECT query_id, vec_id AS id, label, round(list_sum(list_transform(range(1, 65), lambda i: (embedding[i]::DOUBLE - e[i]) * (embedding[i]::DOUBLE - e[i]))), 6) AS dist FROM embeddings, q WHERE len(embedding) = 64),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS place FROM x) SELECT query_id, id, label, dist FROM r WHERE place <= 25""",
+)
+def search_nearest_few(spark, d):
+    """The vector search of ``search_code``: a few queries against all vectors."""
+    v = corpus.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
+    return search.nearest(v, ONE_BY_ONE, 25).select("query_id", "id", "label", F.round("distance", 6).alias("dist"))
+
+
+@query(
+    "search_bm25_filtered",
+    f"""{BM25_SQL}, l AS (SELECT *, CASE WHEN file_path ILIKE '%.py' THEN 'python' WHEN file_path ILIKE '%.go' THEN 'go' ELSE 'javascript' END AS language FROM r WHERE query_id = 'folder' AND (file_path ILIKE '%.py' OR file_path ILIKE '%.go' OR (file_path ILIKE '%.js' AND workspace_id = substr(sha256('/work/src1'), 1, 12)))),
+s AS (SELECT *, row_number() OVER (PARTITION BY language ORDER BY round(rank, 9), file_path, symbol_name, id) AS place FROM l), k AS (SELECT * FROM s WHERE place <= 5)
+SELECT language, id, place, round(1 - (rank - min(rank) OVER v) / CASE WHEN max(rank) OVER v = min(rank) OVER v THEN 1.0 ELSE max(rank) OVER v - min(rank) OVER v END, 5) AS bm25_score FROM k WINDOW v AS (PARTITION BY language)""",
+)
+def search_bm25_filtered(spark, d):
+    """The phrase search of ``search_code``: one phrase, languages and a workspace; counts are over all documents."""
+    docs = searched(spark, d)
+    one = lambda language, ws=None: search.bm25_search(docs, {"folder": PHRASES["folder"]}, ws, language, 5).select(F.lit(language).alias("language"), "id", "place", F.round("bm25_score", 5).alias("bm25_score"))
+    return one("python").unionByName(one("go")).unionByName(one("javascript", workspaces.id_of("/work/src1")))
 
 
 @query("search_path_glob", f"{with_sql('files')} SELECT doc_id FROM files WHERE regexp_matches(file_path, '^/work/.*/user_.*[0-4]\\.[!a-z]?.*$') AND regexp_matches(file_path, '^/work/.*/user_.*[0-4]\\..*$')")
@@ -598,7 +678,7 @@ def graph_breadth_first(spark, d):
 @query(
     "graph_cycles",
     """WITH RECURSIVE """ + with_sql("sparse")[5:] + """, p AS (SELECT [source_symbol] AS path, target_symbol AS tip FROM sparse WHERE target_symbol >= source_symbol
-UNION ALL SELECT list_append(p.path, p.tip), s.target_symbol FROM p JOIN sparse s ON s.source_symbol = p.tip WHERE p.tip <> p.path[1] AND len(p.path) < 8 AND s.target_symbol >= p.path[1] AND (s.target_symbol = p.path[1] OR NOT list_contains(list_append(p.path, p.tip), s.target_symbol)))
+UNION ALL SELECT list_append(p.path, p.tip), s.target_symbol FROM p JOIN sparse s ON s.source_symbol = p.tip WHERE p.tip <> p.path[1] AND s.target_symbol >= p.path[1] AND (s.target_symbol = p.path[1] OR NOT list_contains(list_append(p.path, p.tip), s.target_symbol)))
 SELECT 'w' AS workspace_id, array_to_string(list_append(path, tip), '>') AS cycle FROM p WHERE tip = path[1]""",
 )
 def graph_cycles(spark, d):
