@@ -19,12 +19,13 @@ _settled: list[Settled] = []
 
 
 def stage(f):
-    """A stage that clears up after the one before."""
+    """A stage that clears up after the one before. Stages may be called one by one, so each bounds its Arrow batches."""
 
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         while _settled:
             _settled.pop().close()
+        small_batches(spark)
         token = SCOPE.set(_settled)
         try:
             return f(spark, docs, sf_dir)
@@ -83,7 +84,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    small_batches(spark)
     done = Settled(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, function) in enumerate(STAGES):
