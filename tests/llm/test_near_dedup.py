@@ -116,3 +116,35 @@ def test_one_row_of_each_class_stays(odd):
 def test_query(spark, sf_dir, table):
     rows = [(r.doc_id, r.text) for r in table("documents").collect()]
     check(nd.op2(spark, sf_dir), rows)
+
+
+def test_recall_against_all_pairs(spark):
+    """Every pair of the 10,000 documents of sf0.1 with an overlap of 0.8 or more, found by prefixes of their rarest shingles, is linked."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()]
+    bags = {}
+    for _, t in docs:
+        bags.setdefault(" ".join((t or "").lower().split()), bag(t))
+    rare = Counter(s for b in bags.values() for s in b)
+    # Repetitions of a shingle are items of their own; two multisets at 0.8 share one of the first n - 0.8 n + 1 in the order of rarity.
+    pairs, lists, names = set(), defaultdict(list), list(bags)
+    for i, name in enumerate(names):
+        items = sorted(((rare[s], s, k) for s, n in bags[name].items() for k in range(n)))
+        for item in items[: len(items) - int(np.ceil(0.8 * len(items))) + 1]:
+            pairs.update((j, i) for j in lists[item[1:]] if 0.8 * len(items) <= sum(bags[names[j]].values()) <= len(items) / 0.8)
+            lists[item[1:]].append(i)
+    near = [(a, b) for a, b in pairs if sum((bags[names[a]] & bags[names[b]]).values()) >= 0.8 * sum((bags[names[a]] | bags[names[b]]).values())]
+    of = {r.doc_id: r.class_id for r in nd.near_classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(8)).collect()}
+    first = {}
+    for i, t in docs:
+        first.setdefault(" ".join((t or "").lower().split()), i)
+    assert len(near) > 40 and all(of[first[names[a]]] == of[first[names[b]]] for a, b in near)
+    parent = list(range(len(names)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a, b in near:
+        parent[root(a)] = root(b)
+    assert len({root(k) for k in range(len(names))}) == len(set(of.values()))

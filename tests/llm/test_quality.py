@@ -67,3 +67,37 @@ def test_statistics_of_any_text():
     for t in ("", " ", "a", "\n\n", "|||", "é" * 9, "a b" * 50_000, "\ud800"):
         s = quality.statistics(t)
         assert s.shape == (quality.STATS,) and np.isfinite(s).all()
+
+
+def rising_by_formula(total, ones):
+    """The nearest rising curve to the means: at each cell the largest, over starts, of the smallest, over ends, of the means between."""
+    n = len(total)
+    mean = lambda a, b: ones[a : b + 1].sum() / total[a : b + 1].sum()
+    return np.array([max(min(mean(a, b) for b in range(k, n)) for a in range(k + 1)) for k in range(n)])
+
+
+def test_model_by_hand(spark, sf_dir):
+    """Statistics, standardising, features, ridge and calibration of one partition's rows in a few lines of numpy."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    known = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    model = quality.train(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rows = [(quality.statistics(t or ""), known[i]) for i, t in docs if i in known and zlib.crc32(str(i).encode()) % 5]
+    x, y = np.array([s for s, _ in rows]), np.array([q for _, q in rows], float)
+    scale = np.where(x.std(0) > 1e-9, x.std(0), 1)
+    d, phase = quality.fourier(quality.FEATURES, quality.SEED)
+    z = np.c_[np.sqrt(2 / quality.FEATURES) * np.cos(np.clip((x - x.mean(0)) / scale, -8, 8) @ d + phase), np.ones(len(x))]
+    ridge = np.diag(np.r_[np.full(quality.FEATURES, quality.RIDGE * len(x) / quality.FEATURES), 0]) + 1e-9 * np.eye(quality.FEATURES + 1)
+    w = np.linalg.solve(z.T @ z + ridge, z.T @ y)
+    assert np.allclose(z @ w, model.raw(x), atol=1e-6)
+    cell = np.clip(((z @ w + 0.5) / 2 * quality.CELLS).astype(int), 0, quality.CELLS - 1)
+    total, ones = np.bincount(cell, minlength=quality.CELLS), np.bincount(cell, weights=y, minlength=quality.CELLS)
+    used = np.flatnonzero(total)
+    curve = rising_by_formula(total[used], ones[used])
+    centres, heights = quality.rising(total, ones, np.arange(quality.CELLS))
+    assert np.allclose(np.unique(curve), np.unique(heights)) and np.all(np.diff(heights) > 0)
+    assert np.allclose(model.heights, heights) and len(centres) == len(model.centres)
+
+
+def test_sums_in_a_tree(spark):
+    parts = spark.range(0, 700, 1, 300).selectExpr("array(CAST(id AS DOUBLE), 1D) AS v")
+    assert quality.added_up(parts, 300).tolist() == [sum(range(700)), 700] and quality.added_up(parts.limit(0), 300) is None
