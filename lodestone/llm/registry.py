@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, media, mixing, near_dedup, pieces, quality, secrets, token_counts, transcripts
+from . import exact_dedup, html_text, media, merkle, mixing, near_dedup, pieces, quality, secrets, token_counts, transcripts
 
 QUERIES = {
     "op1_secrets": secrets.op1,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_token_counts": token_counts.op8,
     "op9_transcripts": transcripts.op9,
     "op10_html_text": html_text.op10,
+    "op11_merkle": merkle.op11,
 }
 
 SQL = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op7_mixing": mixing.OP7_SQL,
+    "op11_merkle": merkle.OP11_SQL,
 }
