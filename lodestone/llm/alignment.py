@@ -8,8 +8,9 @@ in which each A token begins, and where both begin a group does; a window sum nu
 inside groups gives the links, which are counted by document and id pair. The pairs' counts are summed up portion by portion, then merged in Spark, and every document gets back the
 counts of its own pairs: the most frequent ``HEAD`` pairs are handed to the tasks (a table of this size at most), all others by a join.
 
-A text is cut before a single space between visible ASCII characters: A begins a new word there by its pattern, and no piece of B may hold a space after another character (else, and this
-is looked up in the model, texts stay whole). So both encode what lies between cuts alike wherever it stands, and each distinct stretch of a portion is encoded and aligned once.
+A text is cut at single spaces between other characters than white space: A begins a new word there by its pattern, and no piece of B may hold a space after another character (else,
+and this is looked up in the model, texts stay whole). So both encode what lies between cuts alike wherever it stands, and each distinct stretch is encoded and aligned once in a
+task, as long as the task remembers it (``KEEP`` stretches).
 
 Defined cases: texts that are null or empty, or whose tokens' bytes are not those of the text (B normalises, or U+2581 is in the text), have no tokens and no groups; strings of special
 tokens are plain text; repeated rows count as often as they occur; other columns pass through, and input columns named like an output column, in any letters, are replaced;
@@ -20,9 +21,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +37,15 @@ from pyspark.sql import types as T
 from .common import Settled, Taken, small_batches, text_of
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Characters of text that a task works on at a time; a longer text is worked on alone.
-PORTION = 8_000_000
+#: Characters of text that a task works on at a time (a longer text is worked on alone), and stretches that it remembers from one time to the next.
+PORTION, KEEP = 2_000_000, 800_000
 #: Pairs that are handed to every task: 2 MB.
 HEAD = 1 << 17
 #: Characters that are encoded in one call.
-CALL = 200_000
-CUT = re.compile(r"(?<=[!-~]) (?=[!-~])")
+CALL = 4_000
+CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Other white space beside a space.
+BESIDE = re.compile(r"[^\S ] | [^\S ]")
 OUT = {"n_a": "long", "n_b": "long", "n_groups": "long", "n_links": "long", "n_best": "long", "count_sum": "long", "groups_sha256": "string"}
 FOUND = {"n_a": "long", "n_b": "long", "n_groups": "long", "n_links": "long", "groups_sha256": "string"}
 #: A pair is one number, the A id times this and the B id.
@@ -59,26 +64,37 @@ class Both:
 
     def __init__(self, a_path: str, b_path: str, ranks: str | None, pattern: str | None):
         import sentencepiece
-        import tokenizers
 
-        a = tokenizers.Tokenizer.from_file(a_path)
-        a.encode_special_tokens = True
-        of, size = bytes_of_characters(), a.get_vocab_size()
-        self.a_bytes = [bytes(of[c] for c in t) if all(c in of for c in t) else t.encode() for t in (a.id_to_token(k) or "" for k in range(size))]
+        with open(a_path, encoding="utf-8") as f:
+            told = json.load(f)
+        vocabulary = told["model"]["vocab"] | {x["content"]: x["id"] for x in told.get("added_tokens", ())}
+        of = bytes_of_characters()
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for t, k in vocabulary.items():
+            self.a_bytes[k] = bytes(of[c] for c in t) if all(c in of for c in t) else t.encode()
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.a_length, self.b_length = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
-        self.encode_a = lambda texts: [x.ids for x in a.encode_batch_fast(texts, add_special_tokens=False)]
-        if ranks:  # the same vocabulary in a library four times as fast
+        self.a_length, self.b_length = (np.array([len(x) for x in side], np.int32) for side in (self.a_bytes, self.b_bytes))
+        self.encode_a = None
+        if ranks:  # the same vocabulary in a library that is four times as fast
             import tiktoken
 
             with open(ranks, "rb") as f:
                 table = {base64.b64decode(x): int(y) for x, y in map(bytes.split, f)}
             if all(self.a_bytes[k] == x for x, k in table.items()):
-                fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-                self.encode_a = lambda texts: [fast.encode_ordinary(x) for x in texts]
+                self.encode_a = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
+        if not self.encode_a:
+            import tokenizers
+
+            a = tokenizers.Tokenizer.from_file(a_path)
+            a.encode_special_tokens = True
+            self.encode_a = lambda text: a.encode(text, add_special_tokens=False).ids
+        # An id as text, as it stands in groups: first of all, after an id of its side, first of another group or side.
+        written = lambda side, mark: np.array([f"{mark}{k}" for k in range(len(side))], object)
+        self.a_text = {m: written(self.a_bytes, m) for m in ("", ",", ";")}
+        self.b_text = {m: written(self.b_bytes, m) for m in (",", "|")}
 
 
 @cache
@@ -86,56 +102,30 @@ def loaded(*paths) -> Both:
     return Both(*paths)
 
 
-def joined(parts: list[str]) -> Iterator[list[int]]:
-    """Numbers of parts that are encoded in one call, with single spaces between them: those that begin and end with visible ASCII characters; others each alone."""
-    group, size = [], 0
-    for k, p in enumerate(parts):
-        if not (p and "!" <= p[0] <= "~" and "!" <= p[-1] <= "~"):
-            yield [k]
-            continue
-        if group and size + len(p) > CALL:
-            yield group
-            group, size = [], 0
-        group.append(k)
-        size += len(p) + 1
-    if group:
-        yield group
+def stretches(text: str) -> list[str]:
+    """The text cut at single spaces between other characters than white space."""
+    if "  " in text or text[0] == " " or text[-1] == " " or BESIDE.search(text):
+        return CUT.split(text)
+    return text.split(" ")  # all spaces are such
 
 
-def tokens(both: Both, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    """Ids of A and B over the parts in the order given last, and the bytes of each part with the space before it; a part whose bytes the tokens don't give has 0 and no tokens."""
-    calls = list(joined(parts))
-    order = [k for c in calls for k in c]
-    texts = [" ".join(parts[k] for k in c) for c in calls]
-    ids_a, ids_b = both.encode_a([" " + t for t in texts]), both.b.encode(texts, num_threads=1)
-    raw = [b" " + parts[k].encode() for k in order]
-    size = np.array([len(r) for r in raw], np.int64)
-    if b"".join(raw) == b"".join([both.a_bytes[i] for x in ids_a for i in x]) == b"".join([both.b_bytes[i] for x in ids_b for i in x]):
-        flat = [np.fromiter((i for x in ids for i in x), np.int64) for ids in (ids_a, ids_b)]
-        return *flat, size, order
-    # Some part of the portion has other bytes: each by itself.
-    out_a, out_b = [], []
-    for at, k in enumerate(order):
-        a, b = both.encode_a([" " + parts[k]])[0], both.b.encode(parts[k])
-        if b"".join([both.a_bytes[i] for i in a]) == raw[at] == b"".join([both.b_bytes[i] for i in b]):
-            out_a += a
-            out_b += b
-        else:
-            size[at] = 0
-    return np.array(out_a, np.int64), np.array(out_b, np.int64), size, order
+class Stretches(dict):
+    """Numbers of stretches, given in the order in which they are first asked for."""
+
+    def __missing__(self, text: str) -> int:
+        self[text] = k = len(self)
+        return k
 
 
 TOKENS = """
-CREATE OR REPLACE TEMP TABLE met AS SELECT a.k, a.id, a.s, a.e, a.s = b.s AS cut FROM a ASOF JOIN b ON a.s >= b.s;
-CREATE OR REPLACE TEMP TABLE in_a AS SELECT k, id, s, e, cut, sum(cut::INT) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING)::BIGINT - 1 AS g FROM met;
-CREATE OR REPLACE TEMP TABLE starts AS SELECT g, s FROM in_a WHERE cut;
-CREATE OR REPLACE TEMP TABLE in_b AS SELECT b.k, b.id, b.s, b.e, starts.g FROM b ASOF JOIN starts ON b.s >= starts.s;
-CREATE OR REPLACE TEMP TABLE parts_of AS SELECT starts.g, parts.c FROM starts ASOF JOIN parts ON starts.s >= parts.s;
-CREATE OR REPLACE TEMP TABLE linked AS
-    SELECT c, pair, count(*) AS n FROM (SELECT g, in_a.id * 4294967296 + in_b.id AS pair FROM in_a JOIN in_b USING (g) WHERE in_a.s < in_b.e AND in_b.s < in_a.e) JOIN parts_of USING (g) GROUP BY ALL;
+CREATE OR REPLACE TEMP TABLE met AS SELECT a.k, a.id, a.c, a.s, a.e, a.s = b.s AS cut FROM a ASOF JOIN b ON a.s >= b.s;
+CREATE OR REPLACE TEMP TABLE in_a AS SELECT k, id, c, s, e, cut, sum(cut::INT) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING)::INT - 1 AS g FROM met;
+CREATE OR REPLACE TEMP TABLE in_b AS SELECT b.k, b.id, b.s, b.e, x.g FROM b ASOF JOIN (SELECT g, s FROM in_a WHERE cut) x ON b.s >= x.s;
+CREATE OR REPLACE TEMP TABLE fresh AS SELECT in_a.c, in_a.id::BIGINT * 4294967296 + in_b.id AS pair FROM in_a JOIN in_b USING (g) WHERE in_a.s < in_b.e AND in_b.s < in_a.e;
+INSERT INTO linked SELECT * FROM fresh;
 """
 #: d: documents, c: stretches, times: how often.
-PAIRS = "SELECT d, pair, sum(times * n)::BIGINT AS n FROM used JOIN linked USING (c) GROUP BY ALL ORDER BY d, pair"
+PAIRS = "SELECT d, pair, sum(times)::BIGINT AS n FROM used JOIN linked USING (c) GROUP BY ALL ORDER BY d, pair"
 
 
 def connection():
@@ -146,73 +136,120 @@ def connection():
     return con
 
 
+class Aligner:
+    """Aligns texts of one task. Stretches seen before are kept, until there are ``keep`` of them; then all are dropped."""
+
+    def __init__(self, both: Both, keep: int = KEEP):
+        self.both, self.keep, self.con = both, keep, connection()
+        self._clear()
+
+    def _clear(self) -> None:
+        self.index, self.texts = Stretches(), []
+        self.counts = {k: np.zeros(0, np.int64) for k in ("n_a", "n_b", "n_groups", "n_links")}
+        self.con.execute("CREATE OR REPLACE TEMP TABLE linked (c INT, pair BIGINT)")
+
+    def _encoded(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A and B over the parts in order, and the bytes of each part with the space before it; a part that the tokens don't give back has 0 and no tokens."""
+        both = self.both
+        size = np.array([len(p.encode()) + 1 for p in parts], np.int64)
+        ids_a, ids_b, raw, at = [], [], " " + " ".join(parts), 0
+        # Several in one call, with the spaces that they begin with; one that doesn't begin and end with other characters than white space stands alone.
+        for group in joined(parts, both.cuts):
+            text = " ".join(group)
+            ids_a.append(both.encode_a(" " + text))
+            ids_b.append(both.b.encode(text))
+        a, b = (np.fromiter(chain.from_iterable(x), np.int32) for x in (ids_a, ids_b))
+        if both.a_length[a].sum() == size.sum() and b"".join(map(both.b_bytes.__getitem__, b.tolist())) == raw.encode():
+            return a, b, size
+        out_a, out_b = [], []
+        for at, p in enumerate(parts):  # some have other bytes: each by itself
+            x, y, own = both.encode_a(" " + p), both.b.encode(p), b" " + p.encode()
+            if b"".join([both.a_bytes[i] for i in x]) == own == b"".join([both.b_bytes[i] for i in y]):
+                out_a += x
+                out_b += y
+            else:
+                size[at] = 0
+        return np.array(out_a, np.int32), np.array(out_b, np.int32), size
+
+    def _learn(self, parts: list[str], first: int) -> None:
+        """Align new stretches, numbered from ``first`` on."""
+        a, b, size = self._encoded(parts)
+        both, ends = self.both, np.cumsum(size)
+        stop_a, stop_b = np.cumsum(both.a_length[a]), np.cumsum(both.b_length[b])
+        ends_a, ends_b = np.searchsorted(stop_a, ends, "right"), np.searchsorted(stop_b, ends, "right")
+        count = lambda x: np.diff(x, prepend=0)
+        of_a = np.repeat(np.arange(len(parts), dtype=np.int32), count(ends_a))
+        small = lambda x: x.astype(np.int32) if ends[-1] < 1 << 31 else x
+        for name, ids, stop, length in (("a", a, stop_a, both.a_length), ("b", b, stop_b, both.b_length)):
+            columns = {"k": np.arange(len(ids), dtype=np.int32), "id": ids, "s": small(stop - length[ids]), "e": small(stop)} | ({"c": of_a + np.int32(first)} if name == "a" else {})
+            self.con.register(name, pa.table(columns))
+        self.con.execute(TOKENS)
+        group_a, group_b = (self.con.execute(f"SELECT g FROM {t} ORDER BY k").fetchnumpy()["g"] for t in ("in_a", "in_b"))
+        links = np.bincount(self.con.execute("SELECT c FROM fresh").fetchnumpy()["c"] - first, minlength=len(parts))
+        new = {"n_a": count(ends_a), "n_b": count(ends_b), "n_groups": count(np.r_[0, group_a + 1][ends_a]), "n_links": links}
+        self.counts = {k: np.r_[v, new[k]] for k, v in self.counts.items()}
+        self.texts += strings(both, a, group_a, b, group_b, ends_a, ends_b)
+        for t in ("a", "b"):
+            self.con.unregister(t)
+
+    def align(self, texts: list[str | None]) -> tuple[dict[str, list], list[str], list[np.ndarray], list[np.ndarray]]:
+        """Columns n_a, n_b, n_groups, n_links of the texts, their groups as text, and the pairs of each with their links."""
+        if len(self.index) > self.keep:
+            self._clear()
+        n, known = len(texts), len(self.index)
+        split = [[] if not t else stretches(t) if self.both.cuts else [t] for t in texts]
+        codes = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64)
+        doc = np.repeat(np.arange(n), [len(x) for x in split])
+        if len(self.index) > known:
+            self._learn(list(islice(self.index, known, None)), known)
+        # A text with a stretch that the tokens don't give back has no tokens at all.
+        ok = np.ones(n, bool)
+        ok[doc[self.counts["n_a"][codes] == 0]] = False
+        codes, doc = codes[ok[doc]], doc[ok[doc]]
+        sums = {k: np.bincount(doc, weights=v[codes], minlength=n).astype(np.int64).tolist() for k, v in self.counts.items()}
+        edge, listed = np.searchsorted(doc, np.arange(n + 1)).tolist(), codes.tolist()
+        groups = [";".join(map(self.texts.__getitem__, listed[x:y])) for x, y in pairwise(edge)]
+        m = len(self.index)
+        used, often = np.unique(doc * m + codes, return_counts=True)
+        self.con.register("used", pa.table({"d": used // max(m, 1), "c": used % max(m, 1), "times": often}))
+        got = self.con.execute(PAIRS).fetchnumpy()
+        self.con.unregister("used")
+        edge = np.searchsorted(got["d"], np.arange(n + 1)).tolist()
+        return sums, groups, *([got[k][x:y] for x, y in pairwise(edge)] for k in ("pair", "n"))
+
+
+def joined(parts: list[str], cuts: bool) -> Iterator[list[str]]:
+    """The parts in order, in groups that are encoded in one call."""
+    group, size = [], 0
+    for p in parts:
+        alone = not cuts or not p or p[0].isspace() or p[-1].isspace()
+        if group and (alone or size > CALL):
+            yield group
+            group, size = [], 0
+        if alone:
+            yield [p]
+        else:
+            group.append(p)
+            size += len(p) + 1
+    if group:
+        yield group
+
+
 def strings(both: Both, a: np.ndarray, a_group: np.ndarray, b: np.ndarray, b_group: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> list[str]:
     """Of each part, its groups as text. ends: number of tokens up to the end of each part."""
     items = np.empty(len(a) + len(b), object)
-    first_a, first_b = np.r_[True, np.diff(a_group) > 0], np.r_[True, np.diff(b_group) > 0]
-    begins = np.zeros(len(a), bool)
-    begins[np.r_[0, ends_a[:-1]][ends_a > np.r_[0, ends_a[:-1]]]] = True
-    of_a, of_b = ([f"{k}" for k in range(len(x))] for x in (both.a_bytes, both.b_bytes))
-    plain, more, new, other = np.array(of_a, object), np.array([f",{x}" for x in of_a], object), np.array([f";{x}" for x in of_a], object), np.array([f"|{x}" for x in of_b], object)
-    more_b = np.array([f",{x}" for x in of_b], object)
-    text = more[a]
-    text[first_a] = new[a[first_a]]
-    text[begins] = plain[a[begins]]
+    first_a, first_b = np.diff(a_group, prepend=-1) > 0, np.diff(b_group, prepend=-1) > 0
+    before = np.r_[0, ends_a[:-1]]
+    begins = before[ends_a > before]
+    text = both.a_text[","][a]
+    text[first_a] = both.a_text[";"][a[first_a]]
+    text[begins] = both.a_text[""][a[begins]]
     items[np.arange(len(a)) + np.searchsorted(b_group, a_group, "left")] = text
-    text = more_b[b]
-    text[first_b] = other[b[first_b]]
+    text = both.b_text[","][b]
+    text[first_b] = both.b_text["|"][b[first_b]]
     items[np.arange(len(b)) + np.searchsorted(a_group, b_group, "right")] = text
     items, ends = items.tolist(), (ends_a + ends_b).tolist()
-    return ["".join(items[x:y]) for x, y in zip([0, *ends[:-1]], ends, strict=True)]
-
-
-def aligned(both: Both, texts: list[str | None], con) -> tuple[dict[str, list], list[str], list[np.ndarray], list[np.ndarray]]:
-    """Columns n_a, n_b, n_groups, n_links of the texts, their groups as text, and the pairs of each with their links."""
-    split = [[] if not t else CUT.split(t) if both.cuts else [t] for t in texts]
-    flat = [p for x in split for p in x]
-    index = {p: k for k, p in enumerate(dict.fromkeys(flat))}
-    n, m = len(texts), len(index)
-    stops = np.cumsum([len(x) for x in split])
-    a, b, size, order = tokens(both, list(index)) if m else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), [])
-    place = np.empty(m, np.int64)  # of a part in the order it was encoded in
-    place[order] = np.arange(m)
-    codes = place[np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))]
-    doc = np.repeat(np.arange(n), np.diff(np.r_[0, stops]))
-    # A text with a part whose bytes come out different has no tokens at all.
-    ok = np.ones(n, bool)
-    ok[doc[size[codes] == 0]] = False
-    codes, doc = codes[ok[doc]], doc[ok[doc]]
-    groups, pairs, times = [""] * n, [np.zeros(0, np.int64)] * n, [np.zeros(0, np.int64)] * n
-    sums = {k: np.zeros(n, np.int64) for k in ("n_a", "n_b", "n_groups", "n_links")}
-    if len(codes):
-        ends = np.cumsum(size)
-        stop_a, stop_b = np.cumsum(both.a_length[a]), np.cumsum(both.b_length[b])
-        for name, ids, stop, length in (("a", a, stop_a, both.a_length), ("b", b, stop_b, both.b_length)):
-            con.register(name, pa.table({"k": np.arange(len(ids)), "id": ids, "s": stop - length[ids], "e": stop}))
-        real = np.flatnonzero(size)
-        con.register("parts", pa.table({"c": real, "s": ends[real] - size[real]}))
-        con.execute(TOKENS)
-        group_a, group_b = (con.execute(f"SELECT g FROM {t} ORDER BY k").fetchnumpy()["g"] for t in ("in_a", "in_b"))
-        ends_a, ends_b = np.searchsorted(stop_a, ends, "right"), np.searchsorted(stop_b, ends, "right")
-        count = lambda x: np.diff(np.r_[0, x])
-        links = np.zeros(m, np.int64)
-        got = con.execute("SELECT c, sum(n)::BIGINT AS n FROM linked GROUP BY c").fetchnumpy()
-        links[got["c"]] = got["n"]
-        ends_g = np.r_[0, group_a + 1][ends_a]
-        for k, x in (("n_a", count(ends_a)), ("n_b", count(ends_b)), ("n_groups", count(ends_g)), ("n_links", links)):
-            sums[k] = np.bincount(doc, weights=x[codes], minlength=n).astype(np.int64)
-        text = strings(both, a, group_a, b, group_b, ends_a, ends_b)
-        edge = np.searchsorted(doc, np.arange(n + 1)).tolist()
-        listed = codes.tolist()
-        groups = [";".join(map(text.__getitem__, listed[x:y])) for x, y in zip(edge, edge[1:], strict=False)]
-        used, often = np.unique(doc * m + codes, return_counts=True)
-        con.register("used", pa.table({"d": used // m, "c": used % m, "times": often}))
-        got = con.execute(PAIRS).fetchnumpy()
-        edge = np.searchsorted(got["d"], np.arange(n + 1))
-        pairs, times = ([got[k][x:y] for x, y in zip(edge, edge[1:], strict=False)] for k in ("pair", "n"))
-        for t in ("a", "b", "parts", "used"):
-            con.unregister(t)
-    return {k: v.tolist() for k, v in sums.items()}, groups, pairs, times
+    return ["".join(items[x:y]) for x, y in pairwise([0, *ends])]
 
 
 def gathered(batches: Iterator[pa.RecordBatch], most: int = PORTION) -> Iterator[pa.Table]:
@@ -247,10 +284,10 @@ def found(docs: DataFrame, text: str, paths: tuple, portion: int, groups: bool)
     schema = T.StructType([*rows.select(*names).schema.fields, *T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in new.items())).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, con = None, None
+        aligner = None
         for x in gathered(batches, portion):
-            both, con = both or loaded(*paths), con or connection()
-            sums, told, pairs, times = aligned(both, x["body"].to_pylist(), con)
+            aligner = aligner or Aligner(loaded(*paths))
+            sums, told, pairs, times = aligner.align(x["body"].to_pylist())
             out = x.drop_columns(["body"])
             columns = sums | {"groups_sha256": [t and hashlib.sha256(t.encode()).hexdigest() for t in told]} | ({"groups": told} if groups else {})
             for k, v in columns.items():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, exact_dedup, html_text, media, merkle, mixing, near_dedup, pieces, quality, secrets, token_counts, transcripts
+from . import alignment, exact_dedup, hidden_markov, html_text, media, merkle, mixing, near_dedup, pieces, quality, secrets, token_counts, transcripts
 
 QUERIES = {
     "op1_secrets": secrets.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_transcripts": transcripts.op9,
     "op10_html_text": html_text.op10,
     "op11_merkle": merkle.op11,
+    "op12_hidden_markov": hidden_markov.op12,
     "op13_alignment": alignment.op13,
 }
 
