@@ -34,11 +34,11 @@ from .common import Settled, Taken, small_batches, text_of
 STATES, WORDS, SHAPES = 8, 1 << 16, 32
 #: Words whose bigrams the first states come from.
 FIRST = 256
-ITERATIONS = 5
+ITERATIONS = 3
 #: Words of a piece, and pieces worked on side by side.
 PIECE, SIDE = 64, 4096
 #: Occurrences that every symbol is given in advance, shared by the states as the words are, and moves that each pair of states is given.
-PRIOR, PRIOR_STATES = 1.0, 1.0
+PRIOR, PRIOR_STATES = 2.0, 1.0
 #: Words of the texts that a task holds at a time; a longer text is held alone.
 HELD = 1_000_000
 NEW = {"n_tokens": "long", "n_known": "long", "train_tokens": "long", "base_score": "double", "score": "double"}
