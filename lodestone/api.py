@@ -39,10 +39,6 @@ class Tools:
     def own(self, table: str, workspace_id: str) -> DataFrame:
         return self.store.table(table).filter(F.col("workspace_id") == workspace_id)
 
-    def chunked_files(self, workspace_id: str) -> DataFrame:
-        """Files that gave at least one chunk; the table also holds the hashes of those that gave none."""
-        return self.own("files", workspace_id).join(self.own("chunks", workspace_id).select("workspace_id", "file_path").distinct(), ["workspace_id", "file_path"], "left_semi")
-
     # Index
 
     def index_project(self, directory: str, force_reindex: bool = False, format: str = "human", workspace_id: str | None = None, exclude_patterns: list[str] | None = None, recursive: bool = True) -> str:
@@ -98,15 +94,13 @@ class Tools:
             return []
         if not vector:
             return []
-        # Ranking statistics span all workspaces.
-        docs = self.searchable().drop("embedding", "embed_text", "tags")
         vectors = self.searchable(workspace_id).withColumn("code", F.col("embed_text")).drop("embed_text", "words", "length")
-        words = search.bm25_search(docs, {"q": query}, workspace_id, language_filter, 2 * top_k)
         near = search.nearest(vectors, {"q": vector}, 2 * top_k, ("file_path", "symbol_name", "id"), workspace_id, language_filter)
-        # Two lists of 2 top_k rows, found side by side.
+        # Two lists of 2 top_k rows, found side by side. Ranking statistics span all workspaces.
         with ThreadPoolExecutor(1) as side:
             other = side.submit(near.collect)
-            hits = search.fused_rows(words.collect(), other.result(), top_k, self.config.search.alpha, self.config.search.beta, file_filter, exclude_tests, tag_filter, tags_mode)
+            words = self.store.word_search(query, workspace_id, language_filter, 2 * top_k)
+            hits = search.fused_rows(words, other.result(), top_k, self.config.search.alpha, self.config.search.beta, file_filter, exclude_tests, tag_filter, tags_mode)
         return [r | {"workspace_id": workspace_id, "metadata": {"tags": r["tags"] or []}} for r in hits]
 
     def search_code(self, query: str, top_k: int = 10, workspace_id: str = "default", language_filter: str | None = None, file_filter: str | None = None, exclude_tests: bool = False, format: str = "human", **tags) -> str:
@@ -172,26 +166,27 @@ class Tools:
     # Maps
 
     def map_of(self, workspace_id: str, map_format: str = "summary") -> dict:
-        files, chunks = self.chunked_files(workspace_id), self.own("chunks", workspace_id)
-        now, last = stats.current(chunks).first(), stats.last_scan(self.own("scans", workspace_id)).first()
+        # Of files with symbols; the table of files also holds the hashes of those that gave none.
+        files = self.own("rollups", workspace_id)
+        now, last = stats.current_of(files).first(), stats.last_scan(self.own("scans", workspace_id)).first()
         kinds = ("files", *stats.KINDS)
         summary = {
-            "total_files": files.count(), "total_lines": now.total_lines if now else 0,
-            "stats_by_language": {r.language: {k: r[k] for k in kinds} for r in stats.per_language(files, chunks).orderBy("language").collect()},
+            "total_files": now.files if now else 0, "total_lines": now.total_lines if now else 0,
+            "stats_by_language": {r.language: {k: r[k] for k in kinds} for r in stats.per_language_of(files).orderBy("language").collect()},
             "top_level_folders": [r.folder for r in stats.top_folders(files).orderBy("folder").collect()],
-            "most_active_files": [{"path": r.file_path, "symbol_count": r.symbol_count} for r in stats.most_active(chunks).orderBy("place").collect()],
+            "most_active_files": [{"path": r.file_path, "symbol_count": r.symbol_count} for r in stats.most_active_of(files).orderBy("place").collect()],
             "last_indexed": str(last.last_indexed) if last else None,
         }
         out: dict = {"summary": summary}
         if map_format == "detailed":
-            rows = files.select("workspace_id", "file_path", "language").join(stats.per_file(chunks), ["workspace_id", "file_path"], "left").orderBy("file_path")
-            out["detailed"] = {"files": [{"path": r.file_path, "language": r.language or "unknown", **{k: r[k] or 0 for k in stats.KINDS}} for r in rows.collect()]}
+            rows = files.select("file_path", "language", *stats.KINDS).orderBy("file_path")
+            out["detailed"] = {"files": [{"path": r.file_path, "language": r.language or "unknown", **{k: r[k] for k in stats.KINDS}} for r in rows.collect()]}
         elif map_format == "tree":
             out["tree"] = self.tree_of(workspace_id)
         return out
 
     def tree_of(self, workspace_id: str, path_filter: str | None = None, max_depth: int = 10) -> str:
-        rows = stats.tree_nodes(self.chunked_files(workspace_id), self.own("chunks", workspace_id), path_filter, max_depth).collect()
+        rows = stats.tree_nodes_of(self.own("rollups", workspace_id), path_filter, max_depth).collect()
         return render.tree_text((r.parent, r.name, r.is_file, r.symbols) for r in rows)
 
     def project_map(self, workspace_id: str = "default", map_format: str = "summary", output_format: str = "human") -> str:
@@ -225,7 +220,7 @@ class Tools:
         # Side by side: the counts, and the history of scans, which the answer lists in full.
         with ThreadPoolExecutor(1) as side:
             scanned = side.submit(self.own("scans", workspace_id).collect)
-            now = stats.current(self.own("chunks", workspace_id)).first()
+            now = stats.current_of(self.own("rollups", workspace_id)).first()
         scans = sorted(scanned.result(), key=lambda r: (r.ts, r.duration_ms))
         history = [{"timestamp": str(r.ts), "files_scanned": r.files_scanned, "chunks_created": r.chunks_created, "duration_ms": r.duration_ms} for r in scans]
         delta = {}

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 CHUNK_KEY = ("workspace_id", "file_path", "start_line", "end_line")
 FILE_KEY = ("workspace_id", "file_path")
+#: Dropped workspaces up to which a plan holds them in a map; more are joined.
+FEW = 100
 
 
 def chunk_id() -> Column:
@@ -32,18 +34,32 @@ def orphans(files: DataFrame, scan: DataFrame, workspace: str, root: str) -> Dat
     return own.join(scan.select("file_path"), "file_path", "left_anti")
 
 
-def without_dropped(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows (with commit_no) but those of files that a later commit dropped; gone: workspace_id, file_path, gone_no."""
+def _dropped(rows: DataFrame, gone: DataFrame, how: str) -> DataFrame:
     last = gone.groupBy(*FILE_KEY).agg(F.max("gone_no").alias("gone_no")).alias("g")
     r = rows.alias("r")
-    return r.join(last, [F.col(f"r.{c}") == F.col(f"g.{c}") for c in FILE_KEY] + [F.col("r.commit_no") < F.col("g.gone_no")], "left_anti")
+    return r.join(last, [F.col(f"r.{c}") == F.col(f"g.{c}") for c in FILE_KEY] + [F.col("r.commit_no") < F.col("g.gone_no")], how)
+
+
+def without_dropped(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows (with commit_no) but those of files that a later commit dropped; gone: workspace_id, file_path, gone_no."""
+    return _dropped(rows, gone, "left_anti")
+
+
+def only_dropped(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows (with commit_no) of files that a later commit dropped."""
+    return _dropped(rows, gone, "left_semi")
 
 
 def without_workspaces(rows: DataFrame, dropped: dict[str, int], key: str = "workspace_id") -> DataFrame:
     """Rows (with commit_no) but those of workspaces that a later commit dropped; ``dropped`` names the commit."""
-    for workspace, n in dropped.items():
-        rows = rows.filter((F.col(key) != workspace) | (F.col("commit_no") >= n))
-    return rows
+    if not dropped:
+        return rows
+    if len(dropped) <= FEW:
+        last = F.create_map(*[F.lit(x) for pair in dropped.items() for x in pair])[F.col(key)]
+        return rows.filter(last.isNull() | (F.col("commit_no") >= last))
+    table = rows.sparkSession.createDataFrame(list(dropped.items()), f"{key} string, dropped_no long").alias("x")
+    r = rows.alias("r")
+    return r.join(table, (F.col(f"r.{key}") == F.col(f"x.{key}")) & (F.col("r.commit_no") < F.col("x.dropped_no")), "left_anti")
 
 
 def edges_of(files: DataFrame, imports: Column) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections.abc import Iterator, Sequence
 
@@ -33,6 +34,22 @@ def tokenized(docs: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
     return lines.withColumn("length", text.token_count(F.col("words")) - F.size(F.filter(F.split("words", r"\|"), lambda x: x != "")))
 
 
+def weight_of(tf, length, mean_length):
+    """A document's part of the rank: the more occurrences and the shorter, the higher."""
+    return tf * (K1 + 1) / (tf + K1 * ((1 - B) + B * length / mean_length))
+
+
+def rank_of(tf: Column, length: Column, n_docs: Column, mean_length: Column, n_hits: Column) -> Column:
+    idf = F.log((n_docs - n_hits + 0.5) / (n_hits + 0.5))
+    return -F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf) * weight_of(tf, length, mean_length)
+
+
+def plain_rank(tf: int, length: int, n_docs: int, mean_length: float, n_hits: int) -> float:
+    """``rank_of`` for collected hits."""
+    idf = math.log((n_docs - n_hits + 0.5) / (n_hits + 0.5))
+    return -(idf if idf > 0 else LEAST_IDF) * weight_of(tf, length, mean_length)
+
+
 def bm25(docs: DataFrame, phrases: dict[str, str]) -> DataFrame:
     """For each query (id: phrase) the documents that hold the phrase in one field: query_id, the columns of docs, and rank (lower is better).
     Document counts and lengths are over all of ``docs``, whatever is filtered afterwards. ``docs`` as from ``tokenized``.
@@ -47,10 +64,7 @@ def bm25(docs: DataFrame, phrases: dict[str, str]) -> DataFrame:
     tf = [F.when(holds[k], F.struct(F.lit(k).alias("query_id"), F.lit(n).alias("q"), F.regexp_count("words", F.lit(f"(?={p})")).alias("tf"))) for n, (k, p) in enumerate(asked.items())]
     hits = docs.withColumn("hit", F.explode(F.array_compact(F.array(*tf)))).select(*[c for c in docs.columns if c != "words"], "hit.query_id", "hit.q", "hit.tf")
     hits = hits.withColumns({c: total.select(c).scalar() for c in ("n_docs", "mean_length", "n_hits")}).withColumn("n_hits", F.col("n_hits")[F.col("q")])
-    idf = F.log((F.col("n_docs") - F.col("n_hits") + 0.5) / (F.col("n_hits") + 0.5))
-    idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
-    norm = K1 * ((1 - B) + B * F.col("length") / F.col("mean_length"))
-    rank = -idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + norm)
+    rank = rank_of(*[F.col(c) for c in ("tf", "length", "n_docs", "mean_length", "n_hits")])
     return hits.withColumn("rank", rank).drop("n_docs", "mean_length", "n_hits", "q")
 
 
@@ -59,6 +73,11 @@ def language_filter(path: Column, language: str | None) -> Column:
     return F.lit(True) if not language else F.lower(path).endswith(paths.SEARCH_SUFFIX.get(language.lower(), f".{language.lower()}"))
 
 
+def has_language(path: str, language: str | None) -> bool:
+    """``language_filter`` for a collected path."""
+    return not language or path.lower().endswith(paths.SEARCH_SUFFIX.get(language.lower(), f".{language.lower()}"))
+
+
 def best(rows: DataFrame, k: int, order: Sequence[Column], by: Sequence[str] = ("query_id",)) -> DataFrame:
     """The first k rows of each query, with their place."""
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("place") <= k)
@@ -146,6 +165,14 @@ def packed(rows: DataFrame, id_: str, block: int) -> DataFrame:
     return ready.mapInPandas(run, "ids array<bigint>, dim int, vectors binary")
 
 
+def first_of(ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and squared distances, rounded, of the k vectors nearest to the query; of equals the smaller ids."""
+    d = np.round(((vectors - query) ** 2).sum(axis=1), 9)
+    near = np.arange(len(d)) if len(d) <= 4 * k else np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+    near = near[np.lexsort((ids[near], d[near]))[:k]]
+    return ids[near], d[near]
+
+
 def nearest_many(vectors: DataFrame, queries: DataFrame, k: int = 10, id_: str = "id") -> DataFrame:
     """Exact k nearest vectors of each of many queries (both: id, embedding): query_id, id, distance, place. Blocks of vectors meet blocks of queries; a
     meeting gives its k best for each query, and the best of those are taken, a partial top-k before the shuffle."""
@@ -159,9 +186,8 @@ def nearest_many(vectors: DataFrame, queries: DataFrame, k: int = 10, id_: str =
                 v, q = (np.frombuffer(d, "<f4").reshape(-1, dim).astype(float) for d in (data, q_data))
                 ids = np.asarray(ids)
                 for q_id, one in zip(q_ids, q, strict=True):
-                    d = np.round(((v - one) ** 2).sum(axis=1), 9)
-                    best_ = np.lexsort((ids, d))[:k] if len(d) <= 4 * k else (near := np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]))[np.lexsort((ids[near], d[near]))[:k]]
-                    yield pd.DataFrame({"query_id": q_id, "id": ids[best_], "distance": d[best_]})
+                    at, d = first_of(ids, v, one, k)
+                    yield pd.DataFrame({"query_id": q_id, "id": at, "distance": d})
 
     # The stated queries, in blocks, against all blocks of vectors. An equality of the lengths would deal every block to one task.
     meetings = a.crossJoin(b).select("ids", "dim", "vectors", "q_ids", "q_dim", "q_vectors")
@@ -189,7 +215,7 @@ def fused(words: DataFrame, vectors: DataFrame, k: int = 10, alpha: float = 0.6,
     return best(both, k, order).select(*key, "code", "docstring", "bm25_score", "vector_score", "tags", "hybrid_score", "place")
 
 
-def fused_rows(words: Sequence[Row], vectors: Sequence[Row], k: int = 10, alpha: float = 0.6, beta: float = 0.4, file_filter: str | None = None, exclude_tests: bool = False, tags: Sequence[str] | None = None, tags_mode: str = "any") -> list[dict]:
+def fused_rows(words: Sequence[Row | dict], vectors: Sequence[Row | dict], k: int = 10, alpha: float = 0.6, beta: float = 0.4, file_filter: str | None = None, exclude_tests: bool = False, tags: Sequence[str] | None = None, tags_mode: str = "any") -> list[dict]:
     """``fused`` for the two collected lists of one query, 2k rows each: at that size a plan costs more than the work."""
     both: dict[tuple, dict] = {}
     for rows, score, place, code in ((words, "bm25_score", "word_place", "word_code"), (vectors, "vector_score", "vector_place", "vector_code")):

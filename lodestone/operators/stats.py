@@ -10,6 +10,19 @@ from ..functions import paths
 KINDS = {"functions": "function", "classes": "class", "methods": "method"}
 
 
+def rolled_up(chunks: DataFrame) -> DataFrame:
+    """A row for each file with chunks: its counts, lines (nested symbols count twice), tokens, and the numbers of its chunks. Reports add these rows up."""
+    counts = [F.count_if(F.col("type") == v).alias(k) for k, v in KINDS.items()]
+    return chunks.groupBy("workspace_id", "language", "file_path").agg(
+        *counts, F.count(F.lit(1)).alias("symbols"), F.coalesce(F.sum(F.col("end_line") - F.col("start_line") + 1), F.lit(0)).alias("lines"), F.sum("length").alias("words"), F.sort_array(F.collect_list("chunk_no")).alias("numbers")
+    )
+
+
+def current_of(rollups: DataFrame) -> DataFrame:
+    """``current`` from the files' rows."""
+    return rollups.groupBy("workspace_id").agg(F.count(F.lit(1)).alias("files"), F.sum("lines").alias("total_lines"), F.sum("symbols").alias("total_symbols"))
+
+
 def per_file(chunks: DataFrame) -> DataFrame:
     """workspace_id, file_path, functions, classes, methods, symbol_count."""
     return chunks.groupBy("workspace_id", "file_path").agg(*[F.count_if(F.col("type") == v).alias(k) for k, v in KINDS.items()], F.count(F.lit(1)).alias("symbol_count"))
@@ -24,9 +37,19 @@ def per_language(files: DataFrame, chunks: DataFrame) -> DataFrame:
     return both.select("workspace_id", "language", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("files", *KINDS)])
 
 
+def per_language_of(rollups: DataFrame) -> DataFrame:
+    """``per_language`` of files with symbols, from the files' rows."""
+    language = F.coalesce(paths.language_of(F.col("file_path")), F.lit("unknown")).alias("language")
+    return rollups.groupBy("workspace_id", language).agg(F.count(F.lit(1)).alias("files"), *[F.sum(k).alias(k) for k in KINDS])
+
+
 def most_active(chunks: DataFrame, k: int = 10) -> DataFrame:
     """The k files with most symbols of each workspace."""
-    counted = chunks.groupBy("workspace_id", "file_path").agg(F.count(F.lit(1)).alias("symbol_count"))
+    return most_active_of(chunks.groupBy("workspace_id", "file_path").agg(F.count(F.lit(1)).alias("symbols")), k)
+
+
+def most_active_of(rollups: DataFrame, k: int = 10) -> DataFrame:
+    counted = rollups.select("workspace_id", "file_path", F.col("symbols").alias("symbol_count"))
     w = Window.partitionBy("workspace_id").orderBy(F.col("symbol_count").desc(), "file_path")
     return counted.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
@@ -78,8 +101,13 @@ def graph_summary(edges: DataFrame) -> DataFrame:
 
 def tree_nodes(files: DataFrame, chunks: DataFrame, glob: str | None = None, max_depth: int = 10) -> DataFrame:
     """Every folder and file of the file tree once: workspace_id, parent, name, depth (from 0), is_file, symbols."""
-    own = files.filter(paths.matches_glob(F.col("file_path"), glob)) if glob else files
-    counted = own.select("workspace_id", "file_path").join(chunks.groupBy("workspace_id", "file_path").agg(F.count(F.lit(1)).alias("symbols")), ["workspace_id", "file_path"], "left")
+    symbols = chunks.groupBy("workspace_id", "file_path").agg(F.count(F.lit(1)).alias("symbols"))
+    return tree_nodes_of(files.select("workspace_id", "file_path").join(symbols, ["workspace_id", "file_path"], "left"), glob, max_depth)
+
+
+def tree_nodes_of(rollups: DataFrame, glob: str | None = None, max_depth: int = 10) -> DataFrame:
+    """The same from rows with the symbols of each file."""
+    counted = rollups.filter(paths.matches_glob(F.col("file_path"), glob)) if glob else rollups
     steps = F.filter(F.split("file_path", "/"), lambda s: s != "")
     up = counted.withColumn("steps", steps).select("workspace_id", "symbols", "steps", F.explode(F.sequence(F.lit(1), F.size("steps"))).alias("n")).filter(F.col("n") <= max_depth + 1)
     node = up.select("workspace_id", F.array_join(F.slice("steps", 1, F.col("n") - 1), "/").alias("parent"), F.element_at("steps", F.col("n")).alias("name"), (F.col("n") - 1).alias("depth"), (F.col("n") == F.size("steps")).alias("is_file"), F.when(F.col("n") == F.size("steps"), F.coalesce("symbols", F.lit(0))).otherwise(0).alias("symbols"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import EXCLUDES, EXTENSIONS
 from ..functions import imports, paths, tags, text
-from ..operators import graph, index, search, stats, symbols
+from ..operators import graph, index, postings, search, stats, symbols, vectors
 from ..sources import tree, workspaces
 from ..streaming import debounce as bounce
 from . import corpus
@@ -460,6 +460,15 @@ def search_bm25_rank(spark, d):
     return search.bm25(searched(spark, d), PHRASES).select("query_id", "id", F.round("rank", 9).alias("rank"))
 
 
+@query("search_postings", f"{BM25_SQL} SELECT query_id, id, tf, length::INT AS length, round(rank, 9) AS rank FROM r")
+def search_postings(spark, d):
+    """The same ranks from postings, which are built from the documents."""
+    docs = searched(spark, d)
+    total = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
+    found = postings.hits(postings.build(docs, keys=["language"]), PHRASES, ["language"])
+    return postings.bm25(found, total.select("n").scalar(), total.select("mean").scalar()).select("query_id", F.col("number").alias("id"), "tf", "length", F.round("rank", 9).alias("rank"))
+
+
 @query(
     "search_bm25_top",
     f"""{BM25_SQL}, s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rank, 9), file_path, symbol_name, id) AS place FROM r),
@@ -478,12 +487,12 @@ def search_language_filter(spark, d):
     return corpus.files(spark, d).filter(search.language_filter(p, "java") | search.language_filter(p, "python")).select("doc_id")
 
 
-@query(
-    "search_nearest",
-    """WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0),
+NEAREST_SQL = """WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0),
 x AS (SELECT query_id, vec_id AS id, list_sum(list_transform(range(1, len(e) + 1), lambda i: (embedding[i]::DOUBLE - e[i]::DOUBLE) * (embedding[i]::DOUBLE - e[i]::DOUBLE))) AS dist FROM embeddings, q),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), id) AS place FROM x) SELECT query_id, id, place, round(1 - dist, 5) AS vector_score FROM r WHERE place <= 10""",
-)
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), id) AS place FROM x) SELECT query_id, id, place, round(1 - dist, 5) AS vector_score FROM r WHERE place <= 10"""
+
+
+@query("search_nearest", NEAREST_SQL)
 def search_nearest(spark, d):
     """Every vector whose id is divisible by 20 as a query against all vectors."""
     v = corpus.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
@@ -491,6 +500,15 @@ def search_nearest(spark, d):
     return near.select("query_id", "id", "place", F.round(1 - F.col("distance"), 5).alias("vector_score"))
 
 
+@query("search_nearest_lists", NEAREST_SQL)
+def search_nearest_lists(spark, d):
+    """The same through an inverted file: all lists, so exactly."""
+    v = corpus.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    centroids = vectors.fit(v)
+    near = vectors.nearest_many(vectors.assigned(v, centroids), centroids, v.filter("id % 20 = 0"), 10)
+    return near.select("query_id", "id", "place", F.round(1 - F.col("distance"), 5).alias("vector_score"))
+
+
 @query("search_hybrid")
 def search_hybrid(spark, d):
     """Phrase hits and nearest vectors fused, with a file filter and tags. The hashed embedding of the texts has no SQL form; fusion alone is held

@@ -4,7 +4,13 @@ A write appends a segment of new rows to each table and, for files that changed
 what a later commit dropped. So a write costs what changed, not what is there. A commit is a numbered manifest that names the segments; it appears whole, by a rename, and the
 highest number counts, so a write that fails at any step leaves the index as it was. Dropping a workspace is an entry in the manifest. Beyond 32 segments a write merges the
 newest ones, as many as are not much larger than those behind them, so a row is rewritten a number of times that grows with the logarithm of the index. Chunks are partitioned by
-workspace and language, so searches prune, and sorted by name within files, so lookups skip row groups and pages.
+workspace and language, so searches prune, and sorted by name within files, so lookups skip row groups and pages (and files, by Bloom filters on names and paths).
+
+With each segment of chunks go two that are made of it when it is written, and go with it when it is merged: its postings, which phrase search reads in place of chunks, and a row for each
+file with its counts and the numbers of its chunks. A chunk's number is unique in its segment. Counts over the index are sums over the live files' rows, and a dropped file's
+chunks are known by their numbers, so neither reads chunks.
+
+Segments that a later commit replaced are deleted when they have been out of use for ``KEPT_S`` seconds, so readers that began before go on.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ import uuid
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,13 +30,21 @@ from .. import schema
 from ..config import Config
 from ..functions import imports, tags, text
 from ..operators import chunks as chunking
-from ..operators import embed, index, search
+from ..operators import embed, index, postings, search, stats
 from ..sources import tree, workspaces
 
-TABLES = {"chunks": schema.CHUNK, "files": schema.FILE, "deps": schema.EDGE, "scans": schema.SCAN, "workspaces": schema.WORKSPACE, "tag_cache": schema.TAG_CACHE}
+TABLES = {"chunks": schema.CHUNK, "files": schema.FILE, "deps": schema.EDGE, "scans": schema.SCAN, "workspaces": schema.WORKSPACE, "tag_cache": schema.TAG_CACHE, "postings": schema.POSTING, "rollups": schema.ROLLUP}
 #: Tables whose rows belong to a file, and go with it.
 BY_FILE = ("chunks", "files", "deps")
+#: Tables made of each segment of chunks.
+DERIVED = ("postings", "rollups")
+#: Number of the layout; an index of another one has to be made again.
+LAYOUT = 3
+#: Seconds that a segment stays after the commit that put it out of use.
+KEPT_S = 3600
 COMMIT = T.StructField("commit_no", T.LongType())
+#: Chunks as segments hold them: with their numbers, which tables don't show.
+CHUNKS = T.StructType([*schema.CHUNK.fields, T.StructField("chunk_no", T.LongType()), COMMIT])
 GONE = schema.struct("workspace_id string, file_path string, gone_no long")
 #: Segments of a table beyond which a write merges the newest, and how much larger than those behind it a segment may be to be merged with them.
 MOST_SEGMENTS, GROWTH = 32, 2
@@ -39,8 +53,12 @@ SMALL = 1 << 16
 MANIFESTS = "manifests"
 #: Errors that a report lists; all are counted.
 MOST_ERRORS = 1000
+#: Hits that come to the driver in one search, when many are equally good.
+MOST_TAKEN = 4096
 #: Bytes of a row group.
 ROW_GROUP = 8 << 20
+#: Columns with Bloom filters.
+BLOOMS = {"chunks": ("name", "file_path"), "postings": ("term",)}
 PARTITIONS = {"chunks": ["workspace_id", "language"], "deps": ["workspace_id"]}
 
 
@@ -55,6 +73,7 @@ class Store:
         self._read, self._state, self._tables = None, {}, {}
         root = self.config.index.index_path
         self.root = root if "://" in root else f"file://{root}"
+        self._totals: tuple[int, tuple] | None = None
 
     # Segments
 
@@ -70,13 +89,15 @@ class Store:
         names = sorted(f.getPath().getName() for f in fs.listStatus(folder)) if fs.exists(folder) else []
         names = [n for n in names if re.fullmatch(r"\d{12}\.json", n)]
         if not names:
-            return {"commit": 0, "tables": {}, "bytes": {}, "dropped": {}}
+            return {"commit": 0, "tables": {}, "bytes": {}, "dropped": {}, "layout": LAYOUT}
         if self._read != names[-1]:
             stream = fs.open(self._path(f"{MANIFESTS}/{names[-1]}"))
             try:
                 self._state, self._read, self._tables = json.loads(bytes(stream.readAllBytes())), names[-1], {}
             finally:
                 stream.close()
+            if self._state.get("layout") != LAYOUT:
+                raise ValueError(f"{self.root} holds an index of another layout: clear it and index again")
         return self._state
 
     def _segments(self, name: str, state: dict, form: T.StructType, only: Sequence[str] | None = None) -> DataFrame | None:
@@ -98,11 +119,88 @@ class Store:
         own = "id" if name == "workspaces" else "workspace_id"
         if own in form.fieldNames():
             rows = index.without_workspaces(rows, state["dropped"], own)
-        gone = self._segments("gone", state, GONE) if name in BY_FILE else None
+        gone = self._segments("gone", state, GONE) if name in (*BY_FILE, "rollups") else None
         if gone is not None:
             rows = index.without_dropped(rows, gone)
         return rows.select(*form.fieldNames())
 
+    def totals(self) -> tuple[int, float]:
+        """Chunks of all workspaces and their mean length in tokens; counted once a commit."""
+        n = self.current()["commit"]
+        if self._totals is None or self._totals[0] != n:
+            r = self.table("rollups").agg(F.coalesce(F.sum("symbols"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
+            self._totals = n, (r.n, r.words / max(r.n, 1))
+        return self._totals[1]
+
+    def dead(self, state: dict) -> DataFrame | None:
+        """commit_no and number of the chunks of dropped files, from the files' rows; None if there are none."""
+        gone, rows = self._segments("gone", state, GONE), self._segments("rollups", state, T.StructType([*schema.ROLLUP.fields, COMMIT]))
+        if gone is None or rows is None:
+            return None
+        return index.only_dropped(rows.select(*index.FILE_KEY, "numbers", COMMIT.name), gone).select(COMMIT.name, F.explode("numbers").alias("number"))
+
+    def word_hits(self, phrases: dict[str, str]) -> DataFrame:
+        """query_id, workspace_id, language, commit_no, number, tf and length of the live chunks of all workspaces that hold each phrase, from the postings alone."""
+        state = self.current()
+        keys = ["workspace_id", "language", COMMIT.name]
+        rows = self._segments("postings", state, T.StructType([*schema.POSTING.fields, COMMIT]))
+        if rows is None:
+            rows = self.spark.createDataFrame([], T.StructType([*schema.POSTING.fields, COMMIT]))
+        found = postings.hits(index.without_workspaces(rows, state["dropped"]), phrases, keys)
+        dead = self.dead(state)
+        return found if dead is None else found.join(dead, [COMMIT.name, "number"], "left_anti")
+
+    def word_search(self, phrase: str, workspace: str | None = None, language: str | None = None, k: int = 10) -> list[dict]:
+        """The rows of ``search.bm25_search`` for one phrase: the k best chunks with place and bm25_score. Postings give all hits and their weights; only the chunks of the
+        best are read, by number."""
+        n_docs, mean = self.totals()
+        if not n_docs or not postings.asked({"q": phrase}):
+            return []
+        counted = Observation()
+        found = self.word_hits({"q": phrase}).observe(counted, F.count(F.lit(1)).alias("n_hits")).withColumn("weight", search.weight_of(F.col("tf"), F.col("length"), F.lit(mean)))
+        if workspace is not None:
+            found = found.filter(F.col("workspace_id") == workspace)
+        keys = ["workspace_id", "language", COMMIT.name, "number"]
+        found = found.select(*keys, "tf", "length", "weight")
+        # Equals are ranked by path and name, and a language is told by the path, which chunks hold: so candidates are taken until k of them are better than the rest.
+        rows: list[dict] = []
+        take = k
+        while take <= MOST_TAKEN:
+            top = found.orderBy(F.desc("weight"), *keys).limit(take + 1).collect()
+            whole = len(top) <= take
+            rows = self._chunks_of([r for r in top if whole or r.weight > top[-1].weight], language)
+            if whole or len(rows) >= k:
+                break
+            take *= 8
+        else:
+            chunks = self._segments("chunks", self.current(), CHUNKS)
+            named = chunks.filter(search.language_filter(F.col("file_path"), language)).select(*keys[:3], F.col("chunk_no").alias("number"), "file_path", "name", "chunk_id")
+            rows = self._chunks_of(found.join(named, keys).orderBy(F.desc("weight"), "file_path", "name", "chunk_id").limit(k).collect(), language)
+        n_hits = counted.get["n_hits"]
+        for r in rows:
+            r["rank"] = search.plain_rank(r.pop("tf"), r.pop("own_length"), n_docs, mean, n_hits)
+        rows = sorted(rows, key=lambda r: (r["rank"], r["file_path"], r["symbol_name"], r["id"]))[:k]
+        ranks = [r["rank"] for r in rows]
+        for place, r in enumerate(rows, 1):
+            span = ranks[-1] - ranks[0]
+            r |= {"place": place, "bm25_score": 1 - (r["rank"] - ranks[0]) / (span or 1.0)}
+        return rows
+
+    def _chunks_of(self, top: Sequence[Row], language: str | None) -> list[dict]:
+        """Path, name, code and docstring of chunks by segment and number; partitions, row groups and pages without any are not read."""
+        if not top:
+            return []
+        rows = self._segments("chunks", self.current(), CHUNKS)
+        by = {(r["commit_no"], r["number"]): r for r in top}
+        some = lambda c: F.col(c).isin(sorted({r[c] for r in top}))
+        wanted = rows.filter(some("workspace_id") & some("language") & some(COMMIT.name) & F.col("chunk_no").isin(sorted({r["number"] for r in top})))
+        out = []
+        for r in wanted.select(COMMIT.name, "chunk_no", F.col("chunk_id").alias("id"), "file_path", F.col("name").alias("symbol_name"), "code", "docstring").collect():
+            hit = by.get((r["commit_no"], r["chunk_no"]))
+            if hit is not None and search.has_language(r["file_path"], language):
+                out.append(r.asDict() | {"tf": hit["tf"], "own_length": hit["length"]})
+        return out
+
     def commit(self, append: dict[str, DataFrame] | None = None, replace: dict[str, DataFrame] | None = None, gone: DataFrame | None = None, drop: str | None = None, merge: dict[str, list[str]] | None = None) -> None:
         """One step of the index: segments appended, tables replaced, rows of files or of a workspace dropped, segments of a table merged. It holds once its manifest is there;
         there is one writer at a time, and a second one fails."""
@@ -110,12 +208,18 @@ class Store:
         n = state["commit"] + 1
         tables, sizes, dropped = {k: list(v) for k, v in state["tables"].items()}, dict(state["bytes"]), dict(state["dropped"])
         old = [p for name in (replace or {}) for p in tables.pop(name, ())]
-        for name, paths in (merge or {}).items():
-            old += paths
-            tables[name] = [p for p in tables[name] if p not in paths]
-        fresh = {**(append or {}), **(replace or {}), **{name: self.merged(name, state, paths) for name, paths in (merge or {}).items()}}
+        merge = dict(merge or {})
+        for name, paths in merge.items():
+            own = [p for d in DERIVED for p in tables.get(d, ()) if _number(p) in {_number(q) for q in paths}] if name == "chunks" else []
+            old += [*paths, *own]
+            for t in (name, *DERIVED) if own else (name,):
+                tables[t] = [p for p in tables.get(t, ()) if p not in old]
+        fresh = {**(append or {}), **(replace or {}), **{name: self.merged(name, state, paths) for name, paths in merge.items()}}
         for name, df in fresh.items():
-            tables.setdefault(name, []).append(self._write(name, df, n))
+            tables.setdefault(name, []).append(at := self._write(name, df, n))
+            if name == "chunks":
+                for d, rows in self.derived(at, n).items():
+                    tables.setdefault(d, []).append(self._write(d, rows, n))
         if gone is not None:
             tables.setdefault("gone", []).append(self._write("gone", gone.withColumn("gone_no", F.lit(n)), n))
         if drop is not None:
@@ -131,10 +235,11 @@ class Store:
             for p in paths:
                 if p not in sizes:
                     sizes[p] = fs.getContentSummary(self._path(p)).getLength()
-        made = {"commit": n, "tables": tables, "bytes": {p: sizes[p] for paths in tables.values() for p in paths}, "dropped": dropped, "old": old}
+        now = time.time()
+        waiting = {**state.get("old", {}), **dict.fromkeys(old, now)}
+        made = {"commit": n, "layout": LAYOUT, "tables": tables, "bytes": {p: sizes[p] for paths in tables.values() for p in paths}, "dropped": dropped, "old": {p: t for p, t in waiting.items() if t > now - KEPT_S}}
         self._publish(fs, n, made)
-        # Segments stay for one commit longer than they are named, for readers that are under way.
-        for p in state.get("old", ()):
+        for p in waiting.keys() - made["old"].keys():
             fs.delete(self._path(p), True)
         # The manifest before stays, for a look back; those before that are of no use.
         for f in fs.listStatus(self._path(MANIFESTS)):
@@ -160,11 +265,27 @@ class Store:
         # The commit is a partition, too. What is there already is left of a write that failed.
         # Row groups are small, so that a search of a small index keeps all cores busy.
         if name == "chunks":
-            rows = rows.sortWithinPartitions(*PARTITIONS[name], "name")
+            rows = rows.sortWithinPartitions(*PARTITIONS[name], "name").withColumn("chunk_no", F.monotonically_increasing_id())
+        if name == "postings":
+            # A term's rows stand together, in one file.
+            rows = rows.repartition(F.col("term")).sortWithinPartitions("term", "block")
         out = rows.write.mode("overwrite").option("parquet.block.size", ROW_GROUP)
+        for c in BLOOMS.get(name, ()):
+            out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
         (out.partitionBy(*keys) if keys else out).parquet(f"{self.root}/{(at := f'{name}/{COMMIT.name}={n}')}")
         return at
 
+    def derived(self, segment: str, n: int) -> dict[str, DataFrame]:
+        """What is made of a segment of chunks that has been written."""
+        rows = self.spark.read.schema(CHUNKS).option("basePath", f"{self.root}/chunks").parquet(f"{self.root}/{segment}")
+        return {"postings": postings.build(rows, "chunk_no", ("workspace_id", "language")), "rollups": stats.rolled_up(rows)}
+
+    def vacuum(self) -> None:
+        """Delete at once what is out of use; for times without readers."""
+        fs, state = self._fs(), self.current()
+        for p in state.get("old", {}):
+            fs.delete(self._path(p), True)
+
     def merged(self, name: str, state: dict, paths: Sequence[str]) -> DataFrame:
         """The rows of some segments that count: of dropped files the last commit that did, of other tables the live rows."""
         if name == "gone":

@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 KINDS = {
     "string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "timestamp": T.TimestampType(), "boolean": T.BooleanType(),
-    "strings": T.ArrayType(T.StringType()), "floats": T.ArrayType(T.FloatType()), "map": T.MapType(T.StringType(), T.StringType()),
+    "strings": T.ArrayType(T.StringType()), "floats": T.ArrayType(T.FloatType()), "longs": T.ArrayType(T.LongType()), "ints": T.ArrayType(T.IntegerType()), "map": T.MapType(T.StringType(), T.StringType()),
 }
 
 
@@ -20,6 +20,9 @@ CHUNK = struct(
     " selection_start int, selection_end int, signature string, docstring string, code string, tags strings, metadata map,"
     " embed_text string, embedding floats, words string, length int"
 )
+#: Made of each segment of chunks: the postings of its terms, and what is counted of each file, with the numbers of its chunks.
+POSTING = struct("workspace_id string, language string, term string, block long, places ints, lengths ints, times ints, positions ints")
+ROLLUP = struct("workspace_id string, language string, file_path string, functions long, classes long, methods long, symbols long, lines long, words long, numbers longs")
 FILE = struct("workspace_id string, file_path string, language string, file_hash string, size_bytes long, indexed_at timestamp")
 EDGE = struct("workspace_id string, source_symbol string, target_symbol string, symbols strings, file_path string")
 SCAN = struct("workspace_id string, files_scanned long, chunks_created long, duration_ms long, ts timestamp")

@@ -222,3 +222,104 @@ def test_drop_and_merge(spark, tmp_path, project):
     state = t.store.current()
     assert {n: len(state["tables"][n]) for n in ("chunks", "files", "deps", "scans")} == dict.fromkeys(("chunks", "files", "deps", "scans"), 1) and not state["dropped"] and not state["tables"]["gone"]
     assert t.own("chunks", "a").filter(f"file_path = '{path}'").count() == 0 and [r.name for r in t.own("chunks", "b").filter(f"file_path = '{path}'").collect()] == ["helper3"]
+
+
+def test_counts_and_search_follow_every_change(spark, tmp_path):
+    """After random additions, changes and deletions, with merges between, the files' rows equal a recount of the chunks, and a search that reads postings one that reads all chunks."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from lodestone.operators import search, stats
+
+    rng, root = random.Random(5), tmp_path / "p"
+    root.mkdir()
+    t = Tools(spark, Config(index=Index(index_path=str(tmp_path / "idx"))))
+    words = ["open", "the", "socket", "read", "line", "x_1", "Parse"]
+
+    def write(k):
+        body = "".join(f"def {rng.choice(words)}_{j}(a):\n    # {' '.join(rng.choices(words, k=rng.randint(1, 9)))}\n    return a\n" for j in range(rng.randint(1, 4)))
+        (root / f"f{k}.{rng.choice(['py', 'js']) if k % 3 == 0 else 'py'}").write_text(body)
+
+    for step in range(4):
+        for k in rng.sample(range(8), 4):
+            write(k)
+        if step:
+            for p in rng.sample(sorted(root.iterdir()), 1):
+                p.unlink()
+        t.index_project(str(root), workspace_id="w")
+        if step == 1:
+            (tmp_path / "q").mkdir()
+            (tmp_path / "q" / "other.py").write_text("def open_the_socket():\n    return 1\n")
+            t.index_project(str(tmp_path / "q"), workspace_id="v")
+        if step == 2:
+            t.store.compact()
+        plain = lambda df: sorted(map(tuple, df.collect()))
+        chunks, rollups = t.store.table("chunks"), t.store.table("rollups")
+        assert plain(stats.current_of(rollups)) == plain(stats.current(chunks))
+        assert plain(stats.per_language_of(rollups)) == plain(stats.per_language(chunks.select("workspace_id", "file_path").distinct(), chunks))
+        assert plain(stats.most_active_of(rollups)) == plain(stats.most_active(chunks))
+        docs = t.searchable().drop("embedding", "embed_text", "tags").cache()
+        for phrase in ("the socket", "open", "read line", "zzz", "x_1 x_1", "return a"):
+            for ws, language, k in ((None, None, 5), ("w", None, 3), ("w", "python", 4), ("v", "javascript", 2)):
+                want = [(r.file_path, r.symbol_name, r.id, round(r["rank"], 9), round(r.bm25_score, 9), r.place, r.code) for r in search.bm25_search(docs, {"q": phrase}, ws, language, k).orderBy("place").collect()]
+                got = [(r["file_path"], r["symbol_name"], r["id"], round(r["rank"], 9), round(r["bm25_score"], 9), r["place"], r["code"]) for r in t.store.word_search(phrase, ws, language, k)]
+                assert got == want, (phrase, ws, language)
+        docs.unpersist()
+    t.store.delete_workspace("v")
+    assert all(r["file_path"].startswith(str(root)) for r in t.store.word_search("socket", None, None, 50))
+    plan = t.store.word_hits({"q": "the socket"})._jdf.queryExecution().executedPlan().toString()
+    assert "/chunks/" not in plan and "/postings/" in plan and t.store.table("chunks").filter(F.col("workspace_id") == "v").count() == 0
+
+
+def test_many_equal_hits(spark, tmp_path, monkeypatch):
+    from lodestone.plans import store
+
+    root = tmp_path / "p"
+    root.mkdir()
+    for k in range(30):
+        (root / f"f{k:02}.py").write_text("def same():\n    return 1\n")
+    t = Tools(spark, Config(index=Index(index_path=str(tmp_path / "idx"))))
+    t.index_project(str(root), workspace_id="w")
+    want = [r["file_path"] for r in t.store.word_search("same", "w", None, 3)]
+    monkeypatch.setattr(store, "MOST_TAKEN", 5)
+    assert [r["file_path"] for r in t.store.word_search("same", "w", None, 3)] == want == [str(root.resolve() / f"f{k:02}.py") for k in range(3)]
+
+
+def test_readers_survive_a_write(spark, tmp_path, project, monkeypatch):
+    from lodestone.plans import store
+
+    t = Tools(spark, Config(index=Index(index_path=str(tmp_path / "idx"))))
+    ws = json.loads(t.index_project(str(project), format="json"))["workspace_id"]
+    held = {n: t.store.table(n) for n in ("chunks", "files", "deps", "workspaces", "rollups")}
+    before = {n: sorted(map(str, df.drop("embedding").collect())) for n, df in held.items()}
+    for k in range(3):
+        (project / "b.md").write_text(f"# New {k}\n")
+        t.index_project(str(project))
+        t.store.compact()
+    assert {n: sorted(map(str, df.drop("embedding").collect())) for n, df in held.items()} == before
+    old = list(t.store.current()["old"])
+    there = lambda p: t.store._fs().exists(t.store._path(p))
+    assert old and all(map(there, old))
+    monkeypatch.setattr(store, "KEPT_S", 0)
+    t.store.delete_files(ws, ["none"])
+    assert not any(map(there, old)) and not t.store.current()["old"]
+
+
+def test_an_index_of_another_layout_is_refused(spark, tmp_path, project):
+    t = Tools(spark, Config(index=Index(index_path=str(tmp_path / "idx"))))
+    t.index_project(str(project))
+    at = sorted((tmp_path / "idx" / "manifests").glob("*.json"))[-1]
+    at.write_text(at.read_text().replace('"layout": 3', '"layout": 2'))
+    (at.parent / f".{at.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(ValueError, match="layout"):
+        Tools(spark, t.config).store.table("chunks")
+
+
+def test_many_dropped_workspaces(spark):
+    from lodestone.operators import index
+
+    rows = spark.createDataFrame([(f"w{k}", n) for k in range(300) for n in (1, 5)], "workspace_id string, commit_no long")
+    for n in (3, 250):
+        kept = index.without_workspaces(rows, {f"w{k}": 2 for k in range(n)}).collect()
+        assert len(kept) == 600 - n and len(kept[0]) == 2

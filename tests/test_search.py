@@ -110,3 +110,66 @@ def test_nearest_meets_all_vectors(spark):
         assert [r.workspace_id for r in got if r.query_id == q and r.id == want[0][3]] == [f"w{want[0][3] % 2}"]
     assert search.nearest(df, {}, 9).count() == 0 and search.nearest(df, asked, 3, workspace="none").count() == 0
     assert search.nearest(df, {"a": asked["a"]}, 9, ("id",), "w1").filter("workspace_id = 'w0'").count() == 0
+
+
+# Postings
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from(["w1", "w2", None]), st.lists(st.sampled_from(["a", "b", "c_d", "E", "|", "é"]), max_size=9).map(" ".join), st.one_of(st.none(), st.just("b a"))), min_size=1, max_size=12), st.lists(st.sampled_from(["a", "b", "c", "d", "e"]), min_size=1, max_size=3).map(" ".join), st.sampled_from([1, 4095, 5000]))
+def test_postings_rank_as_documents_do(spark, texts, phrase, step):
+    from lodestone.operators import postings
+
+    rows = [(k * step, w, "/f b", "s", t, d, "python", []) for k, (w, t, d) in enumerate(texts)]
+    docs = search.tokenized(spark.createDataFrame(rows, SCHEMA.replace("id int", "id long")))
+    asked = {"q": phrase, "two": "a b", "none": "zz", "empty": "!"}
+    want = {(r.query_id, r.id): (r.tf, r["rank"]) for r in search.bm25(docs, asked).collect()}
+    total = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
+    found = postings.hits(postings.build(docs, keys=["workspace_id"]), asked, ["workspace_id"])
+    got = {(r.query_id, r.number): (r.tf, r["rank"]) for r in postings.bm25(found, F.lit(total.n), F.lit(total["mean"])).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in got)
+    assert {(r.number, r.workspace_id) for r in found.collect()} <= {(r[0], r[1]) for r in rows}
+
+
+def test_postings_of_blocks_in_parts(spark, monkeypatch):
+    """A block whose documents are read in several portions has several rows for a term."""
+    from lodestone.operators import postings
+
+    docs = search.tokenized(spark.createDataFrame([(k, "w", "f", "s", "to be or not to be" if k % 2 else "be to", "", "python", []) for k in range(300)], SCHEMA.replace("id int", "id long")).repartition(3))
+    monkeypatch.setattr(postings, "PORTION", 200)
+    rows = postings.build(docs).cache()
+    assert rows.filter("term = 'be'").count() > 3 and rows.select("block").distinct().count() == 1
+    assert sorted((r.number, r.tf) for r in postings.hits(rows, {"q": "to be"}).collect()) == [(k, 2) for k in range(1, 300, 2)]
+    assert postings.hits(rows.limit(0), {"q": "to"}).count() == 0 and postings.hits(rows, {}).count() == 0
+
+
+# Inverted files
+
+
+def test_lists_of_vectors(spark):
+    import numpy as np
+
+    from lodestone.operators import vectors as ivf
+
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(40, 16)) * 2
+    data = centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16)) * 0.7
+    rows = [(k, v.tolist()) for k, v in enumerate(data)] + [(5000, None), (5001, [1.0, 2.0]), (5002, [])]
+    v = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(5).cache()
+    asked = v.filter("id % 20 = 0")
+    centroids = ivf.fit(v, values=1000 * 16)
+    lists = ivf.assigned(v, centroids).cache()
+    assert lists.count() == 4003 and {r.id for r in lists.filter("list_no = -1").collect()} == {5000, 5001, 5002} and 40 <= len(centroids) <= 63
+    exact = {(r.query_id, r.place): (r.id, r.distance) for r in search.nearest_many(v.filter("size(embedding) = 16"), asked.filter("size(embedding) = 16"), 10).collect()}
+    assert {(r.query_id, r.place): (r.id, r.distance) for r in ivf.nearest_many(lists, centroids, asked, 10).collect()} == exact
+    found = {(r.query_id, r.id) for r in ivf.nearest_many(lists, centroids, asked, 10, probes=8).collect()}
+    want = {(q, i) for (q, _), (i, _) in exact.items()}
+    assert len(found & want) / len(want) >= 0.95
+    one = {"q": data[60].tolist()}
+    plain = [(r.id, r.distance) for r in search.nearest(v, one, 10).orderBy("place").collect()]
+    assert [(r.id, r.distance) for r in ivf.nearest(lists, centroids, one, 10).orderBy("place").collect()] == plain
+    few = [r.id for r in ivf.nearest(lists, centroids, one, 10, probes=6).orderBy("place").collect()]
+    assert len(set(few) & {i for i, _ in plain}) >= 9
+    assert ivf.nearest(lists, centroids, {"q": [1.0]}, 10).count() == 0
+    empty = v.limit(0)
+    assert len(ivf.fit(empty)) == 0 and ivf.assigned(empty, ivf.fit(empty)).count() == 0 and ivf.nearest_many(lists, ivf.fit(empty), asked).count() == 0
