@@ -19,12 +19,12 @@ unknown and states are uniform; other columns pass through, and input columns na
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,8 +44,12 @@ HELD = 1_000_000
 NEW = {"n_tokens": "long", "n_known": "long", "train_tokens": "long", "base_score": "double", "score": "double"}
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()  # of bytes, both are about ASCII only
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in a row, and the number of its text for each."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts).cast(pa.large_string()))
+    flat, text = pc.list_flatten(split), pc.list_parent_indices(split).to_numpy()
+    some = pc.not_equal(flat, "")  # before and after white space at the ends
+    return flat.filter(some).cast(pa.large_binary()), text[some.to_numpy(zero_copy_only=False)]
 
 
 def shape_of(word: bytes) -> int:
@@ -96,18 +100,20 @@ def counted(docs: DataFrame, text: str, done: Settled) -> DataFrame:
     """word, n over all rows; the null word is the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, texts = Counter(), 0
+        held, texts, size = [], 0, 0
 
         def told() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"word": pa.array([None, *held], pa.binary()), "n": pa.array([texts, *held.values()], pa.int64())})
+            found = pc.value_counts(pa.chunked_array(held, pa.large_binary()))
+            words, n = found.field(0).cast(pa.binary()), found.field(1)
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array([None], pa.binary()), words]), pa.concat_arrays([pa.array([texts], pa.int64()), n])], names=["word", "n"])
 
         for x in batches:
-            for t in x["body"]:
-                held.update(words_of(t.as_py()))
-                texts += 1
-            if len(held) > HELD:
+            held.append(words_of(x["body"])[0])
+            texts += x.num_rows
+            size += len(held[-1])
+            if size > 4 * HELD:
                 yield told()
-                held, texts = Counter(), 0
+                held, texts, size = [], 0, 0
         if texts:
             yield told()
 
@@ -145,19 +151,24 @@ def encoded(rows: DataFrame, body: Column, words: list[bytes], names: list[str])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols = Symbols(shared.value)
-        edge = symbols.shapes
         for x in batches:
-            ids, counts = [], []
-            for t in x["body"]:
-                own = words_of(t.as_py())
-                mine = list(map(symbols.__getitem__, own))
-                counts.append(Counter([w for w, i in zip(own, mine, strict=True) if i >= edge]))
-                mine.append(0)
-                ids.append(np.array(mine, np.int32))
-            ends = lambda parts: np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32)
-            out = [*[x[c] for c in names], pa.ListArray.from_arrays(ends(ids), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))]
-            out += [pa.ListArray.from_arrays(ends(counts), pa.array([k for c in counts for k in f(c)], kind)) for f, kind in ((dict.keys, pa.binary()), (dict.values, pa.int32()))]
-            yield pa.RecordBatch.from_arrays(out, names=[f.name for f in schema])
+            if not x.num_rows:
+                continue
+            words, text = words_of(x["body"])
+            coded = words.dictionary_encode()
+            distinct, code = coded.dictionary, coded.indices.to_numpy()
+            of = np.array(list(map(symbols.__getitem__, distinct.to_pylist())), np.int32)
+            mine = of[code] if len(code) else np.zeros(0, np.int32)
+            n = np.bincount(text, minlength=x.num_rows)
+            ends = np.cumsum(n + 1)  # with the end of each text, whose symbol is 0
+            flat = np.zeros(ends[-1], np.int32)
+            flat[np.arange(len(mine)) + text] = mine
+            other = mine >= symbols.shapes
+            pair, times = np.unique(text[other].astype(np.int64) * max(len(distinct), 1) + code[other], return_counts=True)
+            own = np.searchsorted(pair // max(len(distinct), 1), np.arange(x.num_rows + 1)).astype(np.int32)
+            others = distinct.take(pa.array(pair % max(len(distinct), 1))).cast(pa.binary())
+            out = [pa.ListArray.from_arrays(np.r_[0, ends].astype(np.int32), pa.array(flat)), pa.ListArray.from_arrays(own, others), pa.ListArray.from_arrays(own, pa.array(times.astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays([*[x[c] for c in names], *out], names=[f.name for f in schema])
 
     return rows.mapInArrow(run, schema)
 
