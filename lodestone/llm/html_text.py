@@ -5,9 +5,10 @@ A page is stripped of its markup to lines, one for each block of text. A line we
 behind the last such line; what lies between is the main text, lines of links and short ones included. At both ends it reaches on over the lines of the container that the
 surging line is in, but not back over a heading that opens it.
 
-Markup that names boilerplate takes lines out of the distribution: menus, headers, footers, sidebars and what isn't shown, by their elements and roles; forms, dialogs and
-containers whose class or id says nothing but what boilerplate is called (``cookie-notice``, not ``has-sidebar``), unless they wrap the main text: outside there is no text to
-speak of, or, comments aside, inside is more than four fifths of it in several lines. A class or id that only mentions such a name divides the weights of its lines by four, with the
+Markup that names boilerplate takes lines out of the distribution: menus, headers, footers, sidebars and what isn't shown, by their elements and roles (but a pull quote inside an
+article); forms, dialogs and containers whose class or id says nothing but what boilerplate is called (``cookie-notice`` or ``adbox``, not ``has-sidebar``), and those that begin with a
+heading such as ``Comments`` or ``Related posts``, unless they wrap the main text: outside there is no text to speak of, or, comments aside, inside is more than four fifths of it in
+several lines. Inline elements are out only where they are called adverts. A notice of copyright after the last other line outside an article is out as well. A class or id that only mentions such a name divides the weights of its lines by four, with the
 same exception, and no more.
 
 Defined cases: null html counts as empty and gives an empty text; broken markup is read leniently (an unclosed tag ends with the page, a stray
@@ -52,14 +53,22 @@ BLOCKS = frozenset(
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner popup modal overlay cookie cookies consent gdpr notice notices alert"
     " newsletter subscribe subscription signup login sidebar aside nav navbar navigation menu breadcrumb breadcrumbs pager pagination header masthead footer copyright"
-    " comment comments respond disqus replies reply share sharing social related recommended widget toolbar".split()
+    " comment comments respond disqus replies reply share sharing social related recommended widget toolbar cc adsbygoogle".split()
 )
+#: Those of them that are adverts.
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising adsense adsbygoogle sponsor sponsored promo promotion".split())
+#: What an aside is called that quotes the text around it.
+QUOTES = frozenset("quote pullquote pull quotation blockquote".split())
+#: Headings of readers' comments and of links to other texts.
+HEADED = re.compile(r"(?:\d+ +)?(?:reader |user |visitor |all )?(?:comments?|responses|repl(?:y|ies)|discussion)(?: *[(\d][\d)]*)?|(?:leave|post|write|add) an? (?:comment|reply|response)|join the (?:discussion|conversation)|related (?:articles?|posts?|stor(?:y|ies)|content|reading|links)|you (?:may|might) also (?:like|enjoy)|share this(?: \w+)?|sponsored(?: content)?|advertisements?", re.I)
+RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b).*", re.I | re.S)
 #: Those of them that are readers' comments.
 COMMENTS = frozenset("comment comments respond disqus replies reply".split())
 #: What stands beside such a name in a class that says nothing else.
 FILL = frozenset(
-    "area article articles bar block box bottom button buttons container content entry field fields footer form global group holder icon icons inner item items layer left link links list main message"
-    " module outer page pane panel post posts primary region right row secondary section site slot space story stories text thread title top unit wrap wrapper zone".split()
+    "area article articles bar block body box bottom button buttons card cards container content entry feed field fields footer form global google group holder icon icons inline inner item items layer"
+    " left link links list main message mid middle module outer page pane panel post posts primary reader readers region right row secondary section site slot space story stories text thread title top unit"
+    " user users window wrap wrapper zone".split()
 )
 #: A header of these holds a title.
 TITLED = frozenset("article content entry post story".split())
@@ -67,6 +76,7 @@ TITLED = frozenset("article content entry post story".split())
 CLOSES = {"li": ("li",), "p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
+LEVELS = frozenset(f"h{k}" for k in range(1, 7))
 #: Elements that hold blocks of one text.
 CONTAINERS = frozenset("article aside body details dialog div dd fieldset figure footer form header li main menu nav section table td".split())
 ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
@@ -126,8 +136,23 @@ def attributes(said: str) -> dict[str, str]:
 FREE, HARD, CLEAR, REMARK, VAGUE = range(5)
 
 
+def parts_of(token: str) -> list[str]:
+    """The words of a class name or id; one that is put together of a name and what stands beside names is two."""
+    out = []
+    for w in re.split(r"[_\-:.]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", token).lower()):
+        w = re.sub(r"\d+$", "", w)
+        if w and w not in NAMES and w not in FILL:
+            two = next(((w[:k], w[k:]) for k in range(2, len(w) - 2) if w[:k] in NAMES and (w[k:] in FILL or w[k:] in NAMES)), None)
+            out += two or [w]
+        elif w:
+            out.append(w)
+    return out
+
+
 def said_of(name: str, said: str, in_article: bool) -> int:
     """HARD: boilerplate; CLEAR and REMARK (comments): boilerplate but for a wrapper; VAGUE: doubtful; FREE: nothing."""
+    if name == "aside" and in_article and QUOTES.intersection(re.findall(r"[a-z]+", attributes(said).get("class", "").lower())):
+        return FREE
     if name in BOILER or name in RAW or (name == "header" and not in_article):
         return HARD
     found = CLEAR if name in WRAPS else FREE
@@ -139,11 +164,13 @@ def said_of(name: str, said: str, in_article: bool) -> int:
         return HARD
     if role in WRAP_ROLES:
         found = CLEAR
-    if name not in BLOCKS:
-        return found
     for token in f"{a.get('class', '')} {a.get('id', '')}".split():
-        words = [w for w in (re.sub(r"\d+$", "", w) for w in re.split(r"[_\-:.]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", token).lower())) if w]
+        words = parts_of(token)
         names = NAMES.intersection(words)
+        if name not in BLOCKS:
+            if names & ADVERTS and all(w in FILL or w in NAMES for w in words):
+                return HARD
+            continue
         # A header inside an article, such as ``post-header``, holds its title.
         if "header" in names and (in_article or TITLED.intersection(words)):
             names -= {"header"}
@@ -159,14 +186,15 @@ def said_of(name: str, said: str, in_article: bool) -> int:
 
 
 class Line(NamedTuple):
-    """A block of text: its characters outside links, whether it is boilerplate for certain, in ``article`` or ``main``, or a heading, the innermost of the nodes (containers
-    that say something) it is in, and the lines from ``top`` to before ``end`` of its container."""
+    """A block of text: its characters outside links, whether it is boilerplate for certain, in ``article`` or ``main``, or a heading of the first two or of any level, the innermost of
+    the nodes (containers that say something) it is in, and the lines from ``top`` to before ``end`` of its container."""
 
     text: str
     plain: int
     hard: bool
     marked: bool
     heading: bool
+    headed: bool
     node: int
     top: int
     end: int
@@ -179,20 +207,20 @@ def lines_of(page: str) -> tuple[list[Line], list[tuple[int, int]]]:
     stack: list[tuple[str, int, bool, int, int]] = []  # name, what it says, main, its node or the one around it, place of its container
     parts: list[str] = []
     linked = links = mute = hard = main = 0
-    heading = False
+    heading = headed = False
     opened: Counter[str] = Counter()  # of the stack, so that it isn't searched in vain
     spans: list[list[int]] = [[0, -1]]  # lines of the containers; the first is the page
 
     def close_line() -> None:
-        nonlocal linked, heading
+        nonlocal linked, heading, headed
         # References are decoded after joining: markup can't be inside one, but a stray < may cut a text in two.
         if parts:
             text = WHITE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
                 node, span = (stack[-1][3], stack[-1][4]) if stack else (-1, 0)
-                out.append([text, max(0, len(text) - linked), hard > 0, main > 0, heading, node, span])
+                out.append([text, max(0, len(text) - linked), hard > 0, main > 0, heading, headed, node, span])
             parts.clear()
-        linked, heading = 0, False
+        linked, heading, headed = 0, False, False
 
     def pop() -> None:
         nonlocal hard, main, links, mute
@@ -232,7 +260,7 @@ def lines_of(page: str) -> tuple[list[Line], list[tuple[int, int]]]:
                         break
                     if stack[k][0] in BLOCKS and stack[k][0] not in ("td", "th"):
                         break
-            heading = heading or name in ("h1", "h2")
+            heading, headed = heading or name in ("h1", "h2"), headed or name in LEVELS
             says, inside = said_of(name, said, main > 0), name in ("article", "main")
             node, span = (stack[-1][3], stack[-1][4]) if stack else (-1, 0)
             if says > HARD:
@@ -258,7 +286,7 @@ def lines_of(page: str) -> tuple[list[Line], list[tuple[int, int]]]:
                     break  # an inline end tag closes nothing outside its block
     close_line()
     size = len(out)
-    return [Line(*x[:6], spans[x[6]][0], spans[x[6]][1] if spans[x[6]][1] >= 0 else size) for x in out], nodes
+    return [Line(*x[:7], spans[x[7]][0], spans[x[7]][1] if spans[x[7]][1] >= 0 else size) for x in out], nodes
 
 
 def wrappers(lines: list[Line], nodes: list[tuple[int, int]]) -> list[bool]:
@@ -305,6 +333,7 @@ def weighed(lines: list[Line], nodes: list[tuple[int, int]]) -> list[float | Non
         out_of[k] = (says in (CLEAR, REMARK) and not wraps[k]) or (around >= 0 and out_of[around])
         doubt[k] = (says == VAGUE and not wraps[k]) or (around >= 0 and doubt[around])
     plain = [None if x.hard or (x.node >= 0 and out_of[x.node]) else x.plain / (DOUBT if x.node >= 0 and doubt[x.node] else 1) for x in lines]
+    beside(lines, plain)
     out: list[float | None] = []
     for k, (x, w) in enumerate(zip(lines, plain, strict=True)):
         above = x.heading and any(y is not None and y >= START for y in plain[k + 1 : k + 3])
@@ -312,6 +341,23 @@ def weighed(lines: list[Line], nodes: list[tuple[int, int]]) -> list[float | Non
     return out
 
 
+def beside(lines: list[Line], plain: list[float | None]) -> None:
+    """Take out containers that begin with a heading of comments or links, unless most of the text is in one, and a notice of copyright at the end."""
+    total = sum(w or 0 for w in plain)
+    for k, x in enumerate(lines):
+        # The page itself and what the article is in begin with it only if there is nothing before.
+        if x.headed and plain[k] is not None and HEADED.fullmatch(x.text.strip(" :.")) and x.top == k and x.end - x.top < len(lines):
+            inside = range(x.top, x.end)
+            size = sum(plain[j] or 0 for j in inside)
+            # Texts have sections of discussion, but none of comments.
+            if total - size >= SURGE if "comment" in x.text.lower() else 2 * size < total:
+                for j in inside:
+                    plain[j] = None
+    there = [k for k, w in enumerate(plain) if w is not None]
+    if len(there) > 1 and not lines[there[-1]].marked and RIGHTS.fullmatch(lines[there[-1]].text):
+        plain[there[-1]] = None
+
+
 def main_lines(lines: list[Line], weights: list[float | None]) -> list[int]:
     """Positions of the lines of the main text: from its first surge to its last dive, less boilerplate."""
     heavy = [w or 0 for w in weights]

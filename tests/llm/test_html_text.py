@@ -90,6 +90,17 @@ def test_line_blocks(page, text):
     assert ht.extract(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    *[(f"<article>{BODY}<div class={c}><p>{PARA}</p></div><p>End.</p></article>", f"{TEXT}\nEnd.") for c in ("promo-card", "google-ad", "adbox", "reader-comments", "cc-window", "newsletterBox", "socialbar")],
+    (f"<article>{BODY}</article><ol class=commentlist><li>{PARA}</ol>", TEXT), (f"<article>{BODY}</article><section id=discussion><h2>Comments</h2><p>{PARA}</p></section>", TEXT), (f"<div>{BODY}</div><section><h3>12 Comments:</h3><p>{PARA}</p><p>{PARA}</p></section>", TEXT),
+    (f"<div class=cc-window><p>{PARA}</p></div><article>{BODY}</article>", TEXT), (f"<div>{BODY}</div><p>© 2024 Some Company with a long name and a long list of rights that are all reserved.</p>", TEXT), (f"<article>{BODY}<p>© 2024 stays inside an article.</p></article>", f"{TEXT}\n© 2024 stays inside an article."),
+    (f"<article>{BODY}<p>One <span class=ad>Buy now</span> two</p></article>", f"{TEXT}\nOne two"), (f"<article>{BODY}<aside class=pullquote><p>Quoted.</p></aside><aside>no</aside></article>", f"{TEXT}\nQuoted."), (f"<article>{BODY}<div><h4>Related posts</h4><a href=x>Story</a></div></article>", TEXT),
+    (f"<article><h1>Discussion</h1><p>{PARA}</p></article>", f"Discussion\n{PARA}"), (f"<article><h1>T</h1><section><h2>Discussion</h2><p>{PARA}</p><p>{PARA}</p></section><p>Short.</p></article>", f"T\nDiscussion\n{PARA}\n{PARA}\nShort."), (f"<article>{BODY}<div class=adherence>{PARA}</div></article>", f"{TEXT}\n{PARA}"),
+])
+def test_adverts_comments_and_notices(page, text):
+    assert ht.extract(page) == text
+
+
 def by_hand(weights, tops, ends, headings):
     """The rule of windows, surge and dive, without sums kept."""
     heavy = [0 if w is None else w for w in weights]
