@@ -1,10 +1,11 @@
 """Dependency graphs: adjacency, breadth-first search, cycles. One join per level; what is found is written between levels. Cycles of any
-length are found in Python, where one task holds the cyclic core of a workspace."""
+length are found in Python, where a task holds a strongly connected component."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections import defaultdict, deque
 from collections.abc import Iterable
 
@@ -28,6 +29,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Steps:
+    """Tables between the steps of a loop, written to the shared folder. Unlike a checkpoint, a table read from files has its own size: estimates of joins of joins would
+    grow in each step. ``end`` writes the result and deletes the others."""
+
+    def __init__(self, df: DataFrame):
+        cut(df.limit(0))  # sets the folder
+        self.spark, self.n = df.sparkSession, 0
+        self.base = f"{self.spark.sparkContext.getCheckpointDir()}/steps-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame, name: str | None = None) -> DataFrame:
+        self.n += 1
+        df.write.parquet(path := f"{self.base}/{name or self.n}")
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def end(self, df: DataFrame) -> DataFrame:
+        out = self.keep(df, "result")
+        for k in range(1, self.n):
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{k}")
+            at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        return out
+
+
 def adjacency(edges: DataFrame, reverse: bool = False) -> DataFrame:
     """symbol and the sorted symbols it leads to (or comes from, reversed)."""
     a, b = ("target_symbol", "source_symbol") if reverse else ("source_symbol", "target_symbol")
@@ -54,20 +77,7 @@ def breadth_first(edges: DataFrame, entries: DataFrame, max_depth: int | None =
     return seen
 
 
-def cyclic_core(edges: DataFrame) -> DataFrame:
-    """Edges that remain when symbols without incoming or outgoing edges are peeled off again and again; every cycle is among them."""
-    left = cut(edges.select("workspace_id", F.col("source_symbol").alias("a"), F.col("target_symbol").alias("b")).distinct())
-    count = left.count()
-    while count:
-        into, out = left.select("workspace_id", F.col("b").alias("a")).distinct(), left.select("workspace_id", F.col("a").alias("b")).distinct()
-        left = cut(left.join(into, ["workspace_id", "a"], "left_semi").join(out, ["workspace_id", "b"], "left_semi").select("workspace_id", "a", "b"))
-        count, before = left.count(), count
-        if count == before:
-            break
-    return left
-
-
-#: Edges of a core for each part that its symbols are searched in.
+#: Edges of a component for each part that its symbols are searched in.
 PART = 1_000
 
 
@@ -102,19 +112,22 @@ def shortest_cycles(pairs: Iterable[tuple[str, str]], wanted: set[str] | None =
 def cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
     """workspace_id and path, closed, from its smallest symbol, of cycles of any length: for each edge on a cycle the shortest one through it, each
     once, so every symbol and edge on a cycle is in one. With ``max_length``, all simple cycles of up to so many symbols instead."""
-    core = cyclic_core(edges)
+    from . import components
+
+    core = cut(components.on_cycles(edges, components.components(edges)))
     if max_length is not None:
-        return simple_cycles(core, max_length)
-    parts = min(core.sparkSession.sparkContext.defaultParallelism, 1 + core.count() // PART)
+        return simple_cycles(core.drop("component"), max_length)
+    most = core.sparkSession.sparkContext.defaultParallelism
+    sizes = core.groupBy("workspace_id", "component").agg(F.least(F.lit(most), F.lit(1) + F.floor(F.count(F.lit(1)) / PART)).cast("int").alias("parts"))
 
     def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         pairs = list(zip(x["a"], x["b"], strict=True))
         names = sorted({b for _, b in pairs})
-        return pd.DataFrame([(key[0], list(c)) for c in shortest_cycles(pairs, set(names[key[1] :: parts]))], columns=["workspace_id", "path"])
+        return pd.DataFrame([(key[0], list(c)) for c in shortest_cycles(pairs, set(names[key[2] :: int(x["parts"].iloc[0])]))], columns=["workspace_id", "path"])
 
-    # Each part holds the whole core of a workspace and searches from its share of the symbols.
-    dealt = core.withColumn("part", F.explode(F.array(*[F.lit(k) for k in range(parts)])))
-    return dealt.groupBy("workspace_id", "part").applyInPandas(run, "workspace_id string, path array<string>").distinct()
+    # A cycle stays inside its component. Each part holds a component and searches from its share of the symbols.
+    dealt = core.join(sizes, ["workspace_id", "component"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.groupBy("workspace_id", "component", "part").applyInPandas(run, "workspace_id string, path array<string>").distinct()
 
 
 def simple_cycles(core: DataFrame, max_length: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import EXCLUDES, EXTENSIONS
 from ..functions import imports, paths, tags, text
-from ..operators import graph, index, postings, search, stats, symbols, vectors
+from ..operators import components, graph, index, postings, search, stats, symbols, vectors
 from ..sources import tree, workspaces
 from ..streaming import debounce as bounce
 from . import corpus
@@ -693,6 +693,18 @@ def graph_breadth_first(spark, d):
     return graph.breadth_first(corpus.sparse(spark, d), entries, 12)
 
 
+@query(
+    "graph_components",
+    """WITH RECURSIVE """ + with_sql("sparse")[5:] + """, r AS (SELECT source_symbol AS a, target_symbol AS b FROM sparse UNION SELECT r.a, s.target_symbol FROM r JOIN sparse s ON s.source_symbol = r.b),
+n AS (SELECT source_symbol AS symbol FROM sparse UNION SELECT target_symbol FROM sparse),
+c AS (SELECT n.symbol, least(n.symbol, coalesce(min(x.b), n.symbol)) AS component FROM n LEFT JOIN (SELECT r.a, r.b FROM r JOIN r q ON q.a = r.b AND q.b = r.a) x ON x.a = n.symbol GROUP BY n.symbol)
+SELECT 'w' AS workspace_id, symbol, component, count(*) OVER (PARTITION BY component) AS size FROM c""",
+)
+def graph_components(spark, d):
+    """By tables of edges, as for a workspace that no task holds."""
+    return components.components(corpus.sparse(spark, d), small=0)
+
+
 @query(
     "graph_cycles",
     """WITH RECURSIVE """ + with_sql("sparse")[5:] + """, p AS (SELECT [source_symbol] AS path, target_symbol AS tip FROM sparse WHERE target_symbol >= source_symbol

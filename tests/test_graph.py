@@ -48,6 +48,67 @@ def test_every_edge_on_a_cycle_is_reported(spark, monkeypatch):
     assert all(p[0] == p[-1] == min(p) and len(set(p)) == len(p) - 1 and s <= pairs for p, s in zip(paths, steps, strict=True))
 
 
+def brute_components(pairs):
+    reach = {x: {x} for p in pairs for x in p}
+    while True:
+        more = {a: to | {b for x, b in pairs if x in to} for a, to in reach.items()}
+        if more == reach:
+            return {a: min(b for b in to if a in reach[b]) for a, to in reach.items()}
+        reach = more
+
+
+@pytest.mark.parametrize("n, m", [(30, 34), (60, 66)])
+def test_components_equal_brute_force(spark, n, m):
+    """By tasks and by tables: random graphs with self-loops, chains and rings beside each other."""
+    from lodestone.operators import components
+
+    rng = random.Random(n)
+    pairs = {(f"s{rng.randrange(n):02}", f"s{rng.randrange(n):02}") for _ in range(m)}
+    pairs |= {(f"r{k}", f"r{(k + 1) % 7}") for k in range(7)} | {(f"p{k}", f"p{k + 1}") for k in range(9)} | {("p9", "s00"), ("s00", "q0"), ("q0", "q1"), ("q1", "s00"), ("x", "x"), ("a", "b"), ("b", "a")}
+    want = brute_components(pairs)
+    e = edges(spark, *(f"{a}>{b}" for a, b in pairs))
+    sizes = {c: list(want.values()).count(c) for c in want.values()}
+    for small in (0, 1000):
+        got = components.components(e, small).collect()
+        assert {r.symbol: r.component for r in got} == want and len(got) == len(want) and all(r.size == sizes[r.component] for r in got)
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    from lodestone.operators import components
+
+    rounds = []
+    real = components.Steps.keep
+    monkeypatch.setattr(components.Steps, "keep", lambda *a: rounds.append(1) or real(*a))
+    n = 5000
+    pairs = [("w", f"c{k:05}", f"c{k + 1:05}") for k in range(n)] + [("w", f"c{n:05}", "d0"), ("w", "d0", "d1"), ("w", "d1", f"c{n:05}")]
+    got = components.components(spark.createDataFrame(pairs, EDGE), 0).filter("size > 1").collect()
+    assert {(r.symbol, r.component, r.size) for r in got} == {(s, f"c{n:05}", 3) for s in (f"c{n:05}", "d0", "d1")} and len(rounds) < 60
+
+
+def test_bins(spark):
+    from pyspark.sql import functions as F
+
+    ranges = spark.createDataFrame([(a, b) for a in range(0, 40) for b in range(a - 1, 44)] + [(1, 2_000_000_000)], "a int, b int")
+    rows = ranges.select("a", "b", symbols.bins_of_range(F.col("a"), F.col("b")).alias("bins")).collect()
+    for r in rows[:-1]:
+        lines = [n for x in r.bins for n in range(x.n << x.size, (x.n + 1) << x.size)]
+        assert sorted(lines) == list(range(r.a, r.b + 1)) and len(r.bins) <= 2 * max(1, (r.b - r.a + 1).bit_length())
+    assert 1 <= len(rows[-1].bins) <= 62
+
+
+def test_containment_in_a_large_file(spark):
+    """200,000 symbols of one file: pairs of classes and methods, and symbols around lines, without meeting all with all."""
+    from pyspark.sql import functions as F
+
+    k = spark.range(200_000)
+    chunks = k.select(F.lit("w").alias("workspace_id"), F.when(F.col("id") % 4 == 0, "class").otherwise("method").alias("type"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"), F.lit("p").alias("package"), F.lit("/f").alias("file_path"), (F.col("id") * 3 + 1).cast("int").alias("start_line"), F.when(F.col("id") % 4 == 0, F.col("id") * 3 + 12).otherwise(F.col("id") * 3 + 3).cast("int").alias("end_line"))
+    found = symbols.with_methods(chunks.filter("type = 'class'"), chunks)
+    assert found.agg(F.count("*"), F.min(F.size("methods")), F.max(F.size("methods"))).first() == (50_000, 3, 3)
+    points = k.select(F.lit("w").alias("workspace_id"), F.lit("/f").alias("file_path"), (F.col("id") * 3 + 2).cast("int").alias("line"))
+    got = symbols.enclosing(chunks, points)
+    assert got.count() == 350_000 and got.filter("depth = 1 AND type = 'class'").count() == 50_000
+
+
 def test_no_edges(spark):
     none = spark.createDataFrame([], EDGE)
     assert graph.cycles(none).count() == 0 and stats.graph_summary(none).count() == 0 and graph.adjacency(none).count() == 0
