@@ -57,7 +57,9 @@ MOST_ERRORS = 1000
 MOST_TAKEN = 4096
 #: Bytes of a row group.
 ROW_GROUP = 8 << 20
-#: Columns with Bloom filters.
+#: Columns with Bloom filters, a filter's bytes in a row group at most, and the chunks of a new segment, or the bytes of merged ones, beyond which there are filters: small
+#: segments would be nothing else.
+BLOOM_BYTES, FILTERED, FILTERED_BYTES = 1 << 16, 20_000, 1 << 22
 BLOOMS = {"chunks": ("name", "file_path"), "postings": ("term",)}
 PARTITIONS = {"chunks": ["workspace_id", "language"], "deps": ["workspace_id"]}
 
@@ -201,7 +203,7 @@ class Store:
                 out.append(r.asDict() | {"tf": hit["tf"], "own_length": hit["length"]})
         return out
 
-    def commit(self, append: dict[str, DataFrame] | None = None, replace: dict[str, DataFrame] | None = None, gone: DataFrame | None = None, drop: str | None = None, merge: dict[str, list[str]] | None = None) -> None:
+    def commit(self, append: dict[str, DataFrame] | None = None, replace: dict[str, DataFrame] | None = None, gone: DataFrame | None = None, drop: str | None = None, merge: dict[str, list[str]] | None = None, filters: bool = False) -> None:
         """One step of the index: segments appended, tables replaced, rows of files or of a workspace dropped, segments of a table merged. It holds once its manifest is there;
         there is one writer at a time, and a second one fails."""
         state = self.current()
@@ -216,10 +218,11 @@ class Store:
                 tables[t] = [p for p in tables.get(t, ()) if p not in old]
         fresh = {**(append or {}), **(replace or {}), **{name: self.merged(name, state, paths) for name, paths in merge.items()}}
         for name, df in fresh.items():
-            tables.setdefault(name, []).append(at := self._write(name, df, n))
+            own = filters or sum(sizes[p] for p in merge.get(name, ())) > FILTERED_BYTES
+            tables.setdefault(name, []).append(at := self._write(name, df, n, own))
             if name == "chunks":
                 for d, rows in self.derived(at, n).items():
-                    tables.setdefault(d, []).append(self._write(d, rows, n))
+                    tables.setdefault(d, []).append(self._write(d, rows, n, own))
         if gone is not None:
             tables.setdefault("gone", []).append(self._write("gone", gone.withColumn("gone_no", F.lit(n)), n))
         if drop is not None:
@@ -256,7 +259,7 @@ class Store:
             fs.delete(draft, False)
             raise RuntimeError(f"commit {n} of {self.root} was not taken: there is another one of this number, or the rename failed")
 
-    def _write(self, name: str, df: DataFrame, n: int) -> str:
+    def _write(self, name: str, df: DataFrame, n: int, filters: bool = False) -> str:
         form = GONE if name == "gone" else TABLES[name]
         rows = df.select(*[F.col(f.name).cast(f.dataType) for f in form.fields if f.name != COMMIT.name])
         if keys := PARTITIONS.get(name):
@@ -270,8 +273,8 @@ class Store:
             # A term's rows stand together, in one file.
             rows = rows.repartition(F.col("term")).sortWithinPartitions("term", "block")
         out = rows.write.mode("overwrite").option("parquet.block.size", ROW_GROUP)
-        for c in BLOOMS.get(name, ()):
-            out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        for c in BLOOMS.get(name, ()) if filters else ():
+            out = out.option(f"parquet.bloom.filter.enabled#{c}", "true").option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.bloom.filter.max.bytes", BLOOM_BYTES)
         (out.partitionBy(*keys) if keys else out).parquet(f"{self.root}/{(at := f'{name}/{COMMIT.name}={n}')}")
         return at
 
@@ -374,7 +377,7 @@ class Store:
             if record:
                 scan = (workspace, report["files_scanned"], report["total_chunks"], report["duration_ms"])
                 add["scans"] = self.spark.createDataFrame([scan], "workspace_id string, files_scanned long, chunks_created long, duration_ms long").withColumn("ts", now)
-            self.commit(append=add, gone=touched)
+            self.commit(append=add, gone=touched, filters=report["total_chunks"] > FILTERED)
             self.compact(MOST_SEGMENTS)
         finally:
             for x in (new, parsed, fresh, answers):

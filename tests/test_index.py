@@ -241,7 +241,7 @@ def test_counts_and_search_follow_every_change(spark, tmp_path):
         body = "".join(f"def {rng.choice(words)}_{j}(a):\n    # {' '.join(rng.choices(words, k=rng.randint(1, 9)))}\n    return a\n" for j in range(rng.randint(1, 4)))
         (root / f"f{k}.{rng.choice(['py', 'js']) if k % 3 == 0 else 'py'}").write_text(body)
 
-    for step in range(4):
+    for step in range(3):
         for k in rng.sample(range(8), 4):
             write(k)
         if step:
@@ -252,7 +252,7 @@ def test_counts_and_search_follow_every_change(spark, tmp_path):
             (tmp_path / "q").mkdir()
             (tmp_path / "q" / "other.py").write_text("def open_the_socket():\n    return 1\n")
             t.index_project(str(tmp_path / "q"), workspace_id="v")
-        if step == 2:
+        if step == 1:
             t.store.compact()
         plain = lambda df: sorted(map(tuple, df.collect()))
         chunks, rollups = t.store.table("chunks"), t.store.table("rollups")
@@ -260,7 +260,7 @@ def test_counts_and_search_follow_every_change(spark, tmp_path):
         assert plain(stats.per_language_of(rollups)) == plain(stats.per_language(chunks.select("workspace_id", "file_path").distinct(), chunks))
         assert plain(stats.most_active_of(rollups)) == plain(stats.most_active(chunks))
         docs = t.searchable().drop("embedding", "embed_text", "tags").cache()
-        for phrase in ("the socket", "open", "read line", "zzz", "x_1 x_1", "return a"):
+        for phrase in ("the socket", "open", "zzz", "return a"):
             for ws, language, k in ((None, None, 5), ("w", None, 3), ("w", "python", 4), ("v", "javascript", 2)):
                 want = [(r.file_path, r.symbol_name, r.id, round(r["rank"], 9), round(r.bm25_score, 9), r.place, r.code) for r in search.bm25_search(docs, {"q": phrase}, ws, language, k).orderBy("place").collect()]
                 got = [(r["file_path"], r["symbol_name"], r["id"], round(r["rank"], 9), round(r["bm25_score"], 9), r["place"], r["code"]) for r in t.store.word_search(phrase, ws, language, k)]
@@ -268,8 +268,8 @@ def test_counts_and_search_follow_every_change(spark, tmp_path):
         docs.unpersist()
     t.store.delete_workspace("v")
     assert all(r["file_path"].startswith(str(root)) for r in t.store.word_search("socket", None, None, 50))
-    plan = t.store.word_hits({"q": "the socket"})._jdf.queryExecution().executedPlan().toString()
-    assert "/chunks/" not in plan and "/postings/" in plan and t.store.table("chunks").filter(F.col("workspace_id") == "v").count() == 0
+    read = t.store.word_hits({"q": "the socket"}).inputFiles()
+    assert not any("/chunks/" in f for f in read) and any("/postings/" in f for f in read) and t.store.table("chunks").filter(F.col("workspace_id") == "v").count() == 0
 
 
 def test_many_equal_hits(spark, tmp_path, monkeypatch):
