@@ -173,3 +173,25 @@ def test_lists_of_vectors(spark):
     assert ivf.nearest(lists, centroids, {"q": [1.0]}, 10).count() == 0
     empty = v.limit(0)
     assert len(ivf.fit(empty)) == 0 and ivf.assigned(empty, ivf.fit(empty)).count() == 0 and ivf.nearest_many(lists, ivf.fit(empty), asked).count() == 0
+
+
+@pytest.mark.parametrize("phrase, k", [("process", 3), ("process data", 2), ("workspace", 10), ("nothing", 5)])
+def test_hybrid_equals_brute_force(spark, docs, phrase, k):
+    """Ranks by SQLite, distances one by one, both lists cut to 2k and put together in plain Python."""
+    import random
+
+    rng = random.Random(len(phrase))
+    vectors = {r[0]: [float(rng.randrange(-4, 5)) / 4 for _ in range(6)] for r in ROWS}
+    query = [0.5, -0.25, 0.0, 1.0, 0.25, -1.0]
+    v = spark.createDataFrame(ROWS, SCHEMA).join(spark.createDataFrame(list(vectors.items()), "id int, embedding array<float>"), "id")
+    got = [(r.file_path, r.symbol_name, round(r.bm25_score, 6), round(r.vector_score, 6), round(r.hybrid_score, 6)) for r in search.hybrid_search(docs, v, {"q": phrase}, {"q": query}, k).orderBy("place").collect()]
+    by_id = {r[0]: r for r in ROWS}
+    ranks = sorted((rank, by_id[i][2], by_id[i][3], i) for i, rank in sqlite_ranks(ROWS, phrase).items())[: 2 * k]
+    span = (ranks[-1][0] - ranks[0][0] or 1.0) if ranks else 1.0
+    words = {i: 1 - (rank - ranks[0][0]) / span for rank, _, _, i in ranks}
+    near = sorted((sum((a - b) ** 2 for a, b in zip(vectors[i], query, strict=True)), r[2], r[3], i) for i, r in by_id.items())[: 2 * k]
+    scores = {i: 1 - d for d, _, _, i in near}
+    last, at, to = 99, [x[3] for x in ranks], [x[3] for x in near]
+    place = lambda i, x: x.index(i) if i in x else last
+    order = sorted(words.keys() | scores.keys(), key=lambda i: (-(0.6 * scores.get(i, 0) + 0.4 * words.get(i, 0)), place(i, at), place(i, to), by_id[i][2]))[:k]
+    assert got == [(by_id[i][2], by_id[i][3], round(words.get(i, 0.0), 6), round(scores.get(i, 0.0), 6), round(0.6 * scores.get(i, 0) + 0.4 * words.get(i, 0), 6)) for i in order]
