@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import render
 from .config import Config
-from .operators import embed, graph, search, stats, symbols
+from .operators import embed, graph, links, search, stats, symbols
 from .plans.store import Store
 from .streaming.watch import Watchers
 
@@ -147,7 +147,11 @@ class Tools:
             raise ValueError(f"direction is callers or targets, not {direction!r}")
         asked = self.spark.range(1).select(F.lit(workspace_id).alias("workspace_id"), F.lit(symbol_name).alias("symbol"))
         side, given = (symbols.callers, "source_symbol") if direction == "callers" else (symbols.targets, "target_symbol")
-        rows = [{given: r[given], "file_path": r.file_path} for r in side(self.store.table("deps").drop("file_path"), self.store.table("chunks"), asked).orderBy(given, "file_path").collect()]
+        chunks = self.store.table("chunks")
+        named = side(self.store.table("deps").drop("file_path"), chunks, asked).select(given, "file_path")
+        # Beside the edges from files to what they import: symbols that use each other by their imports.
+        used = (links.callers if direction == "callers" else links.targets)(self.store.table("uses"), chunks, workspace_id, symbol_name).select(given, "file_path")
+        rows = [{given: r[given], "file_path": r.file_path} for r in named.union(used).distinct().orderBy(given, "file_path").collect()]
         if output_format == "json":
             return dumped({"symbol": symbol_name, "direction": direction, "results": rows})
         if not rows:

@@ -159,14 +159,28 @@ NO_TYPE = frozenset("await return new throw else in is as yield case when using
 NO_NAME = frozenset("if for foreach while switch catch lock using return".split())
 
 
+def around(owners: list[tuple[int, int, str]], lines: list[int]) -> list[dict[str, str]]:
+    """For each of the lines, which ascend, the name of the innermost of the nested types (first line, last line, name; in order) that holds it."""
+    out, held, k = [], [], 0
+    for line in lines:
+        while k < len(owners) and owners[k][0] <= line:
+            held.append(owners[k])
+            k += 1
+        while held and held[-1][1] < line:
+            held.pop()
+        out.append({"class_name": held[-1][2]} if held else {})
+    return out
+
+
 def csharp_symbols(source: str, package: str) -> list[Symbol]:
-    """Types (their kind in the metadata), then methods."""
+    """Types (their kind in the metadata), then methods (with the innermost type around each)."""
     scan = Scanned(source, "\"'")
     named = CSHARP_SPACE.search(source)
     package = named[1] if named else package
     types = [scan.symbol(m, "class", m["name"], package, f"{m['kind']} {m['name']}", class_kind=m["kind"]) for m in CSHARP_TYPE.finditer(source)]
+    owners = sorted((scan.line(m.start()), t.end_line, t.name) for m, t in zip(CSHARP_TYPE.finditer(source), types, strict=True))
     methods = [m for m in CSHARP_METHOD.finditer(source) if m["gives"] not in NO_TYPE and m["name"] not in NO_NAME]
-    return types + [scan.symbol(m, "method", m["name"], package, f"{m['gives']} {m['name']}({m['args']})", is_async=truth(bool(m["wait"])), is_static=truth(bool(m["static"]))) for m in methods]
+    return types + [scan.symbol(m, "method", m["name"], package, f"{m['gives']} {m['name']}({m['args']})", is_async=truth(bool(m["wait"])), is_static=truth(bool(m["static"])), **own) for m, own in zip(methods, around(owners, [scan.line(m.start()) for m in methods]), strict=True)]
 
 
 def whole_file(source: str, path: str, language: str) -> list[Symbol]:

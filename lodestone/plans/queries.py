@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import EXCLUDES, EXTENSIONS
 from ..functions import imports, paths, tags, text
-from ..operators import components, graph, index, postings, search, stats, symbols, vectors
+from ..operators import components, graph, index, links, postings, search, stats, symbols, vectors
 from ..sources import tree, workspaces
 from ..streaming import debounce as bounce
 from . import corpus
@@ -417,6 +417,30 @@ def symbols_targets(spark, d):
     return symbols.targets(e, named(spark, d), e.select("workspace_id", F.col("source_symbol").alias("symbol")))
 
 
+PAIR = "^([A-Za-z]+)[^A-Za-z]+([A-Za-z]+)"
+
+
+@query(
+    "symbols_links",
+    f"""{with_sql('files')}, l AS (SELECT doc_id, workspace_id, file_path, unnest(string_split(source, chr(10))) AS line, unnest(range(1, len(string_split(source, chr(10))) + 1)) AS start_line FROM files),
+w AS (SELECT *, lower(regexp_extract(line, '{PAIR}', 1)) AS a, lower(regexp_extract(line, '{PAIR}', 2)) AS b FROM l WHERE regexp_matches(line, '{PAIR}')),
+e AS (SELECT DISTINCT workspace_id, 'python:p' || doc_id % 7 || '.' || a || CASE WHEN start_line % 3 = 1 THEN '.' || b ELSE '' END AS key FROM w),
+t AS (SELECT w.*, p AS place, less, 'python:p' || (doc_id + p + 1) % 7 || '.' || a || CASE WHEN less = 0 THEN '.' || b ELSE '' END AS key FROM w, (SELECT unnest([0, 1]) AS p), (SELECT unnest([0, 1]) AS less)),
+h AS (SELECT t.*, row_number() OVER (PARTITION BY doc_id, start_line ORDER BY less, place) AS k FROM t JOIN e USING (workspace_id, key))
+SELECT file_path, start_line, a || '.' || b AS ref, key FROM h WHERE k = 1""",
+)
+def symbols_links(spark, d):
+    """Uses in every line, which may stand for names of two modules, and the full names that win."""
+    f = corpus.files(spark, d).select("doc_id", "workspace_id", "file_path", F.posexplode(F.split("source", "\n")).alias("k", "line")).filter(F.col("line").rlike(PAIR))
+    w = f.select("*", (F.col("k") + 1).alias("start_line"), *[F.lower(F.regexp_extract("line", PAIR, g)).alias(c) for g, c in ((1, "a"), (2, "b"))])
+    module = lambda n: F.concat(F.lit("p"), ((F.col("doc_id") + n) % 7).cast("string"))
+    method = F.col("start_line") % 3 == 1
+    defined = w.select("workspace_id", "file_path", "start_line", F.lit("python").alias("language"), F.when(method, F.concat_ws(".", module(0), "a")).otherwise(module(0)).alias("package"), F.when(method, F.col("b")).otherwise(F.col("a")).alias("name"), F.lit(None).cast("map<string,string>").alias("metadata"))
+    ref = F.concat_ws(".", "a", "b")
+    used = w.select("workspace_id", "file_path", F.col("a").alias("symbol"), "start_line", F.lit("").alias("own"), ref.alias("ref"), F.array(*[F.concat(F.lit("python:"), module(n), F.lit("."), ref) for n in (1, 2)]).alias("targets"))
+    return links.linked(used, links.exported(defined)).select("file_path", "start_line", "ref", "key")
+
+
 @query("embed_zero", "SELECT vec_id, len(list_filter(embedding, lambda x: x <> 0)) = 0 AS zero FROM embeddings")
 def embed_zero(spark, d):
     from ..operators import embed

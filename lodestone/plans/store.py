@@ -28,18 +28,18 @@ from pyspark.sql import types as T
 
 from .. import schema
 from ..config import Config
-from ..functions import imports, tags, text
+from ..functions import bindings, imports, tags, text
 from ..operators import chunks as chunking
-from ..operators import embed, index, postings, search, stats
+from ..operators import embed, index, links, postings, search, stats
 from ..sources import tree, workspaces
 
-TABLES = {"chunks": schema.CHUNK, "files": schema.FILE, "deps": schema.EDGE, "scans": schema.SCAN, "workspaces": schema.WORKSPACE, "tag_cache": schema.TAG_CACHE, "postings": schema.POSTING, "rollups": schema.ROLLUP}
+TABLES = {"chunks": schema.CHUNK, "files": schema.FILE, "deps": schema.EDGE, "uses": schema.USE, "scans": schema.SCAN, "workspaces": schema.WORKSPACE, "tag_cache": schema.TAG_CACHE, "postings": schema.POSTING, "rollups": schema.ROLLUP}
 #: Tables whose rows belong to a file, and go with it.
-BY_FILE = ("chunks", "files", "deps")
+BY_FILE = ("chunks", "files", "deps", "uses")
 #: Tables made of each segment of chunks.
 DERIVED = ("postings", "rollups")
 #: Number of the layout; an index of another one has to be made again.
-LAYOUT = 3
+LAYOUT = 4
 #: Seconds that a segment stays after the commit that put it out of use.
 KEPT_S = 3600
 COMMIT = T.StructField("commit_no", T.LongType())
@@ -61,7 +61,7 @@ ROW_GROUP = 8 << 20
 #: segments would be nothing else.
 BLOOM_BYTES, FILTERED, FILTERED_BYTES = 1 << 16, 20_000, 1 << 22
 BLOOMS = {"chunks": ("name", "file_path"), "postings": ("term",)}
-PARTITIONS = {"chunks": ["workspace_id", "language"], "deps": ["workspace_id"]}
+PARTITIONS = {"chunks": ["workspace_id", "language"], "deps": ["workspace_id"], "uses": ["workspace_id"]}
 
 
 def _number(segment: str) -> int:
@@ -352,8 +352,13 @@ class Store:
         rows = search.tokenized(rows, ("workspace_id", "file_path", "name", "code", "docstring"))
         return rows.withColumn("embedding", embed.embedding_of(self.embedder)(F.col("embed_text")))
 
-    def write(self, scanned: DataFrame, workspace: str, fresh: DataFrame, gone: DataFrame, started: float, record: bool = True) -> dict:
-        """Index the fresh files (with source), drop those gone, record the scan, and report."""
+    def root_of(self, workspace: str, default: str) -> str:
+        """The remembered root of a workspace."""
+        row = self.table("workspaces").filter(F.col("id") == workspace).select("root").first()
+        return row.root if row else default
+
+    def write(self, scanned: DataFrame, workspace: str, root: str, fresh: DataFrame, gone: DataFrame, started: float, record: bool = True) -> dict:
+        """Index the fresh files (with source) of a tree, drop those gone, record the scan, and report."""
         fresh, answers = self.tagged(fresh.withColumn("workspace_id", F.lit(workspace)))
         fresh = fresh.persist()
         parsed = chunking.chunk_files(fresh).persist()
@@ -370,6 +375,7 @@ class Store:
             now = F.current_timestamp()
             add = {
                 "chunks": new, "files": fresh.withColumn("indexed_at", now),
+                "uses": links.uses(new.join(fresh.select(*index.FILE_KEY, bindings.bindings(F.col("source"), F.col("language"), F.col("package"), F.col("file_path"), root).alias("bindings")), list(index.FILE_KEY))),
                 "deps": index.edges_of(fresh, imports.imports(F.col("source"), F.col("language"))),
             }
             if answers is not None and self.config.tagging.use_cache:
@@ -396,7 +402,7 @@ class Store:
         fresh = tree.with_package(index.changed(wanted, self.table("files"), force), listing)
         # Which files are gone follows from the listing alone.
         gone = index.orphans(self.table("files"), present, ws, directory) if self.config.watcher.sync_deletions else self.table("files").limit(0)
-        report = self.write(listing, ws, fresh, gone, started)
+        report = self.write(listing, ws, found.root if found else directory, fresh, gone, started)
         if found:
             self.remember(found)
         return report | {"workspace_id": ws}
@@ -410,7 +416,7 @@ class Store:
         started, own = time.time(), self.config.index
         wanted = tree.with_source(tree.within_size(tree.wanted(listing, root, own.supported_extensions, own.exclude_patterns), own.max_file_size_mb), root).withColumn("workspace_id", F.lit(workspace))
         fresh = tree.with_found_package(index.changed(wanted, self.table("files"), force), root)
-        return self.write(listing, workspace, fresh, self.table("files").limit(0), started, record=False)
+        return self.write(listing, workspace, self.root_of(workspace, root), fresh, self.table("files").limit(0), started, record=False)
 
     def delete_files(self, workspace: str, files: Sequence[str] | DataFrame) -> None:
         """Drop files by name; a table of them has a column file_path."""

@@ -25,6 +25,7 @@ POSTING = struct("workspace_id string, language string, term string, block long,
 ROLLUP = struct("workspace_id string, language string, file_path string, functions long, classes long, methods long, symbols long, lines long, words long, numbers longs")
 FILE = struct("workspace_id string, file_path string, language string, file_hash string, size_bytes long, indexed_at timestamp")
 EDGE = struct("workspace_id string, source_symbol string, target_symbol string, symbols strings, file_path string")
+USE = struct("workspace_id string, file_path string, symbol string, start_line int, own string, ref string, targets strings")
 SCAN = struct("workspace_id string, files_scanned long, chunks_created long, duration_ms long, ts timestamp")
 WORKSPACE = struct("id string, name string, root string, marker_type string, languages strings, created_at timestamp")
 TAG_CACHE = struct("file_hash string, tags strings, created_at timestamp")
