@@ -60,7 +60,11 @@ def embed_text(signature: Column, docstring: Column, code: Column, limit: int =
 
 
 def flat_metadata(fixed: dict[str, Column], extra: Column) -> Column:
-    """One flat map: fixed entries and ``meta_`` ones; null values are left out."""
-    own = F.map_from_arrays(F.array(*[F.lit(k) for k in fixed]), F.array(*[v.cast("string") for v in fixed.values()]))
-    more = F.transform_keys(F.coalesce(extra, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), lambda k, _: F.concat(F.lit("meta_"), k))
-    return F.map_filter(F.map_concat(own, more), lambda _, v: v.isNotNull())
+    """One flat object as a variant: fixed entries, and ``meta_`` ones from an object (JSON text or variant). Scalars keep their types, lists and objects become JSON texts, nulls are
+    left out. Anything but an object has no entries."""
+    own = F.create_map(*[x for k, v in fixed.items() for x in (F.lit(k), v.cast("variant"))])
+    entries = F.transform_keys(F.from_json(extra.cast("string"), "map<string,variant>"), lambda k, _: F.concat(F.lit("meta_"), k))
+    nested = lambda v: F.schema_of_variant(v).rlike("^(?:ARRAY|OBJECT)")
+    more = F.transform_values(entries, lambda _, v: F.when(nested(v), F.to_json(v).cast("variant")).otherwise(v))
+    both = F.map_concat(own, F.coalesce(more, F.create_map().cast("map<string,variant>")))
+    return F.to_variant_object(F.map_filter(both, lambda _, v: v.isNotNull() & ~F.coalesce(F.is_variant_null(v), F.lit(True))))

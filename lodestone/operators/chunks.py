@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import json
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -30,14 +31,10 @@ class Symbol:
     signature: str
     code: str
     docstring: str = ""
-    metadata: dict[str, str] = field(default_factory=dict)
+    metadata: dict[str, str | bool] = field(default_factory=dict)
 
     def row(self) -> tuple:
-        return self.type, self.name, self.package, self.start_line, self.end_line, self.signature, self.docstring, self.code, self.metadata
-
-
-def truth(flag: bool) -> str:
-    return "true" if flag else "false"
+        return self.type, self.name, self.package, self.start_line, self.end_line, self.signature, self.docstring, self.code, json.dumps(self.metadata)
 
 
 def shown(name: str) -> str:
@@ -55,15 +52,15 @@ def python_symbols(source: str, package: str) -> list[Symbol]:
         return []
     lines = source.split("\n")
 
-    def made(node: ast.AST, kind: str, head: str, package: str, **metadata: str) -> Symbol:
+    def made(node: ast.AST, kind: str, head: str, package: str, **metadata: str | bool) -> Symbol:
         last = node.end_lineno or node.lineno
         doc = (ast.get_docstring(node) or "")[:DOC_LIMIT]
         return Symbol(kind, node.name, package, node.lineno, last, head, "\n".join(lines[node.lineno - 1 : last]), doc, {**metadata, "visibility": shown(node.name)})
 
-    def function(node: ast.FunctionDef | ast.AsyncFunctionDef, kind: str, package: str, **metadata: str) -> Symbol:
+    def function(node: ast.FunctionDef | ast.AsyncFunctionDef, kind: str, package: str, **metadata: str | bool) -> Symbol:
         waits = isinstance(node, ast.AsyncFunctionDef)
         gives = f" -> {ast.unparse(node.returns)}" if node.returns else ""
-        return made(node, kind, f"{'async ' * waits}def {node.name}({ast.unparse(node.args)}){gives}", package, is_async=truth(waits), **metadata)
+        return made(node, kind, f"{'async ' * waits}def {node.name}({ast.unparse(node.args)}){gives}", package, is_async=waits, **metadata)
 
     out = []
     for node in module.body:
@@ -75,7 +72,7 @@ def python_symbols(source: str, package: str) -> list[Symbol]:
             for item in node.body:
                 if isinstance(item, ast.FunctionDef | ast.AsyncFunctionDef):
                     static = any(isinstance(d, ast.Name) and d.id == "staticmethod" for d in item.decorator_list)
-                    out.append(function(item, "method", f"{package}.{node.name}", class_name=node.name, is_static=truth(static)))
+                    out.append(function(item, "method", f"{package}.{node.name}", class_name=node.name, is_static=static))
     return out
 
 
@@ -112,7 +109,7 @@ class Scanned:
                 inside = mark
         return at
 
-    def symbol(self, m: re.Match, kind: str, name: str, package: str, signature: str, body_from: int | None = None, **metadata: str) -> Symbol:
+    def symbol(self, m: re.Match, kind: str, name: str, package: str, signature: str, body_from: int | None = None, **metadata: str | bool) -> Symbol:
         end = self.body_end(m.end() if body_from is None else body_from)
         return Symbol(kind, name, package, self.line(m.start()), self.line(end), signature, self.source[m.start() : max(end, m.end())], "", metadata)
 
@@ -126,7 +123,7 @@ def script_symbols(source: str, package: str) -> list[Symbol]:
     scan = Scanned(source, "\"'`")
     classes = [scan.symbol(m, "class", m["name"], package, f"class {m['name']}" + (f" extends {m['base']}" if m["base"] else "")) for m in SCRIPT_CLASS.finditer(source)]
     return classes + [
-        scan.symbol(m, "function", m["name"], package, f"{'async ' * bool(m['wait'])}function {m['name']}({m['args']})", is_async=truth(bool(m["wait"]))) for m in SCRIPT_FUNCTION.finditer(source)
+        scan.symbol(m, "function", m["name"], package, f"{'async ' * bool(m['wait'])}function {m['name']}({m['args']})", is_async=bool(m["wait"])) for m in SCRIPT_FUNCTION.finditer(source)
     ]
 
 
@@ -145,7 +142,7 @@ def go_symbols(source: str, package: str) -> list[Symbol]:
         owner = f" ({m['self']} {m['type']})" if m["self"] else ""
         gives = m["gives"].strip()
         signature = f"func{owner} {m['name']}({m['args']})" + (f" {gives}" if gives else "")
-        about = {"is_method": truth(bool(owner))} | ({"receiver_type": m["type"]} if owner else {})
+        about = {"is_method": bool(owner)} | ({"receiver_type": m["type"]} if owner else {})
         out.append(scan.symbol(m, "method" if owner else "function", m["name"], package, signature, **about))
     return out + [scan.symbol(m, "class", m["name"], package, f"type {m['name']} {m['kind']}", type_kind=m["kind"]) for m in GO_TYPE.finditer(source)]
 
@@ -180,7 +177,7 @@ def csharp_symbols(source: str, package: str) -> list[Symbol]:
     types = [scan.symbol(m, "class", m["name"], package, f"{m['kind']} {m['name']}", class_kind=m["kind"]) for m in CSHARP_TYPE.finditer(source)]
     owners = sorted((scan.line(m.start()), t.end_line, t.name) for m, t in zip(CSHARP_TYPE.finditer(source), types, strict=True))
     methods = [m for m in CSHARP_METHOD.finditer(source) if m["gives"] not in NO_TYPE and m["name"] not in NO_NAME]
-    return types + [scan.symbol(m, "method", m["name"], package, f"{m['gives']} {m['name']}({m['args']})", is_async=truth(bool(m["wait"])), is_static=truth(bool(m["static"])), **own) for m, own in zip(methods, around(owners, [scan.line(m.start()) for m in methods]), strict=True)]
+    return types + [scan.symbol(m, "method", m["name"], package, f"{m['gives']} {m['name']}({m['args']})", is_async=bool(m["wait"]), is_static=bool(m["static"]), **own) for m, own in zip(methods, around(owners, [scan.line(m.start()) for m in methods]), strict=True)]
 
 
 def whole_file(source: str, path: str, language: str) -> list[Symbol]:
@@ -231,5 +228,5 @@ def whole_file_chunks(files: DataFrame) -> DataFrame:
     return files.select(
         "workspace_id", "file_path", "language", F.when(F.col("language") == "doc", "doc").otherwise("config").alias("type"), name.alias("name"), F.lit("").alias("package"), F.lit(1).alias("start_line"),
         text_functions.line_count(F.col("source")).alias("end_line"), name.alias("signature"), F.lit("").alias("docstring"), F.col("source").alias("code"),
-        F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")).alias("metadata"), F.lit(None).cast("string").alias("error"),
+        F.lit("{}").alias("metadata"), F.lit(None).cast("string").alias("error"),
     )

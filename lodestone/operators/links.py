@@ -38,9 +38,9 @@ def references(code: Column, language: Column) -> Column:
 
 def full_name(chunks: DataFrame) -> Column:
     """The full name of a symbol (language, file_path, package, name, metadata); null in other languages."""
-    path, name, owner = F.col("file_path"), F.col("name"), F.coalesce(F.col("metadata")["class_name"], F.lit(""))
+    path, name, owner = F.col("file_path"), F.col("name"), F.coalesce(F.try_variant_get("metadata", "$.class_name", "string"), F.lit(""))
     module = F.regexp_replace("package", r"(^|\.)__init__(?=\.|$)", "")
-    receiver = F.regexp_replace(F.coalesce(F.col("metadata")["receiver_type"], F.lit("")), r"^\*", "")
+    receiver = F.regexp_replace(F.coalesce(F.try_variant_get("metadata", "$.receiver_type", "string"), F.lit("")), r"^\*", "")
     dotted = lambda *parts: F.concat_ws(".", *[F.nullif(p, F.lit("")) for p in parts])
     own = (
         F.when(F.col("language") == "python", dotted(module, name)).when(F.col("language") == "csharp", dotted(F.col("package"), owner, name))
@@ -57,7 +57,7 @@ def exported(chunks: DataFrame) -> DataFrame:
 def uses(chunks: DataFrame) -> DataFrame:
     """Uses in symbols (chunk columns and the file's ``bindings``): workspace_id, file_path, symbol, start_line, own (the symbol's full name), ref, targets."""
     rows = chunks.filter(F.col("language").isin(*FAMILIES)).withColumn("own", full_name(chunks))
-    owner = F.col("metadata")["class_name"]
+    owner = F.try_variant_get("metadata", "$.class_name", "string")
     # A method of C# also sees the names of its class.
     inside = F.when((F.col("language") == "csharp") & owner.isNotNull(), F.array(F.struct(F.lit("").alias("alias"), F.regexp_replace("own", r"\.[^.]*$", "").alias("full"))))
     rows = rows.withColumn("bindings", F.concat(F.coalesce(inside, F.array().cast("array<struct<alias:string,full:string>>")), "bindings"))

@@ -102,12 +102,16 @@ def bm25_search(docs: DataFrame, phrases: dict[str, str], workspace: str | None
     return normalized(best_of(hits, k, [F.col("rank"), F.col("file_path"), F.col("symbol_name"), F.col("id")], len(phrases)))
 
 
+#: Hits of all queries (k times their number, known beforehand) up to which they are sent to every task.
+FEW_HITS = 10_000
+
+
 def nearest(vectors: DataFrame, queries: dict[str, Sequence[float]], k: int = 10, tie: Sequence[str] = ("id",), workspace: str | None = None, language: str | None = None) -> DataFrame:
     """Exact k nearest rows of ``vectors`` (embedding) by squared distance, and vector_score = 1 - distance; workspace and language prune partitions. A vector that is null or
     of another length than the query is near nothing.
 
     Vectors meet the queries in numpy, batch by batch, with nothing of their rows but the columns ``tie``, which name a row; each task gives its k best for each query. The other
-    columns are read for the k best of all, which are few enough to be sent to every task."""
+    columns are read for the k best of all, which are sent to every task if there are at most ``FEW_HITS``."""
     if workspace is not None:
         vectors = vectors.filter(F.col("workspace_id") == workspace)
     if language:
@@ -141,7 +145,7 @@ def nearest(vectors: DataFrame, queries: dict[str, Sequence[float]], k: int = 10
     rest = [c for c in vectors.columns if c not in ("embedding", *tie)]
     if rest:
         # At most k rows of each query.
-        h, v = F.broadcast(hits).alias("h"), vectors.select(*tie, *rest).alias("v")
+        h, v = hits.hint("broadcast" if k * len(asked) <= FEW_HITS else "merge").alias("h"), vectors.select(*tie, *rest).alias("v")
         hits = v.join(h, [F.col(f"v.{t}").eqNullSafe(F.col(f"h.{t}")) for t in tie]).select("h.query_id", *[f"v.{c}" for c in (*tie, *rest)], "h.distance", "h.place")
         # Rows alike in what names them are all found by each of their hits.
         hits = best(hits.dropDuplicates(["query_id", "place"]), k, [F.col("place")])
@@ -228,7 +232,7 @@ def fused_rows(words: Sequence[Row | dict], vectors: Sequence[Row | dict], k: in
             if rows is words:
                 own.setdefault("docstring", r["docstring"])
             else:
-                own["tags"] = r["tags"]
+                own["tags"], own["metadata"] = r["tags"], r["metadata"] if "metadata" in r else None
     out = []
     for (path, name), x in both.items():
         own = x.get("tags")
@@ -237,7 +241,7 @@ def fused_rows(words: Sequence[Row | dict], vectors: Sequence[Row | dict], k: in
             continue
         w, v = x.get("bm25_score", 0.0), x.get("vector_score", 0.0)
         code = x["word_code"] if x.get("word_code") is not None else x.get("vector_code")
-        row = {"file_path": path, "symbol_name": name, "code": code, "docstring": x.get("docstring") or "", "bm25_score": w, "vector_score": v, "tags": own, "hybrid_score": alpha * v + beta * w}
+        row = {"file_path": path, "symbol_name": name, "code": code, "docstring": x.get("docstring") or "", "bm25_score": w, "vector_score": v, "tags": own, "metadata": x.get("metadata"), "hybrid_score": alpha * v + beta * w}
         last = 1 << 60
         out.append(((-row["hybrid_score"], x.get("word_place", last), x.get("vector_place", last), path), row))
     return [row for _, row in sorted(out, key=lambda o: o[0])[:k]]

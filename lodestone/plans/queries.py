@@ -176,11 +176,22 @@ def chunk_embed_text(spark, d):
     return docs.select("doc_id", text.embed_text(F.concat(F.lit("sig"), F.col("doc_id").cast("string")), F.nullif("lang", F.lit("en")), F.coalesce("text", F.lit(""))).alias("embed_text"))
 
 
-@query("chunk_metadata", "SELECT doc_id, 'lang=' || lang || CASE WHEN source = 'src0' THEN '' ELSE ',meta_source=' || source END AS metadata FROM documents WHERE lang IS NOT NULL")
+@query(
+    "chunk_metadata",
+    """SELECT doc_id, to_json(struct_pack(lang := lang, n := n_chars)) AS fixed, CASE WHEN source <> 'src0' THEN source END AS meta_source, n_chars % 2 = 0 AS meta_even, '["' || lang || '","' || doc_id || '"]' AS meta_list,
+'{"n":' || n_chars || '}' AS meta_object, length(coalesce(text, '')) AS meta_chars, CASE WHEN source <> 'src0' THEN 7 ELSE 6 END + CASE WHEN text IS NULL THEN 0 ELSE 1 END AS entries FROM documents WHERE lang IS NOT NULL""",
+)
 def chunk_metadata(spark, d):
     docs = corpus.read(spark, d, "documents").filter("lang is not null")
-    flat = text.flat_metadata({"lang": F.col("lang")}, F.create_map(F.lit("source"), F.when(F.col("source") != "src0", F.col("source"))))
-    return docs.select("doc_id", F.array_join(F.transform(F.array_sort(F.map_entries(flat)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("metadata"))
+    extra = F.to_json(F.struct(
+        F.when(F.col("source") != "src0", F.col("source")).alias("source"), (F.col("n_chars") % 2 == 0).alias("even"), F.array("lang", F.col("doc_id").cast("string")).alias("list"), F.struct(F.col("n_chars").alias("n")).alias("object"), F.col("text").alias("body"),
+    ))
+    flat = docs.select("doc_id", text.flat_metadata({"lang": F.col("lang"), "n": F.col("n_chars"), "none": F.lit(None).cast("string")}, F.parse_json(extra)).alias("m"))
+    get = lambda k, kind: F.try_variant_get("m", f"$.{k}", kind)
+    return flat.select(
+        "doc_id", F.to_json(F.struct(get("lang", "string").alias("lang"), get("n", "bigint").alias("n"))).alias("fixed"), get("meta_source", "string").alias("meta_source"), get("meta_even", "boolean").alias("meta_even"),
+        get("meta_list", "string").alias("meta_list"), get("meta_object", "string").alias("meta_object"), F.length(F.coalesce(get("meta_body", "string"), F.lit(""))).alias("meta_chars"), (F.size(F.map_keys(F.from_json(F.to_json("m"), "map<string,string>"))) + F.lit(1)).alias("entries"),
+    )
 
 
 @query("chunk_sanitize", r"SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]', '', 'g') AS clean FROM documents")
@@ -435,7 +446,7 @@ def symbols_links(spark, d):
     w = f.select("*", (F.col("k") + 1).alias("start_line"), *[F.lower(F.regexp_extract("line", PAIR, g)).alias(c) for g, c in ((1, "a"), (2, "b"))])
     module = lambda n: F.concat(F.lit("p"), ((F.col("doc_id") + n) % 7).cast("string"))
     method = F.col("start_line") % 3 == 1
-    defined = w.select("workspace_id", "file_path", "start_line", F.lit("python").alias("language"), F.when(method, F.concat_ws(".", module(0), "a")).otherwise(module(0)).alias("package"), F.when(method, F.col("b")).otherwise(F.col("a")).alias("name"), F.lit(None).cast("map<string,string>").alias("metadata"))
+    defined = w.select("workspace_id", "file_path", "start_line", F.lit("python").alias("language"), F.when(method, F.concat_ws(".", module(0), "a")).otherwise(module(0)).alias("package"), F.when(method, F.col("b")).otherwise(F.col("a")).alias("name"), F.lit(None).cast("variant").alias("metadata"))
     ref = F.concat_ws(".", "a", "b")
     used = w.select("workspace_id", "file_path", F.col("a").alias("symbol"), "start_line", F.lit("").alias("own"), ref.alias("ref"), F.array(*[F.concat(F.lit("python:"), module(n), F.lit("."), ref) for n in (1, 2)]).alias("targets"))
     return links.linked(used, links.exported(defined)).select("file_path", "start_line", "ref", "key")

@@ -348,6 +348,7 @@ class Store:
         rows = rows.join(files.select("workspace_id", "file_path", "tags"), ["workspace_id", "file_path"], "left")
         rows = rows.withColumns({"chunk_id": index.chunk_id(), "selection_start": F.col("start_line"), "selection_end": F.when(F.col("signature") == F.col("name"), F.col("end_line")).otherwise(F.col("start_line"))})
         rows = rows.withColumn("embed_text", text.sanitized(text.embed_text(F.col("signature"), F.col("docstring"), F.col("code"), limit)))
+        rows = rows.withColumn("metadata", F.parse_json("metadata"))
         # Token lines are stored, so a search only reads them.
         rows = search.tokenized(rows, ("workspace_id", "file_path", "name", "code", "docstring"))
         return rows.withColumn("embedding", embed.embedding_of(self.embedder)(F.col("embed_text")))

@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 KINDS = {
     "string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "timestamp": T.TimestampType(), "boolean": T.BooleanType(),
-    "strings": T.ArrayType(T.StringType()), "floats": T.ArrayType(T.FloatType()), "longs": T.ArrayType(T.LongType()), "ints": T.ArrayType(T.IntegerType()), "map": T.MapType(T.StringType(), T.StringType()),
+    "strings": T.ArrayType(T.StringType()), "floats": T.ArrayType(T.FloatType()), "longs": T.ArrayType(T.LongType()), "ints": T.ArrayType(T.IntegerType()), "variant": T.VariantType(),
 }
 
 
@@ -17,7 +17,7 @@ def struct(fields: str) -> T.StructType:
 
 CHUNK = struct(
     "workspace_id string, language string, chunk_id string, type string, name string, package string, file_path string, start_line int, end_line int,"
-    " selection_start int, selection_end int, signature string, docstring string, code string, tags strings, metadata map,"
+    " selection_start int, selection_end int, signature string, docstring string, code string, tags strings, metadata variant,"
     " embed_text string, embedding floats, words string, length int"
 )
 #: Made of each segment of chunks: the postings of its terms, and what is counted of each file, with the numbers of its chunks.
@@ -31,7 +31,7 @@ WORKSPACE = struct("id string, name string, root string, marker_type string, lan
 TAG_CACHE = struct("file_hash string, tags strings, created_at timestamp")
 EVENT = struct("event_type string, file_path string, dest_path string, is_directory boolean, ts timestamp")
 
-#: What a chunker returns for a file.
+#: What a chunker returns for a file; metadata is JSON.
 SYMBOL = struct(
-    "type string, name string, package string, start_line int, end_line int, signature string, docstring string, code string, metadata map"
+    "type string, name string, package string, start_line int, end_line int, signature string, docstring string, code string, metadata string"
 )

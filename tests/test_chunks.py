@@ -34,8 +34,8 @@ def test_python():
     got = chunks.python_symbols(PYTHON, "pkg")
     assert [(s.type, s.name, s.package, s.start_line, s.end_line) for s in got] == [("function", "f", "pkg", 5, 7), ("function", "_g", "pkg", 9, 10), ("class", "C", "pkg", 12, 24), ("method", "s", "pkg.C", 17, 18), ("method", "m", "pkg.C", 20, 21)]
     assert got[0].signature == "def f(a, b: int=1) -> str" and got[0].docstring == "Doc."
-    assert got[1].metadata == {"is_async": "true", "visibility": "private"}
-    assert got[2].signature == "class C(Base)" and got[3].metadata["is_static"] == "true"
+    assert got[1].metadata == {"is_async": True, "visibility": "private"}
+    assert got[2].signature == "class C(Base)" and got[3].metadata["is_static"] is True
     assert chunks.python_symbols("def (", "p") == [] and chunks.python_symbols("", "p") == []
     assert len(chunks.python_symbols('def f():\n    """' + "x" * 3000 + '"""', "p")[0].docstring) == 2000
 
@@ -44,14 +44,14 @@ def test_script():
     source = "// c\nexport class A extends B {\n  m() { return '}'; }\n}\nexport async function f(a, b) {\n  if (a) { return `}`; }\n}\nfunction g() {}\nclass D {}"
     got = chunks.script_symbols(source, "p")
     assert [(s.type, s.name, s.start_line, s.end_line) for s in got] == [("class", "A", 2, 4), ("class", "D", 9, 9), ("function", "f", 5, 7), ("function", "g", 8, 8)]
-    assert got[0].signature == "class A extends B" and got[2].signature == "async function f(a, b)" and got[2].metadata == {"is_async": "true"}
+    assert got[0].signature == "class A extends B" and got[2].signature == "async function f(a, b)" and got[2].metadata == {"is_async": True}
 
 
 def test_go():
     source = "package calc\n\nfunc (c *Calc) Add(a, b int) (int, error) {\n\tif a > 0 {\n\t\treturn a, nil\n\t}\n\treturn b, nil\n}\n\nfunc Top(x string) {\n}\n\ntype Calc struct {\n\tA int\n}\ntype R interface {\n}\n"
     got = chunks.go_symbols(source, "x")
     assert [(s.type, s.name, s.package, s.start_line, s.end_line) for s in got] == [("method", "Add", "calc", 3, 8), ("function", "Top", "calc", 10, 11), ("class", "Calc", "calc", 13, 15), ("class", "R", "calc", 16, 17)]
-    assert got[0].signature == "func (c *Calc) Add(a, b int) (int, error)" and got[0].metadata == {"is_method": "true", "receiver_type": "*Calc"}
+    assert got[0].signature == "func (c *Calc) Add(a, b int) (int, error)" and got[0].metadata == {"is_method": True, "receiver_type": "*Calc"}
     assert got[3].metadata == {"type_kind": "interface"}
 
 
@@ -60,7 +60,7 @@ def test_csharp():
     got = chunks.csharp_symbols(source, "x")
     assert [(s.type, s.name, s.start_line, s.end_line) for s in got] == [("class", "Svc", 4, 11), ("class", "I", 12, 12), ("class", "P", 13, 13), ("method", "Run", 6, 10)]
     assert {s.package for s in got} == {"My.App"} and got[1].metadata == {"class_kind": "interface"}
-    assert got[3].metadata == {"is_async": "true", "is_static": "true"} and got[3].signature == "Task<int> Run(int a)"
+    assert got[3].metadata == {"is_async": True, "is_static": True, "class_name": "Svc"} and got[3].signature == "Task<int> Run(int a)"
 
 
 def test_router_and_table(spark):

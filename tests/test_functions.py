@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,8 +52,12 @@ def test_text(spark):
     assert column(spark, ["Process_Data.x café ÄÖ1", None, ""], text.tokens) == [["process", "data", "x", "cafe", "ao1"], [], []]
     assert column(spark, ["/w"], text.workspace_id) == [workspaces.id_of("/w")]
     assert column(spark, ["s"], lambda s: text.embed_text(s, F.lit(""), F.lit("code"), 4)) == ["s\nco"]
-    flat = column(spark, ["v"], lambda v: text.flat_metadata({"a": v, "n": F.lit(None)}, F.create_map(F.lit("k"), v)))
-    assert flat == [{"a": "v", "meta_k": "v"}]
+
+
+def test_flat_metadata(spark):
+    given = ['{"k": "v", "n": 1.5, "t": true, "l": [1, "a"], "o": {"x": null}, "z": null}', "{}", None, "[1]"]
+    flat = column(spark, given, lambda v: F.to_json(text.flat_metadata({"a": F.lit(3), "b": F.length(v), "none": F.lit(None).cast("string")}, F.parse_json(v))))
+    assert [json.loads(x) for x in flat] == [{"a": 3, "b": 75, "meta_k": "v", "meta_n": 1.5, "meta_t": True, "meta_l": '[1,"a"]', "meta_o": '{"x":null}'}, {"a": 3, "b": 2}, {"a": 3}, {"a": 3, "b": 3}]
 
 
 def test_imports(spark):

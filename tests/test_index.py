@@ -77,6 +77,12 @@ def test_tools(tools, project):
     assert "Symbols:" in tools.dependency_graph(ws) and tools.detect_cycles(ws) == []
     hits = json.loads(tools.search_code("helper", workspace_id=ws, format="json"))
     assert hits[0]["symbol_name"] == "helper" and hits[0]["hybrid_score"] == pytest.approx(0.6 * hits[0]["vector_score"] + 0.4 * hits[0]["bm25_score"])
+    about = hits[0]["metadata"]
+    # The eleven fixed entries, the chunker's and the tags.
+    assert {k: about[k] for k in about if k != "meta_tags"} == {
+        "type": "function", "name": "helper", "package": "pkg.a", "language": "python", "file_path": path, "start_line": 7, "end_line": 8, "selection_start": 7, "selection_end": 7, "signature": "def helper()", "docstring": "",
+        "meta_is_async": False, "meta_visibility": "public",
+    } and "lang:python" in json.loads(about["meta_tags"])
     assert tools.search_code("zzz", workspace_id="none").startswith("Nothing") and "helper" in tools.search_code("helper", workspace_id=ws)
     assert tools.diagnose()["tables"]["status"] == "ok" and tools.get_model_status()["status"] == "error"
     assert json.loads(tools.reindex_file(path, ws, "json"))["chunks_created"] == 3
