@@ -1,7 +1,7 @@
 """Source trees as DataFrames: a listing without contents first; only files that pass every filter are read.
 
 Spark's own file sources leave out names that start with ``_`` or ``.``, and with them every ``__init__.py``; this one lists all files. Folders
-below the root are listed by executors, one partition each; contents are read where the listing's rows are."""
+are listed by executors: the driver looks into the upper ones only, until there are enough to keep all cores busy. Contents are read where the listing's rows are."""
 
 from __future__ import annotations
 
@@ -18,6 +18,8 @@ from ..functions import paths, text
 
 #: Bytes of contents that a batch carries at most, and files.
 BATCH_BYTES, BATCH_FILES = 64 << 20, 256
+#: Folders that are enough partitions for a listing, and those that the driver looks into, after which it goes no level deeper.
+ENOUGH, MOST_OPENED = 64, 256
 
 
 def file_system(path: str):
@@ -43,10 +45,14 @@ class TreeReader(DataSourceReader):
         if self.files is not None:
             return [Folder("", False)]
         system, root = file_system(self.root)
-        own = [Folder(root, False)]
-        if self.recursive:
-            own += [Folder(x.path, True) for x in system.get_file_info(fs.FileSelector(root)) if x.type == fs.FileType.Directory]
-        return own
+        if not self.recursive:
+            return [Folder(root, False)]
+        # Level by level: a folder that the driver has looked into is a partition with its own files, those found in it are ones with all below them.
+        opened, level = [], [root]
+        while level and len(level) < ENOUGH and len(opened) < MOST_OPENED:
+            opened += level
+            level = [x.path for f in level for x in system.get_file_info(fs.FileSelector(f, allow_not_found=True)) if x.type == fs.FileType.Directory]
+        return [Folder(f, False) for f in opened] + [Folder(f, True) for f in level]
 
     def read(self, partition: Folder) -> Iterator[tuple]:
         from pyarrow import fs

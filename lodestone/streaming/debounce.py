@@ -61,18 +61,25 @@ def debounce(events: DataFrame, pause_ms: int = 3000) -> DataFrame:
     return ordered.mapInPandas(run, OUT)
 
 
-def debounce_stream(events: DataFrame, pause_ms: int = 3000) -> DataFrame:
-    """The rule over a stream; the state of a file is the time of its last accepted change."""
+def debounce_stream(events: DataFrame, pause_ms: int = 3000, lateness: str = "10 minutes") -> DataFrame:
+    """The rule over a stream; the state of a file is the time of its last accepted change. It goes when the watermark is past the pause: what comes after that is accepted with it or without.
+    ``lateness`` is how far events may be behind the newest one."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     pause = pd.Timedelta(milliseconds=pause_ms)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
         rows = pd.concat(list(batches)).sort_values(["ts", "event_type"], kind="stable")
         keep, last = accepted(rows["ts"], rows["event_type"], pause, last)
         if last is not None:
             state.update((int(last.value // 1000),))
+            # One that ends before the watermark ends with the next.
+            state.setTimeoutTimestamp(max(int((last + pause).value // 1_000_000), state.getCurrentWatermarkMs()) + 1)
         yield rows[keep][["event_type", "file_path", "ts"]]
 
-    return events.select("event_type", "file_path", "ts").groupBy("file_path").applyInPandasWithState(run, OUT, "last_us long", "append", GroupStateTimeout.NoTimeout)
+    timed = events.select("event_type", "file_path", "ts").withWatermark("ts", lateness)
+    return timed.groupBy("file_path").applyInPandasWithState(run, OUT, "last_us long", "append", GroupStateTimeout.EventTimeTimeout)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import time
 import uuid
 from dataclasses import dataclass
 from typing import TYPE_CHECKING
@@ -37,11 +39,17 @@ class Watchers:
         spark.dataSource.register(FolderEvents)
 
     def start(self, directory: str, workspace_id: str, recursive: bool = True, interval: str = "1 second") -> str:
-        events = self.spark.readStream.format("folder_events").option("path", directory).option("recursive", str(recursive).lower()).load()
+        """Watch a folder. Where a watch of it into this workspace was begun before, also by another process, it goes on from there: what changed meanwhile is seen first."""
+        for w in self.running.values():
+            if (w.directory, w.workspace_id, w.recursive) == (directory, workspace_id, recursive) and w.query.isActive:
+                return w.id
+        # Beside the index, which is on storage that all machines share.
+        base = f"{self.store.root.rstrip('/')}.watch/{hashlib.sha256(repr((directory, workspace_id, recursive)).encode()).hexdigest()[:24]}"
+        events = self.spark.readStream.format("folder_events").option("path", directory).option("recursive", str(recursive).lower()).option("state", f"{base}/state").option("since", str(time.time_ns())).load()
         own = self.config.index
         wanted = debounce.passing(events, own.supported_extensions, own.exclude_patterns, directory)
         stream = debounce.debounce_stream(wanted, self.config.watcher.debounce_ms)
-        query = stream.writeStream.foreachBatch(lambda batch, _: self.apply(batch, workspace_id, directory)).trigger(processingTime=interval).start()
+        query = stream.writeStream.foreachBatch(lambda batch, _: self.apply(batch, workspace_id, directory)).trigger(processingTime=interval).option("checkpointLocation", f"{base}/checkpoint").start()
         watcher = Watcher(str(uuid.uuid4()), directory, workspace_id, recursive, query)
         self.running[watcher.id] = watcher
         return watcher.id
