@@ -48,10 +48,12 @@ def classes(rows: DataFrame, text: str, carry_text: bool = True) -> DataFrame:
             *[F.when(more, F.col(c)).alias(c) if c == text and not carry_text else F.col(c) for c in names],
             F.when(F.col("next").isNotNull() & F.col("end"), F.col("next")).alias("class"),
             F.lit(k).alias("round"), F.when(more, F.col("next")).alias("gid"), (F.col("at") + width).alias("at"),
+            # Written with the rows, so every reading has the same, whatever machines are there.
+            F.concat_ws("-", F.lit(k), F.monotonically_increasing_id()).alias("row"),
         )
         split = done.keep(split, f"rows{k}")
         done.drop(f"groups{k}")
-        out.append(split.filter("gid is null").select(*names, "class", "round", F.concat_ws("-", F.lit(k), F.monotonically_increasing_id()).alias("row")))
+        out.append(split.filter("gid is null").select(*names, "class", "round", "row"))
         todo = split.filter("gid is not null").select(*names, "gid", "at")
         if todo.isEmpty():
             break
