@@ -157,7 +157,8 @@ def test_question_to_the_model():
 
 
 def test_a_write_that_fails_leaves_the_index(spark, tmp_path, project, monkeypatch):
-    from lodestone.plans.store import Store
+    from lodestone.sources import tree
+from lodestone.plans.store import Store
 
     t = Tools(spark, Config(index=Index(index_path=str(tmp_path / "idx"))))
     ws = json.loads(t.index_project(str(project), format="json"))["workspace_id"]
@@ -329,3 +330,15 @@ def test_many_dropped_workspaces(spark):
     for n in (3, 250):
         kept = index.without_workspaces(rows, {f"w{k}": 2 for k in range(n)}).collect()
         assert len(kept) == 600 - n and len(kept[0]) == 2
+
+
+def test_a_tree_of_one_top_folder_is_listed_in_parts(spark, tmp_path):
+    """All files once, and the one folder at the top isn't one task."""
+    names = {f"src/m{k}/n{j}/f.py" for k in range(12) for j in range(8)} | {"src/x.py", "y.py", "src/m0/_z.py", "src/m1/n1/deep/er/w.py"}
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text("1")
+    parts = tree.TreeReader({"path": str(tmp_path)}).partitions()
+    assert len(parts) > tree.ENOUGH and sum(p.recursive for p in parts) == 96
+    assert sorted(r.file_path for r in tree.listing(spark, str(tmp_path)).collect()) == sorted(str(tmp_path / n) for n in names)
+    assert [r.file_path for r in tree.listing(spark, str(tmp_path), recursive=False).collect()] == [str(tmp_path / "y.py")]
