@@ -317,7 +317,7 @@ def test_an_index_of_another_layout_is_refused(spark, tmp_path, project):
     t = Tools(spark, Config(index=Index(index_path=str(tmp_path / "idx"))))
     t.index_project(str(project))
     at = sorted((tmp_path / "idx" / "manifests").glob("*.json"))[-1]
-    at.write_text(at.read_text().replace('"layout": 3', '"layout": 2'))
+    at.write_text(at.read_text().replace('"layout": 4', '"layout": 3'))
     (at.parent / f".{at.name}.crc").unlink(missing_ok=True)
     with pytest.raises(ValueError, match="layout"):
         Tools(spark, t.config).store.table("chunks")
