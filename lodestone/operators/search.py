@@ -7,7 +7,6 @@ import unicodedata
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, Window
@@ -152,50 +151,91 @@ def nearest(vectors: DataFrame, queries: dict[str, Sequence[float]], k: int = 10
     return hits.withColumn("vector_score", 1 - F.col("distance"))
 
 
-#: Vectors and queries that meet in one step of ``nearest_many``.
-VECTOR_BLOCK, QUERY_BLOCK = 4096, 256
+#: Numbers of the vectors and of the queries that meet in one task, and distances, or numbers of candidates, that it holds at a time.
+VECTOR_VALUES, QUERY_VALUES, STEP = 1 << 20, 1 << 19, 1 << 20
+#: Distances are rounded to this many decimals, and equal ones ordered by id.
+DECIMALS = 9
+NEAR_FORM = "query_id bigint, id bigint, distance double"
+
+
+def matrix(lists: pa.Array | pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the lists that have ``dim`` numbers, and these numbers."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    same = np.flatnonzero(pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False) == dim)
+    flat = pc.list_flatten(lists if len(same) == len(lists) else lists.take(pa.array(same))).to_numpy(zero_copy_only=False)
+    return same, flat.reshape(len(same), dim).astype(float)
+
+
+def first_of(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k vectors nearest to each query: places of the queries, ids and squared distances, rounded; of equals the smaller ids. A product of matrices finds the candidates, with
+    the error that it may have left in; their distances are then taken number by number, so the result is that of all differences."""
+    none = np.zeros(0, int), ids[:0], np.zeros(0)
+    if not len(ids) or not len(queries):
+        return none
+    out = [none]
+    squares = np.einsum("ij,ij->i", vectors, vectors)
+    known = squares[np.isfinite(squares)]
+    error = 8 * (vectors.shape[1] + 8) * np.finfo(float).eps
+    per = max(1, STEP // max(1, vectors.shape[1]))
+    with np.errstate(invalid="ignore", over="ignore"):
+        for at in range(0, len(queries), max(1, STEP // len(ids))):
+            q = queries[at : at + max(1, STEP // len(ids))]
+            d = squares - 2 * (q @ vectors.T)
+            if len(ids) > k:
+                slack = 1.01 * 10.0**-DECIMALS + error * (known.max(initial=0.0) + np.einsum("ij,ij->i", q, q))
+                # What is no number is a candidate, and comes last.
+                one, near = np.nonzero(~(d > (np.partition(d, k - 1, axis=1)[:, k - 1] + slack)[:, None]))
+            else:
+                one, near = (x.ravel() for x in np.indices(d.shape))
+            exact = np.concatenate([((vectors[near[j : j + per]] - q[one[j : j + per]]) ** 2).sum(axis=1) for j in range(0, len(near), per)]).round(DECIMALS)
+            order = np.lexsort((ids[near], exact, one))
+            first = np.searchsorted(one, np.arange(len(q)))
+            order = order[np.arange(len(order)) - first[one] < k]
+            out.append((at + one[order], ids[near[order]], exact[order]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def packed(rows: DataFrame, id_: str, block: int) -> DataFrame:
-    """Rows (id, embedding) packed: one row of up to ``block`` ids and their vectors as bytes. Nothing is shuffled."""
+def in_groups(n: int, dim: int, values: int) -> int:
+    """Groups for n rows of ``dim`` numbers, so that a group holds about ``values`` numbers."""
+    return max(1, -(-n * max(1, dim) // values))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            for k in range(0, len(x), block):
-                part = x.iloc[k : k + block]
-                yield pd.DataFrame({"ids": [part["id"].to_numpy()], "dim": [len(part["embedding"].iloc[0])], "vectors": [np.vstack(part["embedding"].to_list()).astype("<f4").tobytes()]})
 
-    ready = rows.select(F.col(id_).cast("long").alias("id"), "embedding").filter("embedding is not null")
-    return ready.mapInPandas(run, "ids array<bigint>, dim int, vectors binary")
+def sizes(rows: DataFrame) -> tuple[int, int]:
+    """Number of vectors and the greatest length."""
+    one = rows.agg(F.count("embedding"), F.max(F.size("embedding"))).first()
+    return one[0], max(0, one[1] or 0)
 
 
-def first_of(ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and squared distances, rounded, of the k vectors nearest to the query; of equals the smaller ids."""
-    d = np.round(((vectors - query) ** 2).sum(axis=1), 9)
-    near = np.arange(len(d)) if len(d) <= 4 * k else np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-    near = near[np.lexsort((ids[near], d[near]))[:k]]
-    return ids[near], d[near]
+def met(vectors: DataFrame, queries: DataFrame, meet, k: int) -> DataFrame:
+    """The k nearest of all that ``meet``, a function of two Arrow tables, finds where groups of vectors meet groups of queries (both tables: v_no and q_no, the groups that meet)."""
+    by = ["v_no", "q_no"]
+    found = vectors.groupBy(*by).cogroup(queries.groupBy(*by)).applyInArrow(meet, NEAR_FORM)
+    return best(found, k, [F.col("distance"), F.col("id")])
 
 
-def nearest_many(vectors: DataFrame, queries: DataFrame, k: int = 10, id_: str = "id") -> DataFrame:
-    """Exact k nearest vectors of each of many queries (both: id, embedding): query_id, id, distance, place. Blocks of vectors meet blocks of queries; a
-    meeting gives its k best for each query, and the best of those are taken, a partial top-k before the shuffle."""
-    a, b = packed(vectors, id_, VECTOR_BLOCK), packed(queries, id_, QUERY_BLOCK).toDF("q_ids", "q_dim", "q_vectors")
+def near_table(query_ids: np.ndarray, ids: np.ndarray, distances: np.ndarray) -> pa.Table:
+    return pa.table({"query_id": pa.array(query_ids, pa.int64()), "id": pa.array(ids, pa.int64()), "distance": pa.array(distances, pa.float64())})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            for ids, dim, data, q_ids, q_dim, q_data in x.itertuples(index=False, name=None):
-                if dim != q_dim:
-                    continue
-                v, q = (np.frombuffer(d, "<f4").reshape(-1, dim).astype(float) for d in (data, q_data))
-                ids = np.asarray(ids)
-                for q_id, one in zip(q_ids, q, strict=True):
-                    at, d = first_of(ids, v, one, k)
-                    yield pd.DataFrame({"query_id": q_id, "id": at, "distance": d})
-
-    # The stated queries, in blocks, against all blocks of vectors. An equality of the lengths would deal every block to one task.
-    meetings = a.crossJoin(b).select("ids", "dim", "vectors", "q_ids", "q_dim", "q_vectors")
-    return best(meetings.mapInPandas(run, "query_id bigint, id bigint, distance double"), k, [F.col("distance"), F.col("id")])
+
+def nearest_many(vectors: DataFrame, queries: DataFrame, k: int = 10, id_: str = "id") -> DataFrame:
+    """Exact k nearest vectors of each of many queries (both: id, embedding): query_id, id, distance, place. Vectors and queries are dealt to groups by hash, each group of vectors
+    meets each group of queries in a task of its own, which gives its k best for each query, and the best of those are taken. So tasks grow in number, not in size."""
+    ready = [x.select(F.col(id_).cast("long").alias("id"), "embedding").filter("embedding IS NOT NULL AND size(embedding) > 0") for x in (vectors, queries)]
+    v_groups, q_groups = (in_groups(*sizes(x), most) for x, most in zip(ready, (VECTOR_VALUES, QUERY_VALUES), strict=True))
+    group = lambda n: F.pmod(F.xxhash64("id", "embedding"), F.lit(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = ready[0].select("*", group(v_groups).alias("v_no"), all_of(q_groups).alias("q_no"))
+    b = ready[1].select("*", group(q_groups).alias("q_no"), all_of(v_groups).alias("v_no"))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for dim in np.unique(pc.list_value_length(right["embedding"]).to_numpy()):
+            (some, v), (asked, q) = (matrix(x["embedding"], dim) for x in (left, right))
+            one, ids, d = first_of(left["id"].to_numpy()[some], v, q, k)
+            out.append(near_table(right["id"].to_numpy()[asked][one], ids, d))
+        return pa.concat_tables(out) if out else near_table([], [], [])
+
+    return met(a, b, meet, k)
 
 
 def fused(words: DataFrame, vectors: DataFrame, k: int = 10, alpha: float = 0.6, beta: float = 0.4, file_filter: str | None = None, exclude_tests: bool = False, tags: Sequence[str] | None = None, tags_mode: str = "any") -> DataFrame:

@@ -4,7 +4,8 @@ Centroids are fitted by k-means on a bounded sample, the rows whose keys have th
 Lists are partitions, so those that aren't asked for are not read. ``probes`` says how many lists a query looks into; None is all of them, which is the exact way. Vectors that are null or
 of another length than the centroids are in the list -1, which is near nothing.
 
-Many queries meet the vectors by list: blocks of a list's vectors meet blocks of the queries that look into it, so a large list is worked on in many tasks.
+Many queries meet the vectors by shelf: neighbouring small lists share one, a large list has several, and a query is sent once to each shelf that holds any of its lists. So what is sent
+grows with the shelves, not with the lists, and a large list is worked on in many tasks.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -32,18 +32,28 @@ def dots(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return (centroids**2).sum(1) - 2 * vectors @ centroids.T
 
 
+def closest(vectors: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centroid of each vector and its ``dots``, some rows at a time."""
+    own, least = np.zeros(len(vectors), np.int32), np.zeros(len(vectors))
+    step = max(1, search.STEP // max(1, len(centroids)))
+    for k in range(0, len(vectors), step):
+        d = dots(vectors[k : k + step], centroids)
+        own[k : k + step] = d.argmin(1)
+        least[k : k + step] = d.min(1)
+    return own, least
+
+
 def means(sample: np.ndarray, lists: int) -> np.ndarray:
     """Centroids by k-means from the first rows that differ; a list that loses all its rows gets the row that is farthest from its centroid."""
     centroids = np.unique(sample, axis=0, return_index=True)[1]
     centroids = sample[np.sort(centroids)[:lists]].copy()
     for _ in range(ROUNDS):
-        d = dots(sample, centroids)
-        own = d.argmin(1)
+        own, least = closest(sample, centroids)
         n = np.bincount(own, minlength=len(centroids))
         total = np.zeros_like(centroids)
         np.add.at(total, own, sample)
         centroids = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centroids)
-        far = np.argsort(-(d[np.arange(len(own)), own] + (sample**2).sum(1)), kind="stable")
+        far = np.argsort(-(least + (sample**2).sum(1)), kind="stable")
         empty = np.flatnonzero(n == 0)
         centroids[empty] = sample[far[: len(empty)]]
     return centroids
@@ -62,13 +72,6 @@ def fit(vectors: DataFrame, lists: int | None = None, key: Sequence[str] = ("id"
     return means(sample, lists)
 
 
-def _matrix(lists: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows whose list has ``dim`` numbers, and these."""
-    same = np.flatnonzero(pc.fill_null(pc.list_value_length(lists), -1).to_numpy() == dim)
-    flat = pc.list_flatten(lists.take(pa.array(same))).to_numpy(zero_copy_only=False)
-    return same, flat.reshape(-1, dim).astype(float)
-
-
 def assigned(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
     """``vectors`` with list_no."""
     at = vectors.columns.index("embedding")
@@ -78,9 +81,9 @@ def assigned(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             out = np.full(x.num_rows, -1, np.int32)
-            same, v = _matrix(x.column(at), dim) if dim > 0 else (np.zeros(0, int), None)
-            for k in range(0, len(same), 4096):
-                out[same[k : k + 4096]] = dots(v[k : k + 4096], centroids).argmin(1)
+            if dim > 0:
+                same, v = search.matrix(x.column(at), dim)
+                out[same] = closest(v, centroids)[0]
             yield pa.RecordBatch.from_arrays([*x.columns, pa.array(out)], names=form.fieldNames())
 
     return vectors.mapInArrow(run, form)
@@ -100,47 +103,75 @@ def nearest(lists: DataFrame, centroids: np.ndarray, queries: dict[str, Sequence
     return search.nearest(lists.filter(F.col("list_no").isin(wanted)), queries, k, tie, **where)
 
 
-def packed(rows: DataFrame, block: int) -> DataFrame:
-    """Rows (list_no, id, embedding) packed by list: up to ``block`` ids and their vectors as bytes."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            for n, own in x.groupby("list_no"):
-                for k in range(0, len(own), block):
-                    part = own.iloc[k : k + block]
-                    yield pd.DataFrame({"list_no": [n], "ids": [part["id"].to_numpy()], "vectors": [np.vstack(part["embedding"].to_list()).astype("<f4").tobytes()]})
-
-    return rows.select("list_no", F.col("id").cast("long").alias("id"), "embedding").filter("list_no >= 0").sortWithinPartitions("list_no").mapInPandas(run, "list_no int, ids array<bigint>, vectors binary")
+def shelves(sizes: dict[int, int], lists: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each list its first shelf, and over how many it is dealt: a list of more than ``most`` vectors has shelves of its own, others share one up to that number."""
+    first, parts = np.zeros(lists, int), np.ones(lists, int)
+    shelf, held = 0, 0
+    for n in range(lists):
+        size = sizes.get(n, 0)
+        if held and held + size > most:
+            shelf, held = shelf + 1, 0
+        first[n], held = shelf, held + size
+        if size > most:
+            parts[n] = -(-size // most)
+            shelf, held = shelf + parts[n], 0
+    return first, parts
 
 
 def nearest_many(lists: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int = 10, probes: int | None = None) -> DataFrame:
-    """``search.nearest_many`` through the lists: query_id, id, distance, place of each of many queries (id, embedding)."""
+    """``search.nearest_many`` through the lists: query_id, id, distance, place of each of many queries (id, embedding). Shelves of lists meet groups of queries, each pair in a task
+    of its own."""
     dim = centroids.shape[1] if len(centroids) else 0
-    form = T.StructType([queries.schema["id"], queries.schema["embedding"], LIST])
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            same, v = _matrix(x.column(1), dim)
-            if not len(same):
-                continue
-            d = dots(v, centroids)
-            most = d.shape[1] if probes is None else min(probes, d.shape[1])
-            near = np.argsort(d, axis=1, kind="stable")[:, :most].astype(np.int32)
-            at = pa.array(np.repeat(same, most))
-            yield pa.RecordBatch.from_arrays([x.column(0).take(at), x.column(1).take(at), pa.array(near.ravel())], names=form.fieldNames())
-
     if not dim:
         return search.nearest_many(lists, queries, k).limit(0)
-    looks = queries.select("id", "embedding").mapInArrow(spread, form).hint("rebalance", "list_no")
-    a, b = packed(lists, search.VECTOR_BLOCK), packed(looks, search.QUERY_BLOCK).toDF("list_no", "q_ids", "q_vectors")
+    held = {r["list_no"]: r["count"] for r in lists.filter("list_no >= 0").groupBy("list_no").count().collect()}
+    first, parts = shelves(held, len(centroids), max(1, search.VECTOR_VALUES // dim))
+    last = first + parts
+    asked = queries.select(F.col("id").cast("long").alias("id"), "embedding").filter(F.size("embedding") == dim)
+    q_groups = search.in_groups(asked.count(), dim, search.QUERY_VALUES)
+    everything = probes is None or probes >= len(centroids)
+
+    def shelved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            n, ids = (x.column(j).to_numpy(zero_copy_only=False) for j in (0, 1))
+            mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+            yield pa.RecordBatch.from_arrays([*x.columns, pa.array((first[n] + (mixed % parts[n].astype(np.uint64)).astype(int)).astype(np.int32))], names=a_form.fieldNames())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            for ids, data, q_ids, q_data in x.itertuples(index=False, name=None):
-                v, q = (np.frombuffer(d, "<f4").reshape(-1, dim).astype(float) for d in (data, q_data))
-                for q_id, one in zip(q_ids, q, strict=True):
-                    at, d = search.first_of(np.asarray(ids), v, one, k)
-                    yield pd.DataFrame({"query_id": q_id, "id": at, "distance": d})
-
-    met = a.join(b.hint("merge"), "list_no").select("ids", "vectors", "q_ids", "q_vectors")
-    return search.best(met.mapInPandas(run, "query_id bigint, id bigint, distance double"), k, [F.col("distance"), F.col("id")])
+            v = search.matrix(x.column(1), dim)[1]
+            for j in range(0, len(v), most := max(1, search.STEP // len(centroids))):
+                near = np.argsort(dots(v[j : j + most], centroids), axis=1, kind="stable")[:, :probes].astype(np.int32)
+                for k, own in enumerate(near, j):
+                    on = np.unique(np.concatenate([np.arange(first[n], last[n]) for n in own])).astype(np.int32)
+                    at = pa.array(np.full(len(on), k))
+                    yield pa.RecordBatch.from_arrays([x.column(0).take(at), x.column(1).take(at), pa.array([own.tolist()] * len(on), pa.list_(pa.int32())), pa.array(on)], names=b_form.fieldNames())
+
+    kept = lists.filter("list_no >= 0").select("list_no", F.col("id").cast("long").alias("id"), "embedding")
+    number = T.StructField("v_no", T.IntegerType())
+    a_form = T.StructType([*kept.schema.fields, number])
+    b_form = T.StructType([*asked.schema.fields, T.StructField("looks", T.ArrayType(T.IntegerType())), number])
+    a = kept.mapInArrow(shelved, a_form).withColumn("q_no", F.explode(F.sequence(F.lit(0), F.lit(q_groups - 1))))
+    if everything:
+        b = asked.withColumn("v_no", F.explode(F.sequence(F.lit(0), F.lit(int(last.max()) - 1))))
+    else:
+        b = asked.mapInArrow(spread, b_form)
+    b = b.withColumn("q_no", F.pmod(F.xxhash64("id", "embedding"), F.lit(q_groups)).cast("int"))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        (some, v), (at, q) = (search.matrix(x["embedding"], dim) for x in (left, right))
+        ids, q_ids = left["id"].to_numpy()[some], right["id"].to_numpy()[at]
+        if everything:
+            one, near, d = search.first_of(ids, v, q, k)
+            return search.near_table(q_ids[one], near, d)
+        own = left["list_no"].to_numpy()[some]
+        looks = right["looks"].combine_chunks()
+        whose, wanted = pc.list_parent_indices(looks).to_numpy(), pc.list_flatten(looks).to_numpy()
+        out = [search.near_table([], [], [])]
+        for n in np.unique(own):
+            inside, those = np.flatnonzero(own == n), whose[wanted == n]
+            one, near, d = search.first_of(ids[inside], v[inside], q[those], k)
+            out.append(search.near_table(q_ids[those][one], near, d))
+        return pa.concat_tables(out)
+
+    return search.met(a, b, meet, k)

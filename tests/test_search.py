@@ -175,6 +175,42 @@ def test_lists_of_vectors(spark):
     assert len(ivf.fit(empty)) == 0 and ivf.assigned(empty, ivf.fit(empty)).count() == 0 and ivf.nearest_many(lists, ivf.fit(empty), asked).count() == 0
 
 
+def brute_nearest(rows, asked, k):
+    """Places one by one: (query, place): (id, distance)."""
+    out = {}
+    for q, x in asked:
+        near = sorted((round(sum((a - b) ** 2 for a, b in zip(v, x, strict=True)), 9), i) for i, v in rows if v is not None and len(v) == len(x) > 0)
+        out |= {(q, place): (i, d) for place, (d, i) in enumerate(near[:k], 1)}
+    return out
+
+
+def test_lists_meet_by_shelf(spark, monkeypatch):
+    """A query's candidates are k for each shelf, however many lists there are; a list larger than a shelf is dealt over several."""
+    import numpy as np
+
+    from lodestone.operators import vectors as ivf
+
+    data = np.random.default_rng(5).normal(size=(900, 8)).astype("f4").astype(float)
+    data[300:600] = data[300]
+    rows = [(k, v.tolist()) for k, v in enumerate(data)]
+    v = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(3)
+    asked = v.filter("id % 20 = 0")
+    want = brute_nearest(rows, [r for r in rows if r[0] % 20 == 0], 5)
+    centroids = ivf.fit(v)
+    lists = ivf.assigned(v, centroids).cache()
+    found, best = [], search.best
+    monkeypatch.setattr(search, "best", lambda rows, *how: found.append(rows) or best(rows, *how))
+    got = ivf.nearest_many(lists, centroids, asked, 5).collect()
+    assert {(r.query_id, r.place): (r.id, r.distance) for r in got} == want
+    assert len(centroids) == 30 and found[-1].count() == 5 * 45
+    monkeypatch.setattr(search, "VECTOR_VALUES", 100 * 8, raising=False)
+    monkeypatch.setattr(search, "QUERY_VALUES", 20 * 8, raising=False)
+    assert {(r.query_id, r.place): (r.id, r.distance) for r in ivf.nearest_many(lists, centroids, asked, 5).collect()} == want
+    assert {(r.query_id, r.place): (r.id, r.distance) for r in ivf.nearest_many(lists, centroids, asked, 5, probes=29).collect()}.keys() == want.keys()
+    first, parts = ivf.shelves({0: 40, 1: 50, 2: 250, 3: 100, 4: 1}, 6, 100)
+    assert first.tolist() == [0, 0, 1, 4, 5, 5] and parts.tolist() == [1, 1, 3, 1, 1, 1]
+
+
 @pytest.mark.parametrize("phrase, k", [("process", 3), ("process data", 2), ("workspace", 10), ("nothing", 5)])
 def test_hybrid_equals_brute_force(spark, docs, phrase, k):
     """Ranks by SQLite, distances one by one, both lists cut to 2k and put together in plain Python."""
