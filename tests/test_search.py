@@ -184,6 +184,26 @@ def brute_nearest(rows, asked, k):
     return out
 
 
+def test_nearest_of_many_in_bounded_groups(spark, monkeypatch):
+    """Groups that meet don't grow with the table; vectors of several lengths, equal ones, far ones and what is no number included."""
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    rows = [(k, r.integers(0, 3, 2 + k % 2).astype(float).tolist()) for k in range(400)] + [(k, (1e6 + r.normal(size=3)).astype("f4").tolist()) for k in range(400, 500)] + [(501, None), (502, []), (503, [float("nan"), 1.0])]
+    v = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(3)
+    asked = [x for x in rows[:500] if x[0] % 20 == 0]
+    want = brute_nearest(rows[:500], asked, 7)
+    near = lambda: {(x.query_id, x.place): (x.id, x.distance) for x in search.nearest_many(v, v.filter("id % 20 = 0"), 7).collect()}
+    assert near() == want
+    most = []
+    met = getattr(search, "met", None)
+    monkeypatch.setattr(search, "met", lambda a, b, *how: most.append([x.groupBy("v_no", "q_no").count().agg(F.max("count")).first()[0] for x in (a, b)]) or met(a, b, *how), raising=False)
+    monkeypatch.setattr(search, "VECTOR_VALUES", 50 * 3, raising=False)
+    monkeypatch.setattr(search, "QUERY_VALUES", 10 * 3, raising=False)
+    assert near() == want and most[0][0] < 100 and most[0][1] < 21
+    assert search.nearest_many(v.limit(0), v, 7).count() == 0 and search.nearest_many(v, v.limit(0), 7).count() == 0
+
+
 def test_lists_meet_by_shelf(spark, monkeypatch):
     """A query's candidates are k for each shelf, however many lists there are; a list larger than a shelf is dealt over several."""
     import numpy as np
