@@ -88,6 +88,21 @@ def test_values_equal_brute_force(spark):
         assert got.get(k, set()) == values(t) | {(m.start(), m.group()) for m in PATTERN.finditer(t)}, t
 
 
+@pytest.mark.parametrize("signs", [32, 33, 400])
+def test_values_are_whole_whatever_signs_they_hold(spark, signs):
+    text = "see " + "".join(f"k{n}=v{n}&" for n in range(signs)) + "). x=1"
+    rows = [(1, text, ""), (2, text.replace(" ", " \x02") + "\n" + text, ""), (3, "a='" + "b:c" * signs + "' é=\"" + "d=" * signs + "\")", "")]
+    got = {}
+    for x in secrets.candidates(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+        got.setdefault(x.doc_id, []).append((x.ordinal, x.start, x.candidate, x.after))
+    whole = text.split()[1].rstrip(",;.)]}>\"'`")
+    assert {c for _, _, c, _ in got[1]} == {whole[whole.index(f"k{n}=") + len(f"k{n}=") :] for n in range(signs)} | {"1"}
+    for k, t, _ in rows:
+        t = t.translate({1: " ", 2: " "})
+        assert {(s, c) for _, s, c, _ in got[k]} == values(t) and [o for o, *_ in sorted(got[k])] == list(range(1, len(got[k]) + 1))
+        assert all(t[s : s + len(c)] == c and a == t[s + len(c) :][: secrets.AROUND] for _, s, c, a in got[k])
+
+
 def test_long_values_are_whole(spark):
     long = "q" * 100_000 + "1"
     rows = secrets.candidates(spark.createDataFrame([(1, f"token={long} x", ""), (2, f'key = "{long}"', ""), (3, "a=b" * 60_000, "")], "doc_id long, text string, source string"))
