@@ -8,8 +8,10 @@ import re
 import time
 import urllib.error
 import urllib.request
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -31,6 +33,12 @@ class Embedder(Protocol):
     def __call__(self, texts: list[str]) -> list[list[float]]: ...
 
 
+@lru_cache(1 << 16)
+def hashed(word: str) -> int:
+    """The hash of a word; that of frequent words is kept."""
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+
+
 @dataclass(frozen=True)
 class HashEmbedder:
     """Vectors of unit length from hashed words, the same everywhere; needs no service."""
@@ -40,9 +48,10 @@ class HashEmbedder:
     def __call__(self, texts: list[str]) -> list[list[float]]:
         out = np.zeros((len(texts), self.dim), np.float32)
         for k, text in enumerate(texts):
-            for word in WORD.findall(text.lower()):
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-                out[k, h % self.dim] += 1 if h >> 63 else -1
+            words = Counter(WORD.findall(text.lower()))
+            h = np.fromiter(map(hashed, words), np.uint64, len(words))
+            n = np.fromiter(words.values(), float, len(words))
+            out[k] = np.bincount((h % np.uint64(self.dim)).astype(int), np.where(h >> np.uint64(63), n, -n), self.dim)
             norm = np.linalg.norm(out[k])
             out[k] /= norm if norm else 1
         return out.tolist()

@@ -251,3 +251,26 @@ def test_hybrid_equals_brute_force(spark, docs, phrase, k):
     place = lambda i, x: x.index(i) if i in x else last
     order = sorted(words.keys() | scores.keys(), key=lambda i: (-(0.6 * scores.get(i, 0) + 0.4 * words.get(i, 0)), place(i, at), place(i, to), by_id[i][2]))[:k]
     assert got == [(by_id[i][2], by_id[i][3], round(words.get(i, 0.0), 6), round(scores.get(i, 0.0), 6), round(0.6 * scores.get(i, 0) + 0.4 * words.get(i, 0), 6)) for i in order]
+
+
+def test_words_are_hashed_once(monkeypatch):
+    """Vectors of hashed words are those of all words one by one, but a word is hashed once."""
+    import hashlib
+    from types import SimpleNamespace
+
+    import numpy as np
+
+    from lodestone.operators import embed
+
+    def slow(text):
+        out = np.zeros(32, np.float32)
+        for word in embed.WORD.findall(text.lower()):
+            h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+            out[h % 32] += 1 if h >> 63 else -1
+        norm = np.linalg.norm(out)
+        return (out / (norm or 1)).tolist()
+
+    calls, texts = [], ["Hashed words, hashed é日 words_again " * 50, "words", "", "?!"]
+    monkeypatch.setattr(embed, "hashlib", SimpleNamespace(blake2b=lambda *a, **b: calls.append(a) or hashlib.blake2b(*a, **b)))
+    assert embed.HashEmbedder(32)(texts) == [slow(t) for t in texts]
+    assert len(calls) <= 4
